@@ -16,7 +16,7 @@ from .common import tokenizer_path
 
 LONG = 64
 #: Entries in each of a worker's two generations: a full young one becomes the old one, which is then forgotten.
-ROOM = 300_000
+ROOM = 400_000
 
 _loaded: dict = {}
 
@@ -29,15 +29,37 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level BPE writes for each byte: itself where it is visible, else one from 256 up."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+#: Letters, then punctuation without an apostrophe: two pre-tokens at least, cut between the two.
+TAIL = re.compile(r"([^\W\d_]+)([.,!?;:#$%&*]+)")
+#: Below it no character is changed by NFC or, but for the dotted capital I, lowered to more than one.
+LATIN = "\u0250"
+
+
+class _Odd(Exception):
+    """A part that white space begins or ends, or an empty one: the text wasn't cut between other characters."""
+
+
 class _Parts(dict):
-    def __init__(self, encode):
+    """``lead`` (nothing or a blank) and a part -> its ids. Made from known parts where the pre-tokenizer cuts anyway."""
+
+    def __init__(self, owner: WordIds, lead: str):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.owner, self.lead, self.old = owner, lead, {}
 
     def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
         if ids is None:
-            ids = np.asarray(self.encode(part), dtype="<u4").tobytes()
+            if self.owner.spaced and (not part or part[0].isspace() or part[-1].isspace()):
+                raise _Odd  # never kept, so it is found each time
+            ids = self._made(part)
         if len(part) <= LONG:
             if len(self) >= ROOM:
                 self.old = dict(self)
@@ -45,35 +67,57 @@ class _Parts(dict):
             self[part] = ids
         return ids
 
+    def _made(self, part: str) -> bytes:
+        owner = self.owner
+        if owner.spaced and "\n" in part and "<|" not in part:
+            head, rest = part.split("\n", 1)
+            if not head[-1].isspace() and not rest[0].isspace():  # a line end between other characters is a pre-token
+                return self[head] + owner.line_end + owner.first[rest]
+        if len(part) <= LONG:
+            if part.isalpha():
+                if max(part) < LATIN and "İ" not in part:
+                    return owner.letters(self.lead + (part if owner.spaced else part.lower()))
+            elif cut := TAIL.fullmatch(part):
+                return self[cut[1]] + owner.first[cut[2]]
+        return owner.encode(self.lead + part)
+
 
 class WordIds:
     """``ids(text)`` gives the little-endian 32-bit ids of ``text``, as ``encode(text, add_special_tokens=False)``.
 
-    ``spaced``: a word's leading blank belongs to it (byte-level BPE); else white space is dropped between words.
-    Null counts as the empty text.
+    ``spaced``: a word's leading blank belongs to it (byte-level BPE); else white space is dropped between words, and
+    letters are lowered. Null counts as the empty text.
     """
 
-    #: White space that isn't one blank or line end between other characters.
-    ODD = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
     CUT = re.compile(r"(?<=\S)(?= \S)")
 
     def __init__(self, path: str, spaced: bool):
         self.tokenizer, self.spaced = _library(path), spaced
-        self.first = _Parts(self._encode)
-        self.later = _Parts(lambda part: self._encode(" " + part)) if spaced else self.first
+        self.model = self.tokenizer.model
+        self.first = _Parts(self, "")
+        self.later = _Parts(self, " ") if spaced else self.first
+        self.line_end = self.encode("\n")
+
+    def encode(self, part: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids if part else [], "<u4").tobytes()
 
-    def _encode(self, part: str) -> list[int]:
-        return self.tokenizer.encode(part, add_special_tokens=False).ids if part else []
+    def letters(self, word: str) -> bytes:
+        """Ids of one pre-token of letters, by the library's BPE model itself."""
+        spelt = word if word.isascii() and word.isalpha() else "".join([BYTE_LETTERS[b] for b in word.encode()])
+        return np.asarray([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.spaced:
+            if text.isascii() and "<|" not in text:
+                text = text.lower()
             return b"".join(map(self.first.__getitem__, text.replace("\n", " ").split(" ")))
-        if self.ODD.search(text):
-            return b"".join(map(self.first.__getitem__, self.CUT.split(text)))
         head, *rest = text.split(" ")
-        return self.first[head] + b"".join(map(self.later.__getitem__, rest))
+        try:
+            return self.first[head] + b"".join(map(self.later.__getitem__, rest))
+        except _Odd:
+            return b"".join(map(self.encode, self.CUT.split(text)))
 
 
 def word_ids(name: str, spaced: bool) -> WordIds:
