@@ -16,7 +16,7 @@ from .common import tokenizer_path
 
 LONG = 64
 #: Entries in each of a worker's two generations: a full young one becomes the old one, which is then forgotten.
-ROOM = 400_000
+ROOM = 300_000
 
 _loaded: dict = {}
 
@@ -43,6 +43,13 @@ TAIL = re.compile(r"([^\W\d_]+)([.,!?;:#$%&*]+)")
 LATIN = "\u0250"
 
 
+def _latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class _Odd(Exception):
     """A part that white space begins or ends, or an empty one: the text wasn't cut between other characters."""
 
@@ -110,7 +117,7 @@ class WordIds:
         if not text:
             return b""
         if not self.spaced:
-            if text.isascii() and "<|" not in text:
+            if "<|" not in text and _latin(text):
                 text = text.lower()
             return b"".join(map(self.first.__getitem__, text.replace("\n", " ").split(" ")))
         head, *rest = text.split(" ")
