@@ -28,6 +28,8 @@ HOT, REPORT = 1 << 16, 1 << 13
 GATHER = 1 << 21
 #: Documents in a block: more at one shingle are joined as pairs of blocks.
 BLOCK = 1024
+#: Ids (8 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 500_000
 LEAF, FAN = 16, 8
 
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -90,6 +92,43 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * common >= 4 * (len(a) + len(b) - common)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each remainder of the hashes, flipped by each of them: at least twice as many bits as hashes."""
+    bits = 1 << max(6, (2 * len(s)).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype("int64"), minlength=bits) & 1
+    return np.packbits(odd.astype("uint8"), bitorder="little").tobytes()
+
+
+def may_link(sizes: list[int], sketches: list[bytes], groups: list, sides: list[int] | None = None) -> np.ndarray:
+    """Which documents may link with one of another group (and another side): sets that differ in d hashes have sketches
+    that differ in d bits at most, and linked sets of a and b hashes differ in (a + b) / 9 at most. A larger sketch is
+    folded to a smaller one's length."""
+    size, out = np.array(sizes), np.zeros(len(sizes), bool)
+    group = np.unique(np.array(groups), return_inverse=True)[1]
+    side = np.zeros(len(sizes), int) if sides is None else np.array(sides)
+    at: dict[int, list[int]] = {}
+    for i, x in enumerate(sketches):
+        at.setdefault(len(x), []).append(i)
+    maps = {n: np.frombuffer(b"".join([sketches[i] for i in own]), "uint64").reshape(len(own), -1) for n, own in at.items()}
+    for n, own in at.items():
+        here, bits = np.array(own), maps[n]
+        if 2 * n in at:
+            wide = maps[2 * n]
+            here, bits = np.concatenate([here, at[2 * n]]), np.concatenate([bits, wide[:, : n // 8] ^ wide[:, n // 8 :]])
+        for k in range(len(own)):
+            i, j = here[k], here[k + 1 :]
+            fit = (group[j] != group[i]) & (5 * size[j] >= 4 * size[i]) & (4 * size[j] <= 5 * size[i])
+            if sides is not None:
+                fit &= side[j] != side[i]
+            fit = np.flatnonzero(fit)
+            if len(fit):
+                differ = np.bitwise_count(bits[k + 1 :][fit] ^ bits[k]).sum(axis=1)
+                fit = fit[9 * differ.astype("int64") <= size[j[fit]] + size[i]]
+                out[j[fit]] = True
+                out[i] |= len(fit) > 0
+    return out
+
+
 class Forest:
     """Union-find over places; ``edges`` are the unions that were made."""
 
@@ -243,39 +282,68 @@ def scan(df: DataFrame, hot: np.ndarray) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype("int32")
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*first, np.empty(0, "uint64")]).view("int64")))
             hi, lo = (pa.array([int(x[k]) for x in sums], pa.int64()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), hi, lo, pa.array([len(s) for s in sets], pa.int64()), tokens], names=["doc_id", "hi", "lo", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), hi, lo, pa.array([len(s) for s in sets], pa.int64()), tokens, pa.array([sketch(s) for s in sets], pa.binary())], names=["doc_id", "hi", "lo", "n", "prefix", "sketch"])
+
+    return df.select("doc_id", "text").mapInArrow(read, "doc_id long, hi long, lo long, n long, prefix array<long>, sketch binary")
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch], cell, out) -> Iterator[pa.RecordBatch]:
+    """``out`` of what ``cell`` gives for the rows of each ``cell, i, j``, which stand together."""
+    rows: list = []
+    for batch in batches:
+        found: list = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and rows[0][:3] != row[:3]:
+                found += cell(rows)
+                rows = []
+            rows.append(row)
+        yield out(found)
+    yield out(cell(rows) if rows else [])
+
+
+def _dealt(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select("cell", "i", "j", "id", "comp", "block", *columns).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "id")
+
 
-    return df.select("doc_id", "text").mapInArrow(read, "doc_id long, hi long, lo long, n long, prefix array<long>")
+def _candidates(df: DataFrame) -> DataFrame:
+    """The rows of each cell (``n`` and ``sketch`` besides) whose document may link with another of the cell."""
+
+    def cell(rows: list) -> list[tuple]:
+        if len({r[4] for r in rows}) < 2:
+            return []
+        sides = [r[5] for r in rows] if rows[0][1] != rows[0][2] else None
+        keep = may_link([r[6] for r in rows], [r[7] for r in rows], [r[4] for r in rows], sides)
+        return [r[:6] for r, k in zip(rows, keep) if k]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names=["cell", "i", "j", "id", "comp", "block"])
+
+    return _dealt(df, "n", "sketch").mapInArrow(lambda batches: _by_cell(batches, cell, out), "cell long, i long, j long, id long, comp long, block long")
 
 
 def _cells(df: DataFrame) -> DataFrame:
-    """Edges from each cell (rows of one ``cell, i, j``, which are brought together in order) by signature trees."""
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cell(rows: list) -> list[tuple[int, int]]:
-            if len({r[4] for r in rows}) < 2:
-                return []
-            sides = [r[5] for r in rows] if rows[0][1] != rows[0][2] else None
-            ids = [r[3] for r in rows]
-            found = join_by_tree([shingles(r[6]) for r in rows], [r[4] for r in rows], sides)
-            return [(rows[a][4], rows[b][4]) if ids[a] != ids[b] else (ids[a], ids[b]) for a, b in found]
-
-        rows: list = []
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and rows[0][:3] != row[:3]:
-                    out += cell(rows)
-                    rows = []
-                rows.append(row)
-            yield _edges(out)
-        yield _edges(cell(rows) if rows else [])
-
-    def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Edges that unite the components of each cell's documents (``text`` besides), by signature trees."""
+
+    def cell(rows: list) -> list[tuple[int, int]]:
+        if len({r[4] for r in rows}) < 2:
+            return []
+        sides = [r[5] for r in rows] if rows[0][1] != rows[0][2] else None
+        return [(rows[a][4], rows[b][4]) for a, b in join_by_tree([shingles(r[6]) for r in rows], [r[4] for r in rows], sides)]
+
+    def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    dealt = df.select("cell", "i", "j", "id", "comp", "block", "text").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "id")
-    return dealt.mapInArrow(join, "a long, b long")
+    return _dealt(df, "text").mapInArrow(lambda batches: _by_cell(batches, cell, out), "a long, b long")
+
+
+def _joined(cells: DataFrame, sketches: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """Edges of ``cells``: first the candidates by sketch, then exactly, by the texts of those alone."""
+    left = written(_candidates(cells.join(sketches, "id")), name)
+    ids = left.select("id").distinct()
+    # a small set of ids, by its counted size, is broadcast, so that the texts stay where they are; else both are shuffled
+    ids = F.broadcast(ids) if left.count() <= BROADCAST_ROWS else ids
+    texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return written(_cells(left.join(texts, "id")), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -307,17 +375,19 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     classes = written(real.groupBy("hi", "lo").agg(F.min("doc_id").alias("id")), "classes")
 
     # classes that meet at a shingle of their prefixes
-    tokens = real.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"))
+    stands = real.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
+    sketches = written(stands.select("id", "n", "sketch").dropDuplicates(["id"]), "sketches")
+    # one shuffle serves the count and the join
+    tokens = stands.select(F.explode("prefix").alias("token"), "id").repartition("token")
     shared = tokens.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("token")
     met = written(tokens.join(shared, "token", "left_semi").distinct(), "met")
     members = met.groupBy("token").agg(F.count("*").alias("m"))
     home = met.join(members, "token").groupBy("id").agg(F.max(F.struct("m", "token")).alias("x")).select("id", "x.token", "x.m")
-    texts = written(home.join(docs.withColumnRenamed("doc_id", "id"), "id").dropDuplicates(["id"]), "texts")
 
     # each class at its fullest shingle; more than a block's classes there are cut by their hash
     part = F.expr(f"pmod(xxhash64(id), cast(ceil(m / {block}) as long))")
-    first = texts.select(F.col("token").alias("cell"), part.alias("i"), part.alias("j"), "id", F.col("id").alias("comp"), part.alias("block"), "text")
-    once = written(_cells(first), "links")
+    first = home.select(F.col("token").alias("cell"), part.alias("i"), part.alias("j"), "id", F.col("id").alias("comp"), part.alias("block"))
+    once = _joined(first, sketches, docs, "first")
     labels = written(components(once), "united")
 
     # every shingle at which several components still meet; equal cells are joined once
@@ -327,7 +397,7 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     cells = known.join(open_, "token").withColumn("block", F.expr("pmod(xxhash64(id), parts)"))
     pairs = cells.select(F.col("token").alias("cell"), "id", "comp", "block", F.explode(F.expr("sequence(0L, parts - 1)")).alias("other"))
     pairs = pairs.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "comp", "block")
-    twice = _cells(pairs.join(texts.select("id", "text"), "id"))
+    twice = _joined(pairs, sketches, docs, "second")
     final = components(once.unionByName(twice))
 
     # documents take the smallest id that their class's component holds
