@@ -21,7 +21,7 @@ from .common import crc
 WIDTH = HEIGHT = 64
 FPS = 25
 #: Bytes of texts that are coded side by side.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 
 #: The Huffman table: symbols (bits of a difference) of 3-bit and of 4-bit codes; 1111 stays unused, as the format asks.
 BY_LENGTH = {3: (3, 4, 5, 6, 7), 4: (0, 1, 2, 8)}
