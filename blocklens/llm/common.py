@@ -67,3 +67,14 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+_state: dict = {}
+
+
+def worker_state(key, make):
+    """What a Python worker keeps between tasks: one operator's tables at a time, so that they don't add up."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]

@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, worker_state
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashed ids.
-SAMPLE = 4_000
+SAMPLE = 2_500
 #: Hashed character 1-, 2- and 3-gram features.
 FEATURES = 1 << 13
 
@@ -37,7 +37,6 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 _letters: list = []
-_models: dict = {}
 
 
 def _letter_table() -> np.ndarray:
@@ -73,7 +72,6 @@ def features(text: str | None) -> np.ndarray | None:
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 80) -> np.ndarray:
     """Squared-hinge linear SVM by accelerated gradient steps; classes weigh the same. The last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), "float32")])
     each = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype("float32")
     w = v = np.zeros(x.shape[1], "float32")
     step = 1 / (2 * cost * 2 + 1)
@@ -89,16 +87,22 @@ class Hierarchy:
     """``families``: label lists. ``top``: a weight row for each family; ``inside``: for each pair in a family."""
 
     def __init__(self, texts: list[str], labels: list[str]):
-        rows = [(v, label) for t, label in zip(texts, labels) if (v := features(t)) is not None]
-        self.labels = sorted({label for _, label in rows})
+        x, label = np.empty((len(texts), FEATURES + 1), "float32"), []
+        x[:, -1] = 1  # for the bias
+        for t, name in zip(texts, labels):
+            v = features(t)
+            if v is not None:
+                x[len(label), :-1] = v
+                label.append(name)
+        x, label = x[: len(label)], np.array(label, object)
+        self.labels = sorted(set(label))
         self.families: dict[str, list[str]] = {}
-        for label in self.labels:
-            self.families.setdefault(FAMILY_OF.get(label, label), []).append(label)
+        for code in self.labels:
+            self.families.setdefault(FAMILY_OF.get(code, code), []).append(code)
         self.names = sorted(self.families)
-        if not rows:
+        if not len(label):
             return
-        x, label = np.array([v for v, _ in rows]), np.array([k for _, k in rows])
-        family = np.array([FAMILY_OF.get(k, k) for k in label])
+        family = np.array([FAMILY_OF.get(k, k) for k in label], object)
         self.top = np.array([_svm(x, np.where(family == f, 1.0, -1.0).astype("float32")) for f in self.names]) if len(self.names) > 1 else None
         self.pairs, weights = [], []
         for f in self.names:
@@ -151,12 +155,10 @@ def identify_language(df: DataFrame, model: Hierarchy, text: str = "text") -> Da
     shared, made = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if made not in _models:
-            _models.clear()
-            _models[made] = shared.value
+        own = worker_state(("language", made), lambda: shared.value)
         for batch in batches:
             at = batch.schema.get_field_index("__text")
-            got = [_models[made].predict(t) for t in batch.column(at).to_pylist()]
+            got = [own.predict(t) for t in batch.column(at).to_pylist()]
             rest = [i for i in range(batch.num_columns) if i != at]
             columns = [*(batch.column(i) for i in rest), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names[i] for i in rest), "lang_pred", "score"])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path
+from .common import tokenizer_path, worker_state
 from .tokens import LONG, PieceCounts, pre_tokens
 
 #: Pre-tokens in the broadcast table (at most LONG characters each, so under 10 MB).
@@ -19,9 +19,6 @@ TABLE = 32_768
 #: Pre-tokens that one task reports, and that it keeps while it counts.
 REPORT, KEEP = 2_048, 200_000
 
-_counters: dict = {}
-
-
 def frequent_pre_tokens(texts: DataFrame, size: int = TABLE) -> list[str]:
     """The pre-tokens with the highest counts over all texts; each task keeps a bounded count table and reports
     its ``REPORT`` most frequent, so what moves is bounded by the number of tasks. It decides speed, never counts."""
@@ -56,12 +53,11 @@ def count_tokens(df: DataFrame, model: str = "piece_bpe_32k.model", text: str =
     shared, made = spark.sparkContext.broadcast(table_form), uuid.uuid4().hex
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (model, made)
-        if key not in _counters:
+        def table() -> PieceCounts:
             words, sizes = shared.value
-            _counters.clear()
-            _counters[key] = PieceCounts(tokenizer_path(model), dict(zip(words.split(" "), sizes)) if words else {})
-        lookup = _counters[key].__getitem__
+            return PieceCounts(tokenizer_path(model), dict(zip(words.split(" "), sizes)) if words else {})
+
+        lookup = worker_state(("pieces", made), table).__getitem__
         for batch in batches:
             at = batch.schema.get_field_index("__text")
             n = [sum(map(lookup, pre_tokens(t))) if t else 0 for t in batch.column(at).to_pylist()]

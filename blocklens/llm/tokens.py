@@ -12,15 +12,12 @@ import re
 
 import numpy as np
 
-from .common import tokenizer_path
+from .common import tokenizer_path, worker_state
 
 LONG = 64
 #: Entries in each of a worker's two generations: a full young one becomes the old one, which is then forgotten.
 ROOM = 300_000
 
-_loaded: dict = {}
-
-
 def _library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["RAYON_NUM_THREADS"] = "1"
@@ -129,10 +126,7 @@ class WordIds:
 
 def word_ids(name: str, spaced: bool) -> WordIds:
     """The worker's own instance; made once for each file."""
-    key = (name, spaced)
-    if key not in _loaded:
-        _loaded[key] = WordIds(tokenizer_path(name), spaced)
-    return _loaded[key]
+    return worker_state(("ids", name, spaced), lambda: WordIds(tokenizer_path(name), spaced))
 
 
 class PieceCounts(dict):

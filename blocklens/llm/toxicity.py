@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, worker_state
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most: those with the smallest hashed ids.
-SAMPLE = 8_000
+SAMPLE = 7_000
 #: A learned unit (a word, or a beginning of words) has to stand in so many toxic documents of the sample.
 SUPPORT = 5
 PREFIXES = (3, 4, 5, 6, 7)
@@ -134,7 +134,7 @@ class Toxicity:
         if odds is None:
             odds = max((self.starts.get(word[:k], 0.0) for k in PREFIXES if len(word) > k), default=0.0)
         found = "".join(s for least, s in TIERS if odds >= least)[-1:] or SYMBOLS.get(word, "o")
-        if len(self.cache) > 200_000:
+        if len(self.cache) > 150_000:
             self.cache.clear()
         if len(word) <= 64:
             self.cache[word] = found
@@ -179,9 +179,6 @@ class Toxicity:
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.vector(text) @ self.weights))))))
 
 
-_models: dict = {}
-
-
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Toxicity:
     """Fit on at most ``sample`` labelled rows outside the held-out quarter, those with the smallest hashed ids."""
     usable = labels.where(~held_out(key) & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("__y"))
@@ -202,10 +199,7 @@ def score_toxicity(df: DataFrame, model: Toxicity, text: str = "text", threshold
     shared, made = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if made not in _models:
-            _models.clear()
-            _models[made] = shared.value
-        one = _models[made].score
+        one = worker_state(("toxicity", made), lambda: shared.value).score
         for batch in batches:
             at = batch.schema.get_field_index("__text")
             rest = [i for i in range(batch.num_columns) if i != at]
