@@ -1,0 +1,265 @@
+"""Weighted feature-correlation networks. Pair tables (``layer, i, j, w`` with i < j) hold correlations, adjacency and
+topological overlap; the clustering kernels run on one layer's features, whose number, not the samples', bounds them."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.stats import correlation_p, feature_correlations, safe_corr
+
+NETWORKS = ("unsigned", "signed", "signed_hybrid")
+#: Features of one layer that the clustering kernel takes, at most (0.8 GB a matrix).
+MAX_FEATURES = 10_000
+
+
+def adjacency(corr: DataFrame, power: int = 6, network_type: str = "unsigned") -> DataFrame:
+    """``w`` from ``r``: |r|^b, ((1 + r) / 2)^b, or r^b for positive r and else 0."""
+    if network_type not in NETWORKS:
+        raise ValueError(f"unknown network type: {network_type}")
+    r = F.coalesce("r", F.lit(0.0))
+    base = {"unsigned": F.abs(r), "signed": (1 + r) / 2, "signed_hybrid": F.greatest(r, F.lit(0.0))}[network_type]
+    return corr.select("layer", "i", "j", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.pow(base, F.lit(float(power))))).alias("w"))
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("layer", F.inline(F.array(F.struct("i", "j", "w"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "w"))))
+
+
+def connectivity(edges: DataFrame) -> DataFrame:
+    """``layer, i, k``: the sum of a feature's weights."""
+    return both_ways(edges).groupBy("layer", "i").agg(F.sum("w").alias("k"))
+
+
+def topological_overlap(edges: DataFrame) -> DataFrame:
+    """``(shared + a) / (min(k_i, k_j) + 1 - a)`` for pairs i < j, 0 where the divisor isn't positive."""
+    e = both_ways(edges)
+    k = connectivity(edges)
+    x, y = e.select("layer", "i", F.col("j").alias("m"), F.col("w").alias("a")), e.select("layer", F.col("i").alias("m"), "j", F.col("w").alias("b"))
+    shared = x.join(y, ["layer", "m"]).where("i < j").groupBy("layer", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("l"))
+    out = edges.join(shared, ["layer", "i", "j"], "left").join(k.withColumnRenamed("k", "ki"), ["layer", "i"]).join(k.select("layer", F.col("i").alias("j"), F.col("k").alias("kj")), ["layer", "j"])
+    low = F.least("ki", "kj") + 1 - F.col("w")
+    return out.select("layer", "i", "j", F.when(low > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.coalesce("l", F.lit(0.0)) + F.col("w")) / low))).otherwise(F.lit(0.0)).alias("w"))
+
+
+def scale_free_scan(corr: DataFrame, powers: range | list = range(2, 21), network_type: str = "unsigned") -> DataFrame:
+    """``layer, power, r_squared, mean_connectivity``: signed fit of log10 counts on log10 bin centres of connectivity."""
+    if network_type not in NETWORKS:
+        raise ValueError(f"unknown network type: {network_type}")
+    r = F.coalesce("r", F.lit(0.0))
+    base = {"unsigned": F.abs(r), "signed": (1 + r) / 2, "signed_hybrid": F.greatest(r, F.lit(0.0))}[network_type]
+    all_powers = F.explode(F.array(*[F.lit(int(p)) for p in powers])).alias("power")
+    w = corr.select("layer", "i", "j", base.alias("b")).select("*", all_powers).select("layer", "power", F.pow("b", F.col("power").cast("double")).alias("w"), F.explode(F.array("i", "j")).alias("f"))
+    k = w.groupBy("layer", "power", "f").agg(F.sum("w").alias("k"))
+    mean = k.groupBy("layer", "power").agg(F.avg("k").alias("mean_connectivity"))
+    own = Window.partitionBy("layer", "power")
+    pos = k.where("k > 0").withColumn("n", F.count("*").over(own)).withColumn("lo", F.min("k").over(own)).withColumn("hi", F.max("k").over(own))
+    pos = pos.withColumn("nb", F.greatest(F.lit(5), F.least(F.lit(20), F.floor(F.col("n") / 3))))
+    pos = pos.withColumn("a", F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5)).withColumn("z", F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("hi") + 0.5))
+    bins = pos.withColumn("bin", F.least(F.floor((F.col("k") - F.col("a")) / (F.col("z") - F.col("a")) * F.col("nb")), F.col("nb") - 1)).groupBy("layer", "power", "bin", "a", "z", "nb", "n").agg(F.count("*").alias("c"))
+    centre = F.col("a") + (F.col("bin") + 0.5) * (F.col("z") - F.col("a")) / F.col("nb")
+    points = bins.where(centre > 0).select("layer", "power", "n", F.log10(centre).alias("x"), F.log10("c").alias("y"))
+    fit = points.groupBy("layer", "power").agg(F.max("n").alias("n"), F.count("*").alias("bins"), F.regr_slope("y", "x").alias("slope"), F.regr_r2("y", "x").alias("r2"))
+    r2 = F.when((F.col("n") >= 5) & (F.col("bins") >= 3), -F.signum("slope") * F.col("r2")).otherwise(F.lit(0.0))
+    return mean.join(fit, ["layer", "power"], "left").select("layer", "power", F.coalesce(r2, F.lit(0.0)).alias("r_squared"), "mean_connectivity")
+
+
+def pick_power(scan: DataFrame, target_r2: float = 0.8) -> DataFrame:
+    """The least power above the target, else the one with the best fit (the least of equals)."""
+    met = F.min(F.when(F.col("r_squared") > target_r2, F.col("power")))
+    best = F.max(F.struct("r_squared", (-F.col("power")).alias("m")))
+    return scan.groupBy("layer").agg(met.alias("met"), best.alias("best")).select("layer", F.coalesce("met", -F.col("best.m")).alias("power"), F.col("met").isNotNull().alias("threshold_met"))
+
+
+def trait_correlation(values: DataFrame, trait: DataFrame, by: list[str]) -> DataFrame:
+    """Correlation of each group's values (``sample_id, value``) with the samples' ``y``, its absolute value and n."""
+    r = values.join(trait.select("sample_id", "y"), "sample_id").groupBy(*by).agg(safe_corr(F.col("value"), F.col("y").cast("double")).alias("r"), F.count("*").alias("n"))
+    return r.select(*by, "r", F.abs("r").alias("abs_r"), "n")
+
+
+def hub_features(edges: DataFrame, modules: DataFrame, significance: DataFrame | None = None, top_n: int = 5) -> DataFrame:
+    """Connectivity inside the own module, as a share of the module's largest, times |r| with the trait where it is
+    given; the ``top_n`` of each module (0 left out) are hubs. ``modules``: ``layer, f, module``."""
+    m = modules.where("module <> 0").select("layer", "f", "module")
+    e = both_ways(edges).join(m.withColumnRenamed("f", "i"), ["layer", "i"]).join(m.select("layer", F.col("f").alias("j"), F.col("module").alias("other")), ["layer", "j"])
+    inside = e.where("module = other").groupBy("layer", F.col("i").alias("f")).agg(F.sum("w").alias("k_in"))
+    out = m.join(inside, ["layer", "f"], "left").withColumn("k_in", F.coalesce("k_in", F.lit(0.0)))
+    top = F.max("k_in").over(Window.partitionBy("layer", "module"))
+    out = out.withColumn("k_norm", F.when(top > 0, F.col("k_in") / top).otherwise(F.col("k_in")))
+    if significance is None:
+        out = out.withColumn("hub_score", F.col("k_norm"))
+    else:
+        out = out.join(significance.select("layer", "f", F.col("abs_r").alias("gs")), ["layer", "f"], "left").withColumn("hub_score", F.col("k_norm") * F.coalesce("gs", F.lit(0.0)))
+    rank = F.row_number().over(Window.partitionBy("layer", "module").orderBy(F.desc("hub_score"), "f"))
+    return out.withColumn("is_hub", rank <= top_n)
+
+
+# --- kernels on one layer's features
+
+
+def average_linkage(dist: np.ndarray) -> np.ndarray:
+    """Average-linkage merges ``(a, b, height, size)`` in order of height, by chains of nearest neighbours."""
+    d, n = np.array(dist, float), len(dist)
+    np.fill_diagonal(d, np.inf)
+    size, alive, raw, chain = np.ones(n), np.ones(n, bool), [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        while True:
+            a = chain[-1]
+            b = int(d[a].argmin())
+            if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        del chain[-2:]
+        raw.append((a, b, d[a, b]))
+        merged = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        d[b], d[:, b] = merged, merged
+        d[a], d[:, a] = np.inf, np.inf
+        d[b, b] = np.inf
+        size[b] += size[a]
+        alive[a] = False
+    raw.sort(key=lambda x: x[2])
+    up, ident, count, out = list(range(n)), list(range(n)), [1] * n, []
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for step, (a, b, h) in enumerate(raw):
+        a, b = top(a), top(b)
+        out.append((min(ident[a], ident[b]), max(ident[a], ident[b]), h, count[a] + count[b]))
+        up[a], ident[b], count[b] = b, n + step, count[a] + count[b]
+    return np.array(out).reshape(-1, 4)
+
+
+def cut_tree(merges: np.ndarray, height: float) -> np.ndarray:
+    """Cluster of each leaf when merges up to ``height`` are done; numbered from 1 by their first leaf."""
+    n = len(merges) + 1
+    of = {i: [i] for i in range(n)}
+    for step, (a, b, h, _) in enumerate(merges):
+        if h <= height:
+            of[n + step] = of.pop(int(a)) + of.pop(int(b))
+    out = np.zeros(n, int)
+    for k, leaves in enumerate(sorted(of.values(), key=min), 1):
+        out[leaves] = k
+    return out
+
+
+def default_cut(p: int) -> float:
+    return 0.40 if p <= 25 else 0.35 if p <= 100 else 0.25
+
+
+def detect_modules(tom: np.ndarray, min_module_size: int = 3, cut_height: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Modules (0 for features in too small ones) and the merges of 1 - overlap."""
+    p = len(tom)
+    if p > MAX_FEATURES:
+        raise ValueError(f"more than {MAX_FEATURES} features")
+    merges = average_linkage(np.clip(1 - tom, 0, 1))
+    labels = cut_tree(merges, default_cut(p) if cut_height is None else cut_height)
+    counts = np.bincount(labels)
+    kept = [k for k in range(1, len(counts)) if counts[k] >= min_module_size]
+    renamed = {k: i for i, k in enumerate(kept, 1)}
+    return np.array([renamed.get(k, 0) for k in labels]), merges
+
+
+def eigengene(x: np.ndarray) -> np.ndarray:
+    """First left singular vector times its value of the centred columns, with the sign of the mean profile."""
+    c = x - x.mean(axis=0)
+    u, s, _ = np.linalg.svd(c, full_matrices=False)
+    out = u[:, 0] * s[0]
+    return -out if out @ (x.mean(axis=1) - x.mean()) < 0 else out
+
+
+def eigengenes(x: np.ndarray, modules: np.ndarray) -> dict[int, np.ndarray]:
+    return {int(m): eigengene(x[:, modules == m]) for m in np.unique(modules) if m != 0 and (modules == m).sum() >= 2}
+
+
+def merge_modules(x: np.ndarray, modules: np.ndarray, threshold: float = 0.25) -> np.ndarray:
+    """Modules whose eigengenes' |r| is high become one (anti-correlated ones too)."""
+    own = eigengenes(x, modules)
+    if len(own) < 2:
+        return modules
+    names = sorted(own)
+    with np.errstate(all="ignore"):
+        r = np.abs(np.nan_to_num(np.corrcoef([own[m] for m in names])))
+    cluster = cut_tree(average_linkage(np.clip(1 - (r + r.T) / 2, 0, 1)), threshold)
+    new = dict(zip(names, cluster))
+    return np.array([new.get(int(m), int(m)) for m in modules])
+
+
+def matrix(pairs: DataFrame, p: int, diagonal: float) -> np.ndarray:
+    """A pair table of one layer as a symmetric matrix on the driver, for at most MAX_FEATURES features."""
+    if p > MAX_FEATURES:
+        raise ValueError(f"more than {MAX_FEATURES} features")
+    out = np.zeros((p, p))
+    rows = pairs.select("i", "j", "w").toPandas()
+    out[rows.i, rows.j] = out[rows.j, rows.i] = rows.w
+    np.fill_diagonal(out, diagonal)
+    return out
+
+
+def run_network(x: np.ndarray, y: np.ndarray, obs: DataFrame, power: int | None = None, corr_method: str = "spearman", network_type: str = "unsigned", min_module_size: int | None = None, cut_height: float | None = None, merge_height: float = 0.25, top_n_hubs: int = 5) -> dict:
+    """All steps for one layer: ``x`` (samples by features in the order of f_ord, numbered from 0) and its long ``obs``."""
+    p, layer = x.shape[1], obs.first()["layer"]
+    spark = obs.sparkSession
+    corr = feature_correlations(obs, corr_method).persist()
+    scan = None
+    if power is None:
+        scan = scale_free_scan(corr, network_type=network_type)
+        power = int(pick_power(scan).first()["power"])
+    edges = adjacency(corr, power, network_type).persist()
+    tom = matrix(topological_overlap(edges), p, 1.0)
+    least = min(20, max(3, p // 10)) if min_module_size is None else min_module_size
+    used = default_cut(p) if cut_height is None else cut_height
+    modules, merges = detect_modules(tom, least, used)
+    if cut_height is None and not modules.any():
+        for used in (0.40, 0.50, 0.60, 0.70):
+            modules, merges = detect_modules(tom, least, used)
+            if modules.any():
+                break
+    modules = merge_modules(x, modules, merge_height)
+    own = eigengenes(x, modules)
+
+    def r_of(v: np.ndarray) -> float:
+        if corr_method == "spearman":
+            v, t = _ranks(v), _ranks(y)
+        else:
+            t = y
+        return float(np.corrcoef(v, t)[0, 1]) if v.std() > 0 and t.std() > 0 else 0.0
+
+    trait = sorted(((m, int((modules == m).sum()), r_of(e)) for m, e in own.items()), key=lambda t: -abs(t[2]))
+    trait_rows = [(m, n, r, correlation_p(r, len(y)), abs(r)) for m, n, r in trait]
+    table = spark.createDataFrame([(layer, int(f), int(m)) for f, m in enumerate(modules)], "layer string, f int, module int")
+    gs = spark.createDataFrame([(layer, f, abs(r_of(x[:, f]))) for f in range(p)], "layer string, f int, abs_r double")
+    hubs = hub_features(edges, table, gs, top_n_hubs)
+    return {
+        "power": power, "cut_height": used, "modules": table, "labels": modules, "merges": merges, "eigengenes": own, "hubs": hubs, "scan": scan, "adjacency": edges,
+        "module_trait": spark.createDataFrame(trait_rows, "module int, n_features int, correlation double, p_value double, abs_correlation double"),
+    }
+
+
+def _ranks(v: np.ndarray) -> np.ndarray:
+    values, inverse, counts = np.unique(v, return_inverse=True, return_counts=True)
+    ends = np.cumsum(counts)
+    return (ends - (counts - 1) / 2)[inverse]
+
+
+def reduce_by_network(obs: DataFrame, samples: list[str], result: dict, strategy: str = "eigengenes_and_hubs") -> DataFrame:
+    """The layer as module eigengenes (``ME_m``) and/or hub features, keyed by sample, in the order of f_ord."""
+    if strategy not in ("eigengenes_only", "hubs_only", "eigengenes_and_hubs"):
+        raise ValueError(f"unknown strategy: {strategy}")
+    spark, layer = obs.sparkSession, obs.first()["layer"]
+    who = obs.select("sample_id", "s_ord", "grp").distinct()
+    out = spark.createDataFrame([], obs.schema)
+    if strategy != "hubs_only" and result["eigengenes"]:
+        rows = [(layer, s, f"ME_{m}", k, float(v)) for k, (m, e) in enumerate(sorted(result["eigengenes"].items())) for s, v in zip(samples, e)]
+        made = spark.createDataFrame(rows, "layer string, sample_id string, feature string, f_ord int, value double").join(who, "sample_id")
+        out = out.unionByName(made.select(obs.columns))
+    if strategy != "eigengenes_only":
+        hubs = result["hubs"].where("is_hub").select(F.col("f").alias("f_ord"))
+        out = out.unionByName(obs.join(hubs, "f_ord", "left_semi").withColumn("f_ord", F.col("f_ord") + 1000).select(obs.columns))
+    return out
