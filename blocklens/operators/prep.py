@@ -9,17 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LAYER_ORDER = ("amino_acids", "aromatics", "central_carbon", "proteomics")
-FEATURE = Window.partitionBy("layer", "feature")
+
+
+def feature():
+    return Window.partitionBy("layer", "feature")
 
 
 def drop_sparse_features(obs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Keep features whose share of nulls is at most ``threshold``."""
-    share = F.avg(F.col("value").isNull().cast("int")).over(FEATURE)
+    share = F.avg(F.col("value").isNull().cast("int")).over(feature())
     return obs.withColumn("__nulls", share).where(F.col("__nulls") <= threshold).drop("__nulls")
 
 
 def _half_min(v: Column) -> Column:
-    half = F.min(v).over(FEATURE) / 2
+    half = F.min(v).over(feature()) / 2
     return F.when(half > 0, half).otherwise(F.lit(1.0))
 
 
@@ -35,20 +38,20 @@ def impute_group_median(obs: DataFrame) -> DataFrame:
 
 
 def drop_constant_features(obs: DataFrame) -> DataFrame:
-    return obs.withColumn("__d", F.max("value").over(FEATURE) > F.min("value").over(FEATURE)).where("__d").drop("__d")
+    return obs.withColumn("__d", F.max("value").over(feature()) > F.min("value").over(feature())).where("__d").drop("__d")
 
 
 def log_transform(obs: DataFrame, base: str = "log") -> DataFrame:
     """Logarithm of each feature, moved above zero where its minimum isn't; other bases than log2 and log10 are natural."""
-    low = F.min("value").over(FEATURE)
+    low = F.min("value").over(feature())
     moved = F.col("value") + F.when(low <= 0, F.abs(low) + 1).otherwise(F.lit(0.0)) + 1e-10
     return obs.withColumn("value", {"log2": F.log2, "log10": F.log10}.get(base, F.ln)(moved))
 
 
 def _scaled(obs: DataFrame, root: bool) -> DataFrame:
-    sd = F.stddev_samp("value").over(FEATURE)
+    sd = F.stddev_samp("value").over(feature())
     by = F.when(sd > 0, F.sqrt(sd) if root else sd).otherwise(F.lit(1.0))
-    return obs.withColumn("value", (F.col("value") - F.avg("value").over(FEATURE)) / by)
+    return obs.withColumn("value", (F.col("value") - F.avg("value").over(feature())) / by)
 
 
 def pareto_scale(obs: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def standard_scale(obs: DataFrame) -> DataFrame:
 def minmax_scale(obs: DataFrame, train: Column | None = None) -> DataFrame:
     """To [0, 1] by the rows for which ``train`` holds (all by default); a constant feature has range 1."""
     seen = F.col("value") if train is None else F.when(train, F.col("value"))
-    low, high = F.min(seen).over(FEATURE), F.max(seen).over(FEATURE)
+    low, high = F.min(seen).over(feature()), F.max(seen).over(feature())
     return obs.withColumn("value", (F.col("value") - low) / F.when(high > low, high - low).otherwise(F.lit(1.0)))
 
 
