@@ -158,9 +158,9 @@ class Toxicity:
         return np.array(x)
 
     def _fit(self, rows: list[tuple[str, int]], ridge: float = 0.02, rounds: int = 40) -> None:
-        x = np.array([self.vector(t) for t, _ in rows]).reshape(len(rows), -1)
+        self.weights = np.zeros(len(self.vector("")))
+        x = np.array([self.vector(t) for t, _ in rows])
         y = np.array([k for _, k in rows], float)
-        self.weights = np.zeros(x.shape[1] if len(rows) else len(self.vector("")))
         if not len(rows):
             self.weights[[len(KINDS), -1]] = 6.0, -3.0  # the hand-written lexicon alone
             return
