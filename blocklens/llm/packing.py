@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc
-from .tokens import word_ids
+from .tokens import ROOM, word_ids
 
 WINDOW = 2048
 #: Partly filled windows that one task keeps open; beyond it a document is cut to fill the fullest ones.
@@ -102,19 +102,20 @@ class SumOfSquares:
                     yield sequence
 
 
-def pack_documents(df: DataFrame, tokenizer: str, end_id: int, spaced: bool, window: int = WINDOW, max_open: int = MAX_OPEN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, end_id: int, spaced: bool, window: int = WINDOW, max_open: int = MAX_OPEN, doc_id: str = "doc_id", text: str = "text", room: int = ROOM) -> DataFrame:
     """Pack all rows' ids (whole text, then ``end_id``) into sequences of at most ``window`` ids.
 
     Each task packs the rows that it reads, so nothing is shuffled; ``sequence_id`` holds the task's partition above
     40 bits, so a task that runs again gives the same rows. Returns a row for each piece: ``doc_id, start, length,
     ids, doc_tokens, sequence_id, offset``. Null and empty texts are the end id alone; repeated rows are packed one
-    by one; a null doc_id stays null; an empty table gives no pieces. ``window`` is a power of two.
+    by one; a null doc_id stays null; an empty table gives no pieces. ``window`` is a power of two;
+    ``room`` bounds a worker's token tables.
     """
     end = np.asarray([end_id], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, packer = word_ids(tokenizer, spaced).ids, SumOfSquares(window, max_open)
+        ids_of, packer = word_ids(tokenizer, spaced, room).ids, SumOfSquares(window, max_open)
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -34,6 +35,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
+PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: Letters, then punctuation without an apostrophe: two pre-tokens at least, cut between the two.
 TAIL = re.compile(r"([^\W\d_]+)([.,!?;:#$%&*]+)")
 #: Below it no character is changed by NFC or, but for the dotted capital I, lowered to more than one.
@@ -57,6 +59,7 @@ class _Parts(dict):
     def __init__(self, owner: WordIds, lead: str):
         super().__init__()
         self.owner, self.lead, self.old = owner, lead, {}
+        self.mark = BYTE_LETTERS[32] if lead else ""
 
     def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
@@ -65,7 +68,7 @@ class _Parts(dict):
                 raise _Odd  # never kept, so it is found each time
             ids = self._made(part)
         if len(part) <= LONG:
-            if len(self) >= ROOM:
+            if len(self) >= self.owner.room:
                 self.old = dict(self)
                 self.clear()
             self[part] = ids
@@ -79,8 +82,10 @@ class _Parts(dict):
                 return self[head] + owner.line_end + owner.first[rest]
         if len(part) <= LONG:
             if part.isalpha():
-                if max(part) < LATIN and "İ" not in part:
-                    return owner.letters(self.lead + (part if owner.spaced else part.lower()))
+                if owner.spaced:
+                    return owner.letters(part, self.mark)
+                if part.isascii() or (max(part) < LATIN and "İ" not in part):
+                    return owner.letters(part.lower(), "")
             elif cut := TAIL.fullmatch(part):
                 return self[cut[1]] + owner.first[cut[2]]
         return owner.encode(self.lead + part)
@@ -95,8 +100,8 @@ class WordIds:
 
     CUT = re.compile(r"(?<=\S)(?= \S)")
 
-    def __init__(self, path: str, spaced: bool):
-        self.tokenizer, self.spaced = _library(path), spaced
+    def __init__(self, path: str, spaced: bool, room: int = ROOM):
+        self.tokenizer, self.spaced, self.room = _library(path), spaced, room
         self.model = self.tokenizer.model
         self.first = _Parts(self, "")
         self.later = _Parts(self, " ") if spaced else self.first
@@ -105,10 +110,11 @@ class WordIds:
     def encode(self, part: str) -> bytes:
         return np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids if part else [], "<u4").tobytes()
 
-    def letters(self, word: str) -> bytes:
-        """Ids of one pre-token of letters, by the library's BPE model itself."""
-        spelt = word if word.isascii() and word.isalpha() else "".join([BYTE_LETTERS[b] for b in word.encode()])
-        return np.asarray([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
+    def letters(self, word: str, mark: str) -> bytes:
+        """Ids of one pre-token, ``mark`` (nothing or a blank's letter) and letters, by the library's BPE model itself."""
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(mark + spelt)]
+        return PACK[len(ids)](*ids) if len(ids) < 32 else np.asarray(ids, "<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -124,9 +130,9 @@ class WordIds:
             return b"".join(map(self.encode, self.CUT.split(text)))
 
 
-def word_ids(name: str, spaced: bool) -> WordIds:
-    """The worker's own instance; made once for each file."""
-    return worker_state(("ids", name, spaced), lambda: WordIds(tokenizer_path(name), spaced))
+def word_ids(name: str, spaced: bool, room: int = ROOM) -> WordIds:
+    """The worker's own instance for a tokenizer's file; ``room`` bounds its tables (about 300 bytes an entry)."""
+    return worker_state(("ids", name, spaced, room), lambda: WordIds(tokenizer_path(name), spaced, room))
 
 
 class PieceCounts(dict):
