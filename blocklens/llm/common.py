@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -72,9 +74,18 @@ def tokenizer_path(name: str) -> str:
 _state: dict = {}
 
 
+def _give_back() -> None:
+    """Return freed memory to the system where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def worker_state(key, make):
     """What a Python worker keeps between tasks: one operator's tables at a time, so that they don't add up."""
     if key not in _state:
         _state.clear()
+        _give_back()
         _state[key] = make()
     return _state[key]

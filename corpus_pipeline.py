@@ -14,6 +14,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A language score below this, or ``und``, rejects a document.
 LEAST_SCORE = 0.25
 TOXIC = 0.3
+#: Entries in a worker's token tables: few, as workers of the stages before may still hold theirs.
+ROOM = 100_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 ids, a row for each piece (op 4)."""
     prepare(spark)
-    return packing.pack_documents(docs, "byte_bpe_50k.json", 1, spaced=True)
+    return packing.pack_documents(docs, "byte_bpe_50k.json", 1, spaced=True, room=ROOM)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
