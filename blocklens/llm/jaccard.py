@@ -405,3 +405,18 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     placed = real.select("doc_id", "n", "hi", "lo").join(of_class, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return placed.unionByName(rest)
+
+
+def oracle() -> str:
+    """The same in DuckDB, on the shingles' strings: all pairs of classes with a common shingle, then reachability."""
+    return r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+s as (select doc_id, list_sort(list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] end)) sh from w),
+c as (select sh, min(doc_id) id, len(sh) n from s where len(sh) > 0 group by sh),
+t as (select id, n, unnest(sh) token from c),
+l as (select a.id a, b.id b from t a join t b on a.token = b.token and a.id < b.id and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n group by a.id, b.id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e as (select a, b from l union all select b, a from l),
+r as (select id a, id b from c union select r.a, e.b from r join e on r.b = e.a),
+m as (select a id, min(b) least from r group by a)
+select s.doc_id, cast(len(s.sh) as bigint) n_shingles, coalesce(m.least, s.doc_id) component_id from s left join c on s.sh = c.sh left join m on m.id = c.id
+"""

@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.oracle()}
+    return {"op1_mix_sources": mixing.oracle(), "op10_ngram_jaccard": jaccard.oracle()}
