@@ -69,6 +69,11 @@ def settled(k: int, n: int, alpha: float = 0.05, confidence: float = 0.99) -> bo
     return binomial_cdf(k, n, alpha) < tail or 1 - binomial_cdf(k - 1, n, alpha) < tail
 
 
+def permutation_p(null: Column, true: Column) -> Column:
+    """Aggregate: the share of null values at least as large as ``true``, which itself counts as one; 1 without any."""
+    return (F.coalesce(F.sum((null >= true).cast("long")), F.lit(0)) + 1) / (F.count(null) + 1).cast("double")
+
+
 def correlation_p(r: float, n: int) -> float:
     """Two-sided p-value of a correlation: Student's t with n - 2 degrees of freedom, as a finite sum."""
     v = n - 2

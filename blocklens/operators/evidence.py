@@ -21,6 +21,15 @@ def find_consensus(importance: DataFrame, top_n: int = 15) -> DataFrame:
     return out.where("n_methods > 1")
 
 
+def selected_overlap(importance: DataFrame, top_n: int = 15) -> DataFrame:
+    """``a, b, n``: features that two methods (``a`` before ``b``) both have in their ``top_n``; pairs without any are
+    left out. ``importance`` as in ``find_consensus``."""
+    rank = F.row_number().over(Window.partitionBy("method").orderBy(F.desc("score"), "f_ord"))
+    top = importance.withColumn("__r", rank).where(F.col("__r") <= top_n).select("method", "m_ord", "layer", "feature")
+    other = top.select(F.col("method").alias("b"), F.col("m_ord").alias("after"), "layer", "feature")
+    return top.join(other, ["layer", "feature"]).where("m_ord < after").groupBy(F.col("method").alias("a"), "b").agg(F.count("*").alias("n"))
+
+
 def integrate_evidence(consensus: DataFrame, modules: DataFrame, traits: DataFrame, hubs: DataFrame) -> DataFrame:
     """Network support of each consensus feature.
 

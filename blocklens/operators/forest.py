@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import factorial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -119,3 +121,21 @@ class Forest:
                             share = factorial(len(s)) * factorial(len(own) - len(s) - 1) / factorial(len(own))
                             out[i, f] += share * (value[s | {f}] - v)
         return out / len(self.roots)
+
+
+def shapley_importance(rows: DataFrame, forest: Forest) -> DataFrame:
+    """``f, importance``: mean |Shapley value| over all rows and classes. Rows are explained where they are; a task
+    gives one sum for each feature."""
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = 0.0, 0
+        for batch in batches:
+            x = np.array(batch.column(0).to_pylist(), float)
+            if len(x):
+                total, n = total + np.abs(shared.value.shapley(x)).mean(axis=2).sum(axis=0), n + len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype="int32")), pa.array(total), pa.array(np.full(len(total), n, "int64"))], names=["f", "s", "n"])
+
+    sums = rows.select("x").mapInArrow(explain, "f int, s double, n long")
+    return sums.groupBy("f").agg((F.sum("s") / F.sum("n")).alias("importance"))

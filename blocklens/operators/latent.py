@@ -6,12 +6,12 @@ that a fit needs; they are gathered in one distributed pass whose shuffle is bou
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Features of all blocks together, at most: C is held on the driver.
@@ -51,6 +51,12 @@ class Moments:
         """The sums without some rows, given as their features and one-hot labels."""
         return Moments(self.n - len(x), self.xx - x.T @ x, self.xy - x.T @ y, self.yy - y.T @ y, self.x - x.sum(0), self.y - y.sum(0), self.classes)
 
+    def __add__(self, other: Moments) -> Moments:
+        return Moments(self.n + other.n, self.xx + other.xx, self.xy + other.xy, self.yy + other.yy, self.x + other.x, self.y + other.y, self.classes)
+
+    def zero(self) -> Moments:
+        return Moments(0.0, *(np.zeros_like(v) for v in (self.xx, self.xy, self.yy, self.x, self.y)), self.classes)
+
     def centred(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = max(self.n, 1)
         return self.xx - np.outer(self.x, self.x) / m, self.xy - np.outer(self.x, self.y) / m, self.yy - np.outer(self.y, self.y) / m
@@ -62,33 +68,78 @@ def block_rows(obs: DataFrame) -> DataFrame:
     return obs.groupBy("sample_id", "grp").agg(F.transform(cells, lambda c: c["value"]).alias("x"))
 
 
-def gather_moments(rows: DataFrame) -> Moments:
+def gather_moments(rows: DataFrame, max_features: int = MAX_FEATURES) -> Moments:
     """One pass over ``grp, x``: each task sums its own rows, the sums are added up by matrix row."""
+    return gather_fold_moments(rows.withColumn("fold", F.lit(0)), max_features)[0]
+
+
+def gather_fold_moments(rows: DataFrame, max_features: int = MAX_FEATURES) -> dict[int, Moments]:
+    """The moments of each ``fold`` (a few numbers), all in one pass; a task holds one matrix for each fold it meets."""
     classes = [r[0] for r in rows.select("grp").distinct().orderBy("grp").collect()]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float)
+            x, fold = np.array(batch.column(1).to_pylist(), float), batch.column(2).to_numpy()
             if not len(x):
                 continue
-            if x.shape[1] > MAX_FEATURES:
-                raise ValueError(f"more than {MAX_FEATURES} features")
+            if x.shape[1] > max_features:
+                raise ValueError(f"more than {max_features} features")
             hot = (np.array(batch.column(0).to_pylist(), object)[:, None] == np.array(classes, object)[None, :]).astype(float)
             z = np.hstack([x, hot, np.ones((len(x), 1))])
-            total = z.T @ z if total is None else total + z.T @ z
-        if total is not None:
+            for k in np.unique(fold):
+                own = z[fold == k]
+                totals[int(k)] = totals.get(int(k), 0.0) + own.T @ own
+        for k, total in totals.items():
             p = len(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(p, dtype="int32"), p)), pa.array(np.tile(np.arange(p, dtype="int32"), p)), pa.array(total.ravel())], names=["i", "j", "v"])
+            i = np.arange(p, dtype="int32")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(p * p, k, "int32")), pa.array(np.repeat(i, p)), pa.array(np.tile(i, p)), pa.array(total.ravel())], names=["fold", "i", "j", "v"])
 
-    sums = rows.select("grp", "x").mapInArrow(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    cells = rows.select("grp", "x", F.col("fold").cast("int").alias("fold")).mapInArrow(partial, "fold int, i int, j int, v double")
+    sums = cells.groupBy("fold", "i", "j").agg(F.sum("v").alias("v")).toPandas()
     if sums.empty:
         raise ValueError("no samples")
-    p = int(sums.i.max()) + 1
-    z = np.zeros((p, p))
-    z[sums.i, sums.j] = sums.v
-    q, f = len(classes), p - 1 - len(classes)
-    return Moments(z[-1, -1], z[:f, :f], z[:f, f : f + q], z[f : f + q, f : f + q], z[-1, :f], z[-1, f : f + q], classes)
+    p, q, out = int(sums.i.max()) + 1, len(classes), {}
+    f = p - 1 - q
+    for k, own in sums.groupby("fold"):
+        z = np.zeros((p, p))
+        z[own.i, own.j] = own.v
+        out[int(k)] = Moments(z[-1, -1], z[:f, :f], z[:f, f : f + q], z[f : f + q, f : f + q], z[-1, :f], z[-1, f : f + q], classes)
+    return out
+
+
+def project(x: Column, directions: np.ndarray, mean: np.ndarray) -> Column:
+    """``array<double>``: the centred ``x`` along each column of ``directions``, as one expression."""
+
+    def along(d: np.ndarray) -> Column:
+        products = F.zip_with(x, F.lit([float(v) for v in d]), lambda a, b: a * b)
+        return F.aggregate(products, F.lit(-float(mean @ d)), lambda s, v: s + v)
+
+    return F.array(*[along(d) for d in directions.T])
+
+
+def predict_rows(rows: DataFrame, model: SPLSDA | DIABLO) -> DataFrame:
+    """``rows`` with ``scores`` and ``predicted`` (the first class with the largest response), on the executors' JVMs."""
+    scored = rows.withColumn("scores", project(F.col("x"), model.rotation, model.mean))
+    response = F.array(*[F.aggregate(F.zip_with("scores", F.lit([float(v) for v in q]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for q in model.q])
+    best = F.transform(F.array(response), lambda r: F.array_position(r, F.array_max(r)))[0]
+    return scored.withColumn("predicted", F.element_at(F.lit(list(model.classes)), best.cast("int")))
+
+
+def cross_validate(rows: DataFrame, fit: Callable[[Moments], SPLSDA | DIABLO], cv: int = 5) -> DataFrame:
+    """``sample_id, grp, fold, predicted``: folds by the hashed sample id; each is predicted by a fit without it.
+
+    Two passes, whatever the number of folds: one gathers all folds' moments, from whose total each fit leaves out its
+    own; the other predicts. Nothing but the moments comes to the driver.
+    """
+    dealt = rows.withColumn("fold", F.pmod(F.xxhash64("sample_id"), F.lit(cv)).cast("int"))
+    parts = gather_fold_moments(dealt)
+    out = None
+    for k, own in parts.items():
+        rest = sum((m for j, m in parts.items() if j != k), own.zero())
+        one = predict_rows(dealt.where(F.col("fold") == k), fit(rest)).select("sample_id", "grp", "fold", "predicted")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def vip(w: np.ndarray, ss: np.ndarray) -> np.ndarray:
@@ -223,7 +274,11 @@ class DIABLO:
         w = self.w[self.part[block], comp]
         return [(int(i), float(w[i])) for i in np.argsort(-np.abs(w), kind="stable") if w[i] != 0]
 
+    @property
+    def rotation(self) -> np.ndarray:
+        """Directions of the blocks' mean scores, over all features."""
+        return np.vstack([self.w[b] @ np.linalg.pinv(self.p[b].T @ self.w[b]) for b in self.part]) / len(self.part)
+
     def predict(self, x: np.ndarray) -> list:
-        z = x - self.mean
-        t = sum(z[:, b] @ self.w[b] @ np.linalg.pinv(self.p[b].T @ self.w[b]) for b in self.part) / len(self.part)
+        t = (x - self.mean) @ self.rotation
         return [self.classes[i] for i in (t @ self.q.T).argmax(axis=1)]

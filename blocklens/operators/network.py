@@ -7,11 +7,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import correlation_p, feature_correlations, safe_corr
+from ..functions.stats import average_rank, correlation_p, feature_correlations, safe_corr
+from .latent import block_rows, gather_moments, project
 
 NETWORKS = ("unsigned", "signed", "signed_hybrid")
-#: Features of one layer that the clustering kernel takes, at most (0.8 GB a matrix).
-MAX_FEATURES = 10_000
+#: Features of one layer that the clustering kernel takes, at most (0.5 GB a matrix).
+MAX_FEATURES = 8_000
 
 
 def adjacency(corr: DataFrame, power: int = 6, network_type: str = "unsigned") -> DataFrame:
@@ -166,26 +167,33 @@ def detect_modules(tom: np.ndarray, min_module_size: int = 3, cut_height: float
     return np.array([renamed.get(k, 0) for k in labels]), merges
 
 
-def eigengene(x: np.ndarray) -> np.ndarray:
-    """First left singular vector times its value of the centred columns, with the sign of the mean profile."""
-    c = x - x.mean(axis=0)
-    u, s, _ = np.linalg.svd(c, full_matrices=False)
-    out = u[:, 0] * s[0]
-    return -out if out @ (x.mean(axis=1) - x.mean()) < 0 else out
-
-
-def eigengenes(x: np.ndarray, modules: np.ndarray) -> dict[int, np.ndarray]:
-    return {int(m): eigengene(x[:, modules == m]) for m in np.unique(modules) if m != 0 and (modules == m).sum() >= 2}
+def eigengene_axes(c: np.ndarray, modules: np.ndarray) -> dict[int, np.ndarray]:
+    """For each module of two features or more (0 left out), the direction (over all features) along which the centred
+    samples' scores are its eigengene: the first eigenvector of the module's part of ``c = X'X`` (X centred), which is
+    the first right singular vector of its columns. Its sign is the mean profile's."""
+    out = {}
+    for m in np.unique(modules):
+        own = np.flatnonzero(modules == m)
+        if m == 0 or len(own) < 2:
+            continue
+        part = c[np.ix_(own, own)]
+        v = np.linalg.eigh(part)[1][:, -1]
+        axis = np.zeros(len(c))
+        axis[own] = -v if v @ part.sum(axis=1) < 0 else v
+        out[int(m)] = axis
+    return out
 
 
-def merge_modules(x: np.ndarray, modules: np.ndarray, threshold: float = 0.25) -> np.ndarray:
-    """Modules whose eigengenes' |r| is high become one (anti-correlated ones too)."""
-    own = eigengenes(x, modules)
+def merge_modules(c: np.ndarray, modules: np.ndarray, threshold: float = 0.25) -> np.ndarray:
+    """Modules whose eigengenes' |r| is high become one (anti-correlated ones too); ``c`` as in ``eigengene_axes``."""
+    own = eigengene_axes(c, modules)
     if len(own) < 2:
         return modules
     names = sorted(own)
+    axes = np.array([own[m] for m in names])
+    shared = axes @ c @ axes.T
     with np.errstate(all="ignore"):
-        r = np.abs(np.nan_to_num(np.corrcoef([own[m] for m in names])))
+        r = np.abs(np.nan_to_num(shared / np.sqrt(np.outer(np.diag(shared), np.diag(shared)))))
     cluster = cut_tree(average_linkage(np.clip(1 - (r + r.T) / 2, 0, 1)), threshold)
     new = dict(zip(names, cluster))
     return np.array([new.get(int(m), int(m)) for m in modules])
@@ -202,10 +210,18 @@ def matrix(pairs: DataFrame, p: int, diagonal: float) -> np.ndarray:
     return out
 
 
-def run_network(x: np.ndarray, y: np.ndarray, obs: DataFrame, power: int | None = None, corr_method: str = "spearman", network_type: str = "unsigned", min_module_size: int | None = None, cut_height: float | None = None, merge_height: float = 0.25, top_n_hubs: int = 5) -> dict:
-    """All steps for one layer: ``x`` (samples by features in the order of f_ord, numbered from 0) and its long ``obs``."""
-    p, layer = x.shape[1], obs.first()["layer"]
-    spark = obs.sparkSession
+def run_network(obs: DataFrame, trait: DataFrame | None = None, power: int | None = None, corr_method: str = "spearman", network_type: str = "unsigned", min_module_size: int | None = None, cut_height: float | None = None, merge_height: float = 0.25, top_n_hubs: int = 5) -> dict:
+    """All steps for one layer without nulls, its features numbered from 0; ``trait`` (``sample_id, y``) is optional.
+
+    Only what the number of features bounds comes to the driver: the overlap matrix and the sums of products. The
+    samples' eigengenes and all correlations with the trait stay distributed.
+    """
+    first = obs.select("layer").first()
+    if first is None:
+        raise ValueError("no values")
+    layer, spark = first["layer"], obs.sparkSession
+    moments = gather_moments(block_rows(obs), MAX_FEATURES)
+    c, p = moments.centred()[0], len(moments.x)
     corr = feature_correlations(obs, corr_method).persist()
     scan = None
     if power is None:
@@ -221,45 +237,52 @@ def run_network(x: np.ndarray, y: np.ndarray, obs: DataFrame, power: int | None
             modules, merges = detect_modules(tom, least, used)
             if modules.any():
                 break
-    modules = merge_modules(x, modules, merge_height)
-    own = eigengenes(x, modules)
-
-    def r_of(v: np.ndarray) -> float:
-        if corr_method == "spearman":
-            v, t = _ranks(v), _ranks(y)
-        else:
-            t = y
-        return float(np.corrcoef(v, t)[0, 1]) if v.std() > 0 and t.std() > 0 else 0.0
-
-    trait = sorted(((m, int((modules == m).sum()), r_of(e)) for m, e in own.items()), key=lambda t: -abs(t[2]))
-    trait_rows = [(m, n, r, correlation_p(r, len(y)), abs(r)) for m, n, r in trait]
+    modules = merge_modules(c, modules, merge_height)
     table = spark.createDataFrame([(layer, int(f), int(m)) for f, m in enumerate(modules)], "layer string, f int, module int")
-    gs = spark.createDataFrame([(layer, f, abs(r_of(x[:, f]))) for f in range(p)], "layer string, f int, abs_r double")
-    hubs = hub_features(edges, table, gs, top_n_hubs)
+    genes = eigengene_scores(obs, eigengene_axes(c, modules), moments.x / max(moments.n, 1))
+    gs, module_trait = None, None
+    if trait is not None:
+        gs = _with_trait(obs.select("layer", "sample_id", F.col("f_ord").alias("f"), "value"), trait, "f", corr_method)
+        sizes = table.where("module <> 0").groupBy("module").agg(F.count("*").cast("int").alias("n_features"))
+        found = _with_trait(genes, trait, "module", corr_method).join(sizes, "module").collect()  # a row for each module
+        rows = [(r.module, r.n_features, r.r, correlation_p(r.r, r.n), r.abs_r) for r in found]
+        module_trait = spark.createDataFrame(sorted(rows, key=lambda r: (-r[4], r[0])), "module int, n_features int, correlation double, p_value double, abs_correlation double")
     return {
-        "power": power, "cut_height": used, "modules": table, "labels": modules, "merges": merges, "eigengenes": own, "hubs": hubs, "scan": scan, "adjacency": edges,
-        "module_trait": spark.createDataFrame(trait_rows, "module int, n_features int, correlation double, p_value double, abs_correlation double"),
+        "power": power, "cut_height": used, "modules": table, "labels": modules, "merges": merges, "eigengenes": genes,
+        "hubs": hub_features(edges, table, gs, top_n_hubs), "scan": scan, "adjacency": edges, "module_trait": module_trait,
     }
 
 
-def _ranks(v: np.ndarray) -> np.ndarray:
-    values, inverse, counts = np.unique(v, return_inverse=True, return_counts=True)
-    ends = np.cumsum(counts)
-    return (ends - (counts - 1) / 2)[inverse]
+def eigengene_scores(obs: DataFrame, axes: dict[int, np.ndarray], mean: np.ndarray) -> DataFrame:
+    """``layer, sample_id, module, value``: each sample's eigengenes, a projection of its own values."""
+    names = sorted(axes)
+    rows = obs.groupBy("layer", "sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f_ord", "value"))), lambda v: v["value"]).alias("x"))
+    if not names:
+        return rows.select("layer", "sample_id", F.lit(0).alias("module"), F.lit(0.0).alias("value")).where("false")
+    scores = rows.select("layer", "sample_id", project(F.col("x"), np.array([axes[m] for m in names]).T, mean).alias("s"))
+    return scores.select("layer", "sample_id", F.posexplode("s").alias("k", "value")).select("layer", "sample_id", F.element_at(F.lit(names), F.col("k") + 1).cast("int").alias("module"), "value")
+
+
+def _with_trait(values: DataFrame, trait: DataFrame, by: str, method: str) -> DataFrame:
+    """``layer, <by>, r, abs_r, n``: correlation (0 for constant values) with the trait, of ranks for ``spearman``."""
+    if method == "spearman":
+        values = average_rank(values.withColumn("feature", F.col(by)))
+        below = trait.groupBy("y").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("y")))  # a row for each level
+        trait = trait.join(below.select("y", (F.col("upto") - (F.col("c") - 1) / 2.0).alias("rank")), "y").select("sample_id", F.col("rank").alias("y"))
+    out = trait_correlation(values, trait, ["layer", by])
+    return out.select("layer", by, F.coalesce("r", F.lit(0.0)).alias("r"), F.coalesce("abs_r", F.lit(0.0)).alias("abs_r"), "n")
 
 
-def reduce_by_network(obs: DataFrame, samples: list[str], result: dict, strategy: str = "eigengenes_and_hubs") -> DataFrame:
+def reduce_by_network(obs: DataFrame, result: dict, strategy: str = "eigengenes_and_hubs") -> DataFrame:
     """The layer as module eigengenes (``ME_m``) and/or hub features, keyed by sample, in the order of f_ord."""
     if strategy not in ("eigengenes_only", "hubs_only", "eigengenes_and_hubs"):
         raise ValueError(f"unknown strategy: {strategy}")
-    spark, layer = obs.sparkSession, obs.first()["layer"]
-    who = obs.select("sample_id", "s_ord", "grp").distinct()
-    out = spark.createDataFrame([], obs.schema)
-    if strategy != "hubs_only" and result["eigengenes"]:
-        rows = [(layer, s, f"ME_{m}", k, float(v)) for k, (m, e) in enumerate(sorted(result["eigengenes"].items())) for s, v in zip(samples, e)]
-        made = spark.createDataFrame(rows, "layer string, sample_id string, feature string, f_ord int, value double").join(who, "sample_id")
+    out = obs.where("false")
+    if strategy != "hubs_only":
+        who = obs.select("sample_id", "s_ord", "grp").distinct()
+        made = result["eigengenes"].withColumns({"feature": F.concat(F.lit("ME_"), F.col("module").cast("string")), "f_ord": F.col("module") - 1}).join(who, "sample_id")
         out = out.unionByName(made.select(obs.columns))
     if strategy != "eigengenes_only":
         hubs = result["hubs"].where("is_hub").select(F.col("f").alias("f_ord"))
-        out = out.unionByName(obs.join(hubs, "f_ord", "left_semi").withColumn("f_ord", F.col("f_ord") + 1000).select(obs.columns))
+        out = out.unionByName(obs.join(F.broadcast(hubs), "f_ord", "left_semi").withColumn("f_ord", F.col("f_ord") + MAX_FEATURES).select(obs.columns))
     return out

@@ -98,6 +98,22 @@ def stability_selection(spark: SparkSession, fit: Callable[[np.ndarray, np.ndarr
     return out.withColumn("stable", F.col("selection_frequency") >= 0.8)
 
 
+def permutation_importance(spark: SparkSession, model, x: np.ndarray, y: np.ndarray, repeats: int = 10, seed: int = 42) -> DataFrame:
+    """``f, mean, std``: loss of ``model``'s accuracy when one feature is shuffled, a draw for each repeat in tasks."""
+    from pyspark.sql import functions as F
+
+    rng, base = np.random.RandomState(seed), float((model.predict(x) == y).mean())
+    work = [(f, rng.permutation(len(y))) for f in range(x.shape[1]) for _ in range(repeats)]
+
+    def kernel(data, number, draw):
+        z = data[0].copy()
+        z[:, number] = z[draw, number]
+        return [(number, base - float((model.predict(z) == data[1]).mean()))]
+
+    each = _spread(spark, (x, y), work, kernel, "f long, drop double")
+    return each.groupBy("f").agg(F.avg("drop").alias("mean"), F.stddev_pop("drop").alias("std"))
+
+
 def splsda_predictor(n_components: int = 2, keep=None) -> FitPredict:
     from .latent import SPLSDA, Moments
 

@@ -33,9 +33,9 @@ MODES = {
 
 def matrix_of(obs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
     """Values (samples in order of s_ord, features of f_ord), labels, sample ids and feature names of prepared layers."""
-    pdf = obs.select("layer", "sample_id", "s_ord", "grp", "feature", "f_ord", "value").toPandas()
-    if len(pdf) > resample.MAX_CELLS:
+    if obs.count() > resample.MAX_CELLS:  # counted before anything is fetched
         raise ValueError("too many values for the resampling kernels")
+    pdf = obs.select("layer", "sample_id", "s_ord", "grp", "feature", "f_ord", "value").toPandas()
     who = pdf.drop_duplicates("sample_id").sort_values(["s_ord", "sample_id"])
     features = pdf.drop_duplicates(["layer", "f_ord"]).sort_values(["layer", "f_ord"])
     wide = pdf.pivot(index="sample_id", columns=["layer", "f_ord"], values="value")
@@ -86,12 +86,12 @@ def reduced_layers(obs: DataFrame, mode: Mode, order: list[str], strategy: str =
     for row in aligned.groupBy("layer").agg(F.count_distinct("f_ord").alias("n")).orderBy("layer").collect():
         one = aligned.where(F.col("layer") == row["layer"])
         if row["n"] > mode.network_min_features:
-            x, y, samples, _ = matrix_of(one)
             places = one.select("f_ord").distinct().orderBy("f_ord").toPandas().f_ord.tolist()
             dense = F.create_map(*[v for i, f in enumerate(places) for v in (F.lit(f), F.lit(i))])
             one = one.withColumn("f_ord", F.element_at(dense, F.col("f_ord")))
-            found = network.run_network(x, np.array([float(order.index(v)) for v in y]), one)
-            small = network.reduce_by_network(one, samples, found, strategy)
+            levels = F.create_map(*[v for i, g in enumerate(order) for v in (F.lit(g), F.lit(float(i)))])
+            trait = one.select("sample_id", F.element_at(levels, F.col("grp")).alias("y")).distinct()
+            small = network.reduce_by_network(one, network.run_network(one, trait), strategy)
             one = one if small.isEmpty() else small
         out = one if out is None else out.unionByName(one.select(out.columns))
     return out

@@ -313,12 +313,62 @@ def _histogram(spark, d):
     return evidence.histogram(spark.read.parquet(f"{d}/orders.parquet"), "o_totalprice").select("bin", r6("low", 4).alias("low"), r6("high", 4).alias("high"), "n")
 
 
+@query("q_stop_rule", """with g as (select n, k from unnest(range(50, 225, 25)) a(n), unnest(range(0, 25)) b(k)),
+ c as (select n, k, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(0.95)) p, i from g, unnest(range(0, 25)) c(i) where i <= k)
+ select cast(n as integer) n, cast(k as integer) k, sum(p) < 0.005 or 1 - coalesce(sum(p) filter (i < k), 0) < 0.005 settled from c group by n, k""")
+def _stop(spark, d):
+    return spark.createDataFrame([(n, k, stats.settled(k, n)) for n in range(50, 225, 25) for k in range(25)], "n int, k int, settled boolean")
+
+
+@query("q_permutation_p", """with t as (select event_type, avg("value") true_value from events group by 1)
+ select event_type, round((count(*) filter (e."value" >= t.true_value) + 1) / (count(e."value") + 1), 6) + 0.0 p from events e join t using (event_type) group by 1""")
+def _permutation_p(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_type", "value")
+    true = e.groupBy("event_type").agg(F.avg("value").alias("true_value"))
+    return e.join(true, "event_type").groupBy("event_type").agg(r6(stats.permutation_p(F.col("value"), F.col("true_value"))).alias("p"))
+
+
+FIRST = GRAM + """, s as (select f_ord f, sum(v) filter (grp = (select min(grp) from x)) s from x group by 1), k as (select * from s order by abs(s) desc, f limit 5),
+ wt as (select s.f, case when k.f is null then 0 else s.s / sqrt((select sum(s * s) from k)) end w from s left join k on s.f = k.f)"""
+
+
+def _first_component(spark, d):
+    rows = latent.block_rows(small(spark, d))
+    return rows, latent.SPLSDA(1, 5, max_iter=1).fit(latent.gather_moments(rows))
+
+
+@query("q_pls_first_scores", f"with {FIRST} select sample_id, round(sum(v * w), 6) + 0.0 score from x join wt on wt.f = x.f_ord group by 1")
+def _first_scores(spark, d):
+    rows, m = _first_component(spark, d)
+    return latent.predict_rows(rows, m).select("sample_id", r6(F.col("scores")[0]).alias("score"))
+
+
+@query("q_pls_first_vip", f"with {FIRST} select f, round(sqrt(12) * abs(w), 6) + 0.0 vip, sqrt(12) * abs(w) >= 1 important from wt")
+def _first_vip(spark, d):
+    m = _first_component(spark, d)[1]
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(m.vip)], "f int, vip double").select("f", r6("vip").alias("vip"), (F.col("vip") >= 1).alias("important"))
+
+
+@query("q_module_sizes", "select range % 7 as \"module\", count(*) n from range(64) group by 1")
+def _module_sizes(spark, d):
+    names = embedding_layer(spark, d).select("f_ord").distinct()
+    return names.groupBy((F.col("f_ord") % 7).cast("long").alias("module")).agg(F.count("*").alias("n"))
+
+
+@query("q_selected_overlap", f"with {EMB}, {IMP} select a.method a, b.method b, count(*) n from tp a join tp b on a.f_ord = b.f_ord and a.m_ord < b.m_ord group by 1, 2")
+def _overlap(spark, d):
+    return evidence.selected_overlap(importance(spark, d), 30)
+
+
 # --- models: no SQL; tested against published numbers and plain versions
 
 
 def _matrix(spark, d, label=lambda v: v):
-    """All labelled vectors of the embeddings, for kernels that take a matrix."""
-    rows = sorted(latent.block_rows(embedding_layer(spark, d)).collect(), key=lambda r: int(r.sample_id))
+    """All labelled vectors of the embeddings, for kernels that take a matrix; counted before they are fetched."""
+    rows = latent.block_rows(embedding_layer(spark, d))
+    if rows.count() * 64 > resample.MAX_CELLS:
+        raise ValueError("too many values for the resampling kernels")
+    rows = sorted(rows.collect(), key=lambda r: int(r.sample_id))
     return np.array([r.x for r in rows]), np.array([label(r.grp) for r in rows], dtype=object)
 
 
@@ -365,5 +415,68 @@ def forest_importance(spark, d):
 
 @query("q_network_modules")
 def network_modules(spark, d):
+    return _network(spark, d)["modules"]
+
+
+def _network(spark, d):
+    return network.run_network(embedding_layer(spark, d), _trait(spark, d), power=2, min_module_size=3, cut_height=0.995)
+
+
+@query("q_eigengenes")
+def eigengenes(spark, d):
+    return _network(spark, d)["eigengenes"]
+
+
+@query("q_module_trait")
+def module_trait(spark, d):
+    return _network(spark, d)["module_trait"]
+
+
+@query("q_reduced_layer")
+def reduced_layer(spark, d):
+    return network.reduce_by_network(embedding_layer(spark, d), _network(spark, d))
+
+
+@query("q_splsda_cv")
+def splsda_cv(spark, d):
+    return latent.cross_validate(latent.block_rows(embedding_layer(spark, d)), latent.SPLSDA(2, 10).fit)
+
+
+@query("q_diablo_cv")
+def diablo_cv(spark, d):
+    return latent.cross_validate(latent.block_rows(embedding_layer(spark, d)), latent.DIABLO([32, 32], 2, [[5, 5], [5, 5]]).fit)
+
+
+@query("q_diablo_block_correlations")
+def diablo_block_correlations(spark, d):
+    m = latent.DIABLO([32, 32], 1).fit(latent.gather_moments(latent.block_rows(embedding_layer(spark, d))))
+    return spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(m.block_corr)], "block int, other int, r double")
+
+
+@query("q_diablo_selected")
+def diablo_selected(spark, d):
+    m = latent.DIABLO([32, 32], 2, [[5, 5], [5, 5]]).fit(latent.gather_moments(latent.block_rows(embedding_layer(spark, d))))
+    return spark.createDataFrame([(b, c, f, w) for b in range(2) for c in range(2) for f, w in m.selected(b, c)], "block int, component int, f int, loading double")
+
+
+@query("q_ordinal_cv")
+def ordinal_cv(spark, d):
     x, y = _matrix(spark, d, int)
-    return network.run_network(x, y.astype(float), embedding_layer(spark, d), power=2, min_module_size=3)["modules"]
+    y = y.astype(int)
+    rows = []
+    for m in ordinal.MODELS:
+        p = resample.cross_predict(resample.ordinal_predictor(m), x, y, 5).astype(int)
+        rows.append((m, float((p == y).mean()), float(np.abs(p - y).mean())))
+    return spark.createDataFrame(rows, "model string, accuracy double, mae double")
+
+
+@query("q_forest_permutation_importance")
+def forest_permutation_importance(spark, d):
+    x, y = _matrix(spark, d)
+    return resample.permutation_importance(spark, forest.Forest(20).fit(x, y), x, y, 2)
+
+
+@query("q_forest_shapley")
+def forest_shapley(spark, d):
+    model = forest.Forest(5).fit(*_matrix(spark, d))
+    return forest.shapley_importance(latent.block_rows(embedding_layer(spark, d)), model)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blocklens.functions import stats
-from blocklens.operators import latent, network, ordinal, prep, resample
+from blocklens.operators import forest, latent, network, ordinal, prep, resample
 from blocklens.operators.forest import Forest
 from blocklens.sources import layers
 
@@ -154,9 +154,31 @@ def test_network_kernels():
     r = np.corrcoef(x.T)
     modules, merges = network.detect_modules(np.abs(r), 3, 0.4)
     assert [set(modules[6 * k : 6 * k + 6]) for k in range(3)] == [{1}, {2}, {3}] and (np.diff(merges[:, 2]) >= 0).all()
-    assert set(network.merge_modules(x, modules, 0.999)) == {1}
-    e = network.eigengenes(x, modules)
-    assert np.corrcoef(e[1], x[:, :6].mean(1))[0, 1] > 0.99
+    z = x - x.mean(0)
+    assert set(network.merge_modules(z.T @ z, modules, 0.999)) == {1}
+    axes = network.eigengene_axes(z.T @ z, modules)
+    u, s, _ = np.linalg.svd(z[:, :6], full_matrices=False)
+    assert np.allclose(np.abs(z @ axes[1]), np.abs(u[:, 0] * s[0])) and np.corrcoef(z @ axes[1], x[:, :6].mean(1))[0, 1] > 0.99
+
+
+def test_network_of_a_layer(spark):
+    rng = np.random.RandomState(3)
+    base = rng.randn(24, 2)
+    x = np.hstack([base[:, [k]] + 0.1 * rng.randn(24, 5) for k in range(2)])
+    o = obs(spark, {f"f{i}": list(x[:, i]) for i in range(10)}, "ab" * 12)
+    y = np.round(base[:, 0])  # ties
+    trait = spark.createDataFrame([(f"s{i}", float(v)) for i, v in enumerate(y)], "sample_id string, y double")
+    for method in ("pearson", "spearman"):
+        found = network.run_network(o, trait, power=4, corr_method=method, cut_height=0.5)
+        assert [set(found["labels"][:5]), set(found["labels"][5:])] == [{1}, {2}]
+        got = {int(r.sample_id[1:]): r.value for r in found["eigengenes"].where("module = 1").collect()}
+        e = np.array([got[i] for i in range(24)])
+        rank = (lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])) if method == "spearman" else (lambda v: v)
+        r = {m.module: (m.correlation, m.n_features) for m in found["module_trait"].collect()}
+        assert abs(r[1][0] - np.corrcoef(rank(e), rank(y))[0, 1]) < 1e-9 and r[1][1] == 5
+        small = network.reduce_by_network(o, found)
+        assert {"ME_1", "ME_2"} <= {v.feature for v in small.select("feature").distinct().collect()} and small.where("feature = 'ME_1'").count() == 24
+    assert network.run_network(o, None, power=4, cut_height=0.5)["module_trait"] is None
 
 
 def test_overlap_invariants(spark):
@@ -203,6 +225,36 @@ def _mean(node):
     return (node[2][5] * _mean(node[2]) + node[3][5] * _mean(node[3])) / node[5]
 
 
+def test_rows_are_predicted_where_they_are(spark):
+    rng = np.random.RandomState(8)
+    y = np.array([f"c{i % 3}" for i in range(60)], object)
+    x = rng.randn(60, 6) + 2 * np.eye(3)[np.arange(60) % 3] @ rng.randn(3, 6)
+    rows = spark.createDataFrame([(f"s{i}", g, [float(v) for v in a]) for i, (g, a) in enumerate(zip(y, x))], "sample_id string, grp string, x array<double>")
+    for model in (latent.SPLSDA(2, 4).fit(latent.Moments.of(x, y)), latent.DIABLO([4, 2], 2).fit(latent.Moments.of(x, y))):
+        got = {r.sample_id: r for r in latent.predict_rows(rows, model).collect()}
+        assert [got[f"s{i}"].predicted for i in range(60)] == model.predict(x)
+        assert np.allclose([got[f"s{i}"].scores for i in range(60)], (x - model.mean) @ model.rotation)
+    folds = latent.cross_validate(rows, latent.SPLSDA(2, 4).fit, 4).collect()
+    at = {int(r.sample_id[1:]): r for r in folds}
+    for k in range(4):
+        test = np.array(sorted(i for i, r in at.items() if r.fold == k))
+        rest = np.setdiff1d(np.arange(60), test)
+        assert [at[i].predicted for i in test] == latent.SPLSDA(2, 4).fit(latent.Moments.of(x[rest], y[rest])).predict(x[test])
+    assert len(at) == 60
+
+
+def test_explanations_in_tasks(spark):
+    rng = np.random.RandomState(9)
+    y = np.array(list("ab") * 15, object)
+    x = np.column_stack([(y == "b") + 0.2 * rng.randn(30), rng.randn(30, 2)])
+    f = Forest(5).fit(x, y)
+    rows = spark.createDataFrame([([float(v) for v in a],) for a in x], "x array<double>")
+    got = {r.f: r.importance for r in forest.shapley_importance(rows, f).collect()}
+    assert np.allclose([got[i] for i in range(3)], np.abs(f.shapley(x)).mean(axis=(0, 2)))
+    drops = resample.permutation_importance(spark, f, x, y, 4).collect()
+    assert max(drops, key=lambda r: r["mean"]).f == 0 and len(drops) == 3
+
+
 def test_resampling(spark):
     rng = np.random.RandomState(7)
     y = np.repeat(np.array(["a", "b", "c"], object), 4)
