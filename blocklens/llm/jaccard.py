@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import worker_state, written
 
 N = 5
 #: Frequent shingles that are put last, at most, and those that one task reports.
@@ -38,7 +38,6 @@ _LOWER = np.arange(256, dtype="uint8")
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = [np.ones(1, "uint64"), np.ones(1, "uint64")]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,14 +46,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64: as long as the longest text so far asked for, and kept
+    only until another operator's tables take the worker's place for them."""
+    powers = worker_state("powers", lambda: [np.ones(1, "uint64"), np.ones(1, "uint64")])
+    if len(powers[0]) < n:
         size = 1 << n.bit_length()
         inverse = np.uint64(pow(int(_R), -1, 1 << 64))
-        _powers[0] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, _R)]).astype("uint64"))
-        _powers[1] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, inverse)]).astype("uint64"))
-    return _powers[0], _powers[1]
+        powers[0] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, _R)]).astype("uint64"))
+        powers[1] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, inverse)]).astype("uint64"))
+    return powers
 
 
 def shingles(text: str | None, n: int = N) -> np.ndarray:
