@@ -38,6 +38,8 @@ BYTE_LETTERS = _byte_letters()
 PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: Letters, then punctuation without an apostrophe: two pre-tokens at least, cut between the two.
 TAIL = re.compile(r"([^\W\d_]+)([.,!?;:#$%&*]+)")
+#: A line end between other characters is a pre-token.
+LINE_END = re.compile(r"(?<=\S)\n(?=\S)")
 #: Below it no character is changed by NFC or, but for the dotted capital I, lowered to more than one.
 LATIN = "\u0250"
 
@@ -77,9 +79,9 @@ class _Parts(dict):
     def _made(self, part: str) -> bytes:
         owner = self.owner
         if owner.spaced and "\n" in part and "<|" not in part:
-            head, rest = part.split("\n", 1)
-            if not head[-1].isspace() and not rest[0].isspace():  # a line end between other characters is a pre-token
-                return self[head] + owner.line_end + owner.first[rest]
+            head, *rest = LINE_END.split(part)
+            if rest:
+                return self[head] + b"".join([owner.line_end + owner.first[line] for line in rest])
         if len(part) <= LONG:
             if part.isalpha():
                 if owner.spaced:

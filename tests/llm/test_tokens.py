@@ -23,6 +23,11 @@ class TestWordIds:
             self.same(name, spaced, text)
         assert word_ids(name, spaced).ids(None) == b""
 
+    def test_many_lines(self, name, spaced):
+        lines = [f"{'wort日本x'[k % 7]}{k}" for k in range(10_000)]
+        for text in ("\n".join(lines), "a " + "\n".join(lines) + " b", "\n\n".join(lines[:700]) + "\n" + "\n".join(lines), "語。\n" * 5_000 + "x", "<|endoftext|>\n" + "\n".join(lines)):
+            self.same(name, spaced, text)
+
     def test_any(self, name, spaced):
         @settings(max_examples=300, deadline=None)
         @given(st.text(alphabet=st.one_of(st.sampled_from(list("abT Eé'.,!\n\t<|>sßİΣ1²▁ ")), st.characters(exclude_categories=["Cs"])), max_size=40))
