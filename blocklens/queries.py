@@ -45,10 +45,21 @@ def cells(df: DataFrame) -> DataFrame:
 
 
 def small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A block of 12 dimensions for the pair operators."""
+    """A block of 12 dimensions, those of the SQL of the queries that ``pair_query`` registers by their own names."""
     return embedding_layer(spark, sf_dir).where("f_ord < 12")
 
 
+def pair_query(name: str, sql: str):
+    """Registers f(obs, spark, d) as ``name`` on the 12 dimensions of its SQL and as ``name_all`` on all 64."""
+
+    def add(f):
+        query(name, sql)(lambda spark, d: f(small(spark, d), spark, d))
+        query(f"{name}_all", sql.replace(" where f_ord < 12", "").replace("sqrt(12)", "sqrt(64)"))(lambda spark, d: f(embedding_layer(spark, d), spark, d))
+        return f
+
+    return add
+
+
 def _steps(name: str, source: str, f, value: str, where: str = "") -> None:
     base, table, load = (EMB, "emb", embedding_layer) if source == "emb" else (EVENTS, "ev", event_layer)
     query(name, f'with {base}, s as (select *, {value} nv from {table} {where}) select {CELL}, round(nv, 6) + 0.0 "value" from s')(lambda spark, d: cells(f(load(spark, d))))
@@ -126,30 +137,30 @@ SMALL = EMB + ', x as (select * from emb where f_ord < 12), pr as (select a.f_or
 ADJ = SMALL + ", ad as (select i, j, abs(r) ^ 2 w from pr), bw as (select i, j, w from ad union all select j, i, w from ad), kk as (select i, sum(w) k from bw group by 1)"
 
 
-@query("q_pearson", f"with {SMALL} select 'emb' layer, i, j, round(r, 6) + 0.0 r from pr")
-def _pearson(spark, d):
-    return stats.feature_correlations(small(spark, d)).select("layer", "i", "j", r6("r").alias("r"))
+@pair_query("q_pearson", f"with {SMALL} select 'emb' layer, i, j, round(r, 6) + 0.0 r from pr")
+def _pearson(obs, spark, d):
+    return stats.feature_correlations(obs).select("layer", "i", "j", r6("r").alias("r"))
 
 
-@query("q_spearman", f'with {EMB}, x as (select sample_id, f_ord, rank() over (partition by f_ord order by "value") + (count(*) over (partition by f_ord, "value") - 1) / 2.0 v from emb where f_ord < 12) select \'emb\' layer, a.f_ord i, b.f_ord j, round(corr(a.v, b.v), 6) + 0.0 r from x a join x b on a.sample_id = b.sample_id and a.f_ord < b.f_ord group by a.f_ord, b.f_ord')
-def _spearman(spark, d):
-    return stats.feature_correlations(small(spark, d), "spearman").select("layer", "i", "j", r6("r").alias("r"))
+@pair_query("q_spearman", f'with {EMB}, x as (select sample_id, f_ord, rank() over (partition by f_ord order by "value") + (count(*) over (partition by f_ord, "value") - 1) / 2.0 v from emb where f_ord < 12) select \'emb\' layer, a.f_ord i, b.f_ord j, round(corr(a.v, b.v), 6) + 0.0 r from x a join x b on a.sample_id = b.sample_id and a.f_ord < b.f_ord group by a.f_ord, b.f_ord')
+def _spearman(obs, spark, d):
+    return stats.feature_correlations(obs, "spearman").select("layer", "i", "j", r6("r").alias("r"))
 
 
 for _kind, _e in (("unsigned", "abs(r) ^ 2"), ("signed", "((1 + r) / 2) ^ 2"), ("signed_hybrid", "greatest(r, 0) ^ 2")):
-    query(f"q_adjacency_{_kind}", f"with {SMALL} select 'emb' layer, i, j, round({_e}, 9) + 0.0 w from pr")(
-        lambda spark, d, k=_kind: network.adjacency(stats.feature_correlations(small(spark, d)), 2, k).select("layer", "i", "j", r6("w", 9).alias("w"))
+    pair_query(f"q_adjacency_{_kind}", f"with {SMALL} select 'emb' layer, i, j, round({_e}, 9) + 0.0 w from pr")(
+        lambda obs, spark, d, k=_kind: network.adjacency(stats.feature_correlations(obs), 2, k).select("layer", "i", "j", r6("w", 9).alias("w"))
     )
 
 
-@query("q_connectivity", f"with {ADJ} select 'emb' layer, i, round(k, 9) + 0.0 k from kk")
-def _connectivity(spark, d):
-    return network.connectivity(network.adjacency(stats.feature_correlations(small(spark, d)), 2)).select("layer", "i", r6("k", 9).alias("k"))
+@pair_query("q_connectivity", f"with {ADJ} select 'emb' layer, i, round(k, 9) + 0.0 k from kk")
+def _connectivity(obs, spark, d):
+    return network.connectivity(network.adjacency(stats.feature_correlations(obs), 2)).select("layer", "i", r6("k", 9).alias("k"))
 
 
-@query("q_tom", f"with {ADJ}, l as (select a.i, b.j, sum(a.w * b.w) l from bw a join bw b on a.j = b.i where a.i < b.j group by 1, 2) select 'emb' layer, ad.i, ad.j, round((coalesce(l, 0) + w) / (least(x.k, y.k) + 1 - w), 9) + 0.0 w from ad left join l on l.i = ad.i and l.j = ad.j join kk x on x.i = ad.i join kk y on y.i = ad.j")
-def _tom(spark, d):
-    return network.topological_overlap(network.adjacency(stats.feature_correlations(small(spark, d)), 2)).select("layer", "i", "j", r6("w", 9).alias("w"))
+@pair_query("q_tom", f"with {ADJ}, l as (select a.i, b.j, sum(a.w * b.w) l from bw a join bw b on a.j = b.i where a.i < b.j group by 1, 2) select 'emb' layer, ad.i, ad.j, round((coalesce(l, 0) + w) / (least(x.k, y.k) + 1 - w), 9) + 0.0 w from ad left join l on l.i = ad.i and l.j = ad.j join kk x on x.i = ad.i join kk y on y.i = ad.j")
+def _tom(obs, spark, d):
+    return network.topological_overlap(network.adjacency(stats.feature_correlations(obs), 2)).select("layer", "i", "j", r6("w", 9).alias("w"))
 
 
 SCAN = EMB + """, x as (select * from emb), pr as (select a.f_ord i, b.f_ord j, abs(corr(a."value", b."value")) r from x a join x b on a.sample_id = b.sample_id and a.f_ord < b.f_ord group by 1, 2),
@@ -181,10 +192,9 @@ def _trait_corr(spark, d):
     return out.select("f", r6("r").alias("r"), r6("abs_r").alias("abs_r"), "n")
 
 
-@query("q_hubs", f"""with {ADJ}, ki as (select i f, i % 3 + 1 module, sum(case when i % 3 = j % 3 then w else 0 end) k from bw group by 1), g as (select f_ord f, abs(corr("value", cast(grp as integer))) gs from x group by 1),
+@pair_query("q_hubs", f"""with {ADJ}, ki as (select i f, i % 3 + 1 module, sum(case when i % 3 = j % 3 then w else 0 end) k from bw group by 1), g as (select f_ord f, abs(corr("value", cast(grp as integer))) gs from x group by 1),
  h as (select f, module, k, k / max(k) over (partition by module) kn, k / max(k) over (partition by module) * gs hs from ki join g using (f)) select 'emb' layer, f, cast(module as integer) module, round(k, 9) + 0.0 k_in, round(kn, 6) + 0.0 k_norm, round(hs, 6) + 0.0 hub_score, row_number() over (partition by module order by hs desc, f) <= 2 is_hub from h""")
-def _hubs(spark, d):
-    obs = small(spark, d)
+def _hubs(obs, spark, d):
     edges = network.adjacency(stats.feature_correlations(obs), 2)
     modules = obs.select("layer", F.col("f_ord").alias("f"), (F.col("f_ord") % 3 + 1).alias("module")).distinct()
     gs = network.trait_correlation(obs.select("layer", "sample_id", F.col("f_ord").alias("f"), "value"), _trait(spark, d), ["layer", "f"])
@@ -194,15 +204,15 @@ def _hubs(spark, d):
 GRAM = EMB + ', x as (select sample_id, grp, f_ord, "value" - avg("value") over (partition by f_ord) v from emb where f_ord < 12)'
 
 
-@query("q_gram", f"with {GRAM} select a.f_ord i, b.f_ord j, round(sum(a.v * b.v), 6) + 0.0 c from x a join x b on a.sample_id = b.sample_id group by 1, 2")
-def _gram(spark, d):
-    c = latent.gather_moments(latent.block_rows(small(spark, d))).centred()[0]
+@pair_query("q_gram", f"with {GRAM} select a.f_ord i, b.f_ord j, round(sum(a.v * b.v), 6) + 0.0 c from x a join x b on a.sample_id = b.sample_id group by 1, 2")
+def _gram(obs, spark, d):
+    c = latent.gather_moments(latent.block_rows(obs)).centred()[0]
     return spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(c)], "i int, j int, c double").select("i", "j", r6("c").alias("c"))
 
 
-@query("q_pls_first_weights", f"with {GRAM}, s as (select f_ord f, sum(v) filter (grp = (select min(grp) from x)) s from x group by 1), k as (select * from s order by abs(s) desc, f limit 5) select s.f, round(case when k.f is null then 0 else s.s / sqrt((select sum(s * s) from k)) end, 6) + 0.0 w from s left join k on k.f = s.f")
-def _first(spark, d):
-    m = latent.SPLSDA(1, 5, max_iter=1).fit(latent.gather_moments(latent.block_rows(small(spark, d))))
+@pair_query("q_pls_first_weights", f"with {GRAM}, s as (select f_ord f, sum(v) filter (grp = (select min(grp) from x)) s from x group by 1), k as (select * from s order by abs(s) desc, f limit 5) select s.f, round(case when k.f is null then 0 else s.s / sqrt((select sum(s * s) from k)) end, 6) + 0.0 w from s left join k on k.f = s.f")
+def _first(obs, spark, d):
+    m = latent.SPLSDA(1, 5, max_iter=1).fit(latent.gather_moments(latent.block_rows(obs)))
     return spark.createDataFrame([(i, float(w)) for i, w in enumerate(m.w[:, 0])], "f int, w double").select("f", r6("w").alias("w"))
 
 
@@ -332,20 +342,20 @@ FIRST = GRAM + """, s as (select f_ord f, sum(v) filter (grp = (select min(grp)
  wt as (select s.f, case when k.f is null then 0 else s.s / sqrt((select sum(s * s) from k)) end w from s left join k on s.f = k.f)"""
 
 
-def _first_component(spark, d):
-    rows = latent.block_rows(small(spark, d))
+def _first_component(obs):
+    rows = latent.block_rows(obs)
     return rows, latent.SPLSDA(1, 5, max_iter=1).fit(latent.gather_moments(rows))
 
 
-@query("q_pls_first_scores", f"with {FIRST} select sample_id, round(sum(v * w), 6) + 0.0 score from x join wt on wt.f = x.f_ord group by 1")
-def _first_scores(spark, d):
-    rows, m = _first_component(spark, d)
+@pair_query("q_pls_first_scores", f"with {FIRST} select sample_id, round(sum(v * w), 6) + 0.0 score from x join wt on wt.f = x.f_ord group by 1")
+def _first_scores(obs, spark, d):
+    rows, m = _first_component(obs)
     return latent.predict_rows(rows, m).select("sample_id", r6(F.col("scores")[0]).alias("score"))
 
 
-@query("q_pls_first_vip", f"with {FIRST} select f, round(sqrt(12) * abs(w), 6) + 0.0 vip, sqrt(12) * abs(w) >= 1 important from wt")
-def _first_vip(spark, d):
-    m = _first_component(spark, d)[1]
+@pair_query("q_pls_first_vip", f"with {FIRST} select f, round(sqrt(12) * abs(w), 6) + 0.0 vip, sqrt(12) * abs(w) >= 1 important from wt")
+def _first_vip(obs, spark, d):
+    m = _first_component(obs)[1]
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(m.vip)], "f int, vip double").select("f", r6("vip").alias("vip"), (F.col("vip") >= 1).alias("important"))
 
 
