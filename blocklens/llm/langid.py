@@ -83,8 +83,34 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 80) ->
     return w.astype("float32")
 
 
+#: Share of a language's n-grams that may be any, when their log-likelihood is taken.
+ANY = 0.05
+
+
+def _likelihood(x: np.ndarray) -> np.ndarray:
+    """For each feature the log of its share in the rows' n-grams over its share if all were as frequent."""
+    share = np.einsum("ij,ij->j", x, x, dtype="float64")
+    return np.log((share / share.sum() * FEATURES + ANY) / (1 + ANY)).astype("float32")
+
+
+def _floor(x: np.ndarray) -> tuple[float, float]:
+    """Least mean log-likelihood of a long text in the language of the rows, and the spread of its n-grams: each half
+    of the rows is measured by the other, so neither depends on how many languages there are. A single row sets none."""
+    if len(x) < 2:
+        return -np.inf, 0.0
+    mean, square = [], []
+    for k in (0, 1):
+        likely, counts = _likelihood(x[1 - k :: 2]), x[k::2] ** 2
+        mean.append(counts @ likely)
+        square.append(counts @ likely**2)
+    m = np.concatenate(mean)
+    spread = float(np.sqrt(np.maximum(0, np.concatenate(square) - m * m)).mean())
+    return float(m.mean()) - spread, spread
+
+
 class Hierarchy:
-    """``families``: label lists. ``top``: a weight row for each family; ``inside``: for each pair in a family."""
+    """``families``: label lists. ``top``: a weight row for each family; ``inside``: for each pair in a family.
+    ``likely`` and ``floors`` tell by language whether a text looks like it at all."""
 
     def __init__(self, texts: list[str], labels: list[str]):
         x, label = np.empty((len(texts), FEATURES + 1), "float32"), []
@@ -111,11 +137,27 @@ class Hierarchy:
                 self.pairs.append((a, b))
                 weights.append(_svm(x[own], np.where(label[own] == a, 1.0, -1.0).astype("float32")))
         self.inside = np.array(weights, "float32") if weights else None
+        self.likely, self.floors = {}, {}
+        for code in self.labels:
+            own = x[label == code, :-1]
+            self.likely[code], self.floors[code] = _likelihood(own), _floor(own)
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        v = features(text) if self.labels else None
+        return ("und", 0.0) if v is None else self._best(v)
+
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """The prediction, and whether the text's n-grams are as likely in that language as those of labelled rows are;
+        the fewer letters, the more they may stray."""
         v = features(text) if self.labels else None
         if v is None:
-            return "und", 0.0
+            return "und", 0.0, False
+        code, score = self._best(v)
+        floor, spread = self.floors[code]
+        mean = float((v * v) @ self.likely[code])
+        return code, score, mean >= floor or mean >= floor - spread / max(1, sum(map(str.isalpha, text))) ** 0.5
+
+    def _best(self, v: np.ndarray) -> tuple[str, float]:
         family, sure = self.names[0], 1.0
         if self.top is not None:
             margin = self.top[:, :-1] @ v + self.top[:, -1]
@@ -146,8 +188,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     return Hierarchy([r[0] for r in rows], [r[1] for r in rows])
 
 
-def identify_language(df: DataFrame, model: Hierarchy, text: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score`` from the whole text.
+def identify_language(df: DataFrame, model: Hierarchy, text: str = "text", known: str | None = None) -> DataFrame:
+    """``df`` with ``lang_pred`` and ``score`` from the whole text, and whether it looks like that language as ``known``.
 
     Null and empty texts and those without a letter are ``und`` with score 0, and so is every text when no labelled
     row was learned from. Repeated rows get equal values; columns of these names are replaced.
@@ -158,10 +200,12 @@ def identify_language(df: DataFrame, model: Hierarchy, text: str = "text") -> Da
         own = worker_state(("language", made), lambda: shared.value)
         for batch in batches:
             at = batch.schema.get_field_index("__text")
-            got = [own.predict(t) for t in batch.column(at).to_pylist()]
+            got = list(map(own.judge if known else own.predict, batch.column(at).to_pylist()))
             rest = [i for i in range(batch.num_columns) if i != at]
-            columns = [*(batch.column(i) for i in rest), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names[i] for i in rest), "lang_pred", "score"])
+            columns = [*(batch.column(i) for i in rest), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), *([pa.array([g[2] for g in got], pa.bool_())] if known else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names[i] for i in rest), *added])
 
-    kept = df.drop("lang_pred", "score")
-    return kept.withColumn("__text", F.col(text)).mapInArrow(predict, kept.schema.add("lang_pred", "string").add("score", "double"))
+    added = ["lang_pred", "score", *([known] if known else [])]
+    kept = df.drop(*added)
+    schema = kept.schema.add("lang_pred", "string").add("score", "double")
+    return kept.withColumn("__text", F.col(text)).mapInArrow(predict, schema.add(known, "boolean") if known else schema)

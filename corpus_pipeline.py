@@ -11,7 +11,7 @@ from blocklens.llm import jaccard, langid, mixing, packing, toxicity
 from blocklens.llm.common import new_path, prepare
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A language score below this, or ``und``, rejects a document.
+#: Not used by the stage: a score depends on how many languages were learned. Its first test reads it.
 LEAST_SCORE = 0.25
 TOXIC = 0.3
 #: Entries in a worker's token tables: few, as workers of the stages before may still hold theirs.
@@ -19,10 +19,9 @@ ROOM = 100_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a recognised language (op 7)."""
+    """Keep documents in a recognised language (op 7): those whose n-grams are likely in the language predicted."""
     prepare(spark)
-    found = langid.identify_language(docs.select(*COLUMNS), langid.fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return langid.identify_language(docs.select(*COLUMNS), langid.fit(docs), known="known").where("known").select(*COLUMNS)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

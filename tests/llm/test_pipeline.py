@@ -1,5 +1,7 @@
 """The pipeline's stages against plain versions of their decisions."""
 
+import random
+
 import corpus_pipeline
 from blocklens.llm import jaccard, langid, mixing, toxicity
 
@@ -44,3 +46,20 @@ def test_stages(spark, tmp_path):
     assert all(total[r.doc_id] == got[r.doc_id] * r.doc_tokens for r in five) and total.keys() == got.keys()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     assert jaccard.N == 5
+
+
+def test_language_stage_rejects_unlearned_languages(spark, tmp_path):
+    syllables = {"en": "the and ing ion ent for tha nde has wh er at", "de": "ein sch ung der ich und che zu ver ä ß gen", "fr": "les eau ment que oir des é è tion aux en la", "es": "ción que los ñ ado de ar os mente ez la ll", "pl": "się nie prz ów ło wie czy ą dz ny ie go"}
+
+    def text(lang: str, seed: int, words: int) -> str:
+        r = random.Random(f"{lang}{seed}")
+        return " ".join("".join(r.choices(syllables[lang].split(), k=r.randint(1, 3))) for _ in range(words))
+
+    foreign = ["Москва является столицей России и крупнейшим городом страны.", "日本語の文章はここにあります。これはテストです。", "xqzv kkkj wrtp zzxq bvcm plkj qqqw", "Suomi on tasavalta ja sen pääkaupunki on Helsinki, jossa asuu paljon ihmisiä."]
+    for learned in (["en", "de", "fr", "es"], ["en", "de", "fr", "es", "pl"]):
+        rows = [(len(learned) * k + i, text(lang, k, 5 + 7 * (k % 9)), lang) for k in range(60) for i, lang in enumerate(learned)]
+        clean = [(10_000 + 100 * i + k, text(lang, 1_000 + k, 2 + k % 3), None) for i, lang in enumerate(learned) for k in range(20)]
+        odd = [(20_000 + k, t, None) for k, t in enumerate(foreign)]
+        docs = spark.createDataFrame([(*r, "s", len(r[1])) for r in rows + clean + odd], "doc_id long, text string, lang string, source string, n_chars long")
+        kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()}
+        assert kept == {r[0] for r in rows + clean}
