@@ -49,13 +49,13 @@ def count_tokens(df: DataFrame, model: str = "piece_bpe_32k.model", text: str =
     parts = frequent_pre_tokens(df.select(F.col(text).alias("text")), table)
     lengths = PieceCounts(place, {})
     # the compact form: one string with blanks between the pre-tokens, one array of lengths
-    table_form = (" ".join(parts), np.array([lengths[p] for p in parts], "uint8").tobytes())
+    table_form = (" ".join(parts), np.array([lengths[p] for p in parts], "<u2").tobytes())
     shared, made = spark.sparkContext.broadcast(table_form), uuid.uuid4().hex
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def table() -> PieceCounts:
             words, sizes = shared.value
-            return PieceCounts(tokenizer_path(model), dict(zip(words.split(" "), sizes)) if words else {})
+            return PieceCounts(tokenizer_path(model), dict(zip(words.split(" "), np.frombuffer(sizes, "<u2").tolist())) if words else {})
 
         lookup = worker_state(("pieces", made), table).__getitem__
         for batch in batches:

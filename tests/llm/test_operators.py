@@ -92,6 +92,16 @@ def test_token_counts(docs, none):
     assert token_count.count_tokens(none).count() == 0
 
 
+def test_token_counts_of_many_pieces(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    texts = ["\U0001F9FF" * 64, "\U00012345" * 64, "a " + "\U00012345" * 64 + " b"] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    assert max(len(model.encode(t)) for t in texts) > 256
+    assert sorted(r.n_tokens for r in token_count.count_tokens(df).collect()) == sorted(len(model.encode(t)) for t in texts)
+
+
 # 4
 
 
