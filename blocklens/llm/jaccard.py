@@ -1,22 +1,23 @@
 """Exact n-gram Jaccard join by signature trees, and its connected components.
 
-Documents with equal shingle sets form a class; its smallest doc_id stands for it. Two sets with Jaccard 0.8 share one
-of their first ``n - ceil(0.8 n) + 1`` shingles in any one order of all shingles; here frequent shingles (a bounded
-table of counts over all documents) come last, so passages that many documents share hardly ever bring documents
-together. Documents that meet at a shingle are joined by signature trees: nodes hold OR- and AND-combined token bitmaps
-and size ranges, and a dual traversal drops node pairs whose largest possible overlap is too small. Each class is first
-joined at its fullest shingle, which unites most groups of near copies; after that only shingles at which several
-components still meet are joined, in blocks, all of them, so no link between components is lost.
+Documents with equal shingle sets form a class. Two sets with Jaccard 0.8 share one of their first ``n - ceil(0.8 n) + 1``
+shingles in any one order of all shingles; here frequent shingles (a bounded table of counts over all documents) come
+last, so passages that many documents share hardly ever bring documents together. Classes that meet at a shingle are
+joined by signature trees: nodes hold OR- and AND-combined token bitmaps and size ranges, and a dual traversal drops node
+pairs whose largest possible overlap is too small; pairs of leaves are compared by XOR sketches, and what is left by the
+sets themselves. Each class is first joined at its fullest shingle, which unites most groups of near copies; where many
+classes meet, one document of each component is then joined with those of the others; after that the shingles at which
+several components still meet are joined in blocks, all of them, so no link between components is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import worker_state, written
@@ -26,8 +27,12 @@ N = 5
 HOT, REPORT = 1 << 16, 1 << 13
 #: Shingles that a task gathers before it counts them.
 GATHER = 1 << 21
-#: Documents in a block: more at one shingle are joined as pairs of blocks.
-BLOCK = 1024
+#: Documents in a block, and shingles of a block's documents, about: more at one shingle are joined as pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
+#: Bits of a bitmap or a sketch, at most.
+MOST_BITS = 1 << 15
+#: A class's number ends in its size's bucket (the logarithm to base 1.25): linked sets are in the same or adjacent ones.
+BUCKETS = 64
 #: Ids (8 bytes each) that are broadcast at most.
 BROADCAST_ROWS = 500_000
 LEAF, FAN = 16, 8
@@ -93,41 +98,11 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * common >= 4 * (len(a) + len(b) - common)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """A bit for each remainder of the hashes, flipped by each of them: at least twice as many bits as hashes."""
-    bits = 1 << max(6, (2 * len(s)).bit_length())
-    odd = np.bincount((s & np.uint64(bits - 1)).astype("int64"), minlength=bits) & 1
-    return np.packbits(odd.astype("uint8"), bitorder="little").tobytes()
-
-
-def may_link(sizes: list[int], sketches: list[bytes], groups: list, sides: list[int] | None = None) -> np.ndarray:
-    """Which documents may link with one of another group (and another side): sets that differ in d hashes have sketches
-    that differ in d bits at most, and linked sets of a and b hashes differ in (a + b) / 9 at most. A larger sketch is
-    folded to a smaller one's length."""
-    size, out = np.array(sizes), np.zeros(len(sizes), bool)
-    group = np.unique(np.array(groups), return_inverse=True)[1]
-    side = np.zeros(len(sizes), int) if sides is None else np.array(sides)
-    at: dict[int, list[int]] = {}
-    for i, x in enumerate(sketches):
-        at.setdefault(len(x), []).append(i)
-    maps = {n: np.frombuffer(b"".join([sketches[i] for i in own]), "uint64").reshape(len(own), -1) for n, own in at.items()}
-    for n, own in at.items():
-        here, bits = np.array(own), maps[n]
-        if 2 * n in at:
-            wide = maps[2 * n]
-            here, bits = np.concatenate([here, at[2 * n]]), np.concatenate([bits, wide[:, : n // 8] ^ wide[:, n // 8 :]])
-        for k in range(len(own)):
-            i, j = here[k], here[k + 1 :]
-            fit = (group[j] != group[i]) & (5 * size[j] >= 4 * size[i]) & (4 * size[j] <= 5 * size[i])
-            if sides is not None:
-                fit &= side[j] != side[i]
-            fit = np.flatnonzero(fit)
-            if len(fit):
-                differ = np.bitwise_count(bits[k + 1 :][fit] ^ bits[k]).sum(axis=1)
-                fit = fit[9 * differ.astype("int64") <= size[j[fit]] + size[i]]
-                out[j[fit]] = True
-                out[i] |= len(fit) > 0
-    return out
+def signatures(s: np.ndarray) -> tuple[bytes, bytes]:
+    """A bit for each remainder of the hashes: set by any of them (bitmap), and flipped by each of them (sketch)."""
+    bits = min(MOST_BITS, 1 << max(6, (2 * len(s)).bit_length()))
+    n = np.bincount((s & np.uint64(bits - 1)).astype("int64"), minlength=bits)
+    return tuple(np.packbits(x.astype("uint8"), bitorder="little").tobytes() for x in (n > 0, n & 1))
 
 
 class Forest:
@@ -160,10 +135,11 @@ class Node:
 
 
 def _tree(maps: np.ndarray, sizes: np.ndarray) -> Node:
-    level = [Node(i, min(i + LEAF, len(maps)), np.bitwise_or.reduce(maps[i : i + LEAF]), np.bitwise_and.reduce(maps[i : i + LEAF]), int(sizes[i : i + LEAF].min()), int(sizes[i : i + LEAF].max()), []) for i in range(0, len(maps), LEAF)]
+    """The root over documents sorted by size."""
+    level = [Node(i, min(i + LEAF, len(maps)), np.bitwise_or.reduce(maps[i : i + LEAF]), np.bitwise_and.reduce(maps[i : i + LEAF]), int(sizes[i]), int(sizes[min(i + LEAF, len(maps)) - 1]), []) for i in range(0, len(maps), LEAF)]
     while len(level) > 1:
         level = [
-            Node(c[0].first, c[-1].last, np.bitwise_or.reduce([x.any for x in c]), np.bitwise_and.reduce([x.all for x in c]), min(x.least for x in c), max(x.most for x in c), c)
+            Node(c[0].first, c[-1].last, np.bitwise_or.reduce([x.any for x in c]), np.bitwise_and.reduce([x.all for x in c]), c[0].least, c[-1].most, c)
             for c in (level[i : i + FAN] for i in range(0, len(level), FAN))
         ]
     return level[0]
@@ -177,6 +153,81 @@ def _can_link(u: Node, v: Node) -> bool:
     return 9 * overlap >= 4 * (u.least + v.least)
 
 
+def leaf_pairs(a: Node, b: Node, united: Callable[[Node, Node], bool]) -> Iterator[tuple[Node, Node]]:
+    """Dual traversal of two trees (or of one with itself): pairs of leaves that may hold a link and aren't ``united``."""
+    stack = [(a, b)]
+    while stack:
+        u, v = stack.pop()
+        if not _can_link(u, v) or united(u, v):
+            continue
+        if not u.children and not v.children:
+            yield u, v
+        elif u is v:
+            stack += [(x, y) for k, x in enumerate(u.children) for y in u.children[k:]]
+        elif u.children and (not v.children or u.last - u.first >= v.last - v.first):
+            stack += [(x, v) for x in u.children]
+        else:
+            stack += [(u, y) for y in v.children]
+
+
+class _Signed:
+    """Documents of one cell whose signatures have one length, sorted by size, and their tree. Wider ones can be folded."""
+
+    def __init__(self, at: np.ndarray, size: np.ndarray, maps: np.ndarray, sketches: np.ndarray):
+        self.at, self.size, self.maps, self.sketches = at, size, maps, sketches
+        self.root = _tree(maps, size)
+
+    def folded(self) -> _Signed:
+        half = self.maps.shape[1] // 2
+        return _Signed(self.at, self.size, self.maps[:, :half] | self.maps[:, half:], self.sketches[:, :half] ^ self.sketches[:, half:])
+
+
+def may_link(sizes: list[int], maps: list[bytes], sketches: list[bytes], groups: list, sides: list[int] | None = None) -> np.ndarray:
+    """Which documents may link with one of another group (and another side). Trees of bitmaps drop most pairs; the rest
+    are judged by sketches: sets that differ in d hashes have sketches that differ in d bits at most, and linked sets of
+    a and b hashes differ in (a + b) / 9 at most. A longer signature is folded to a shorter one's length."""
+    size, out = np.array(sizes), np.zeros(len(sizes), bool)
+    group = np.unique(np.array(groups), return_inverse=True)[1]
+    side = None if sides is None else np.array(sides)
+    lengths = np.array([len(m) for m in maps])
+    trees: dict[int, _Signed] = {}
+    for n in map(int, np.unique(lengths)):
+        own = np.flatnonzero(lengths == n)
+        own = own[np.argsort(size[own], kind="stable")]
+        trees[n] = _Signed(own, size[own], *(np.frombuffer(b"".join([x[i] for i in own]), "uint64").reshape(len(own), -1) for x in (maps, sketches)))
+    for n, a in trees.items():
+        for b in (a, trees[2 * n].folded()) if 2 * n in trees else (a,):
+
+            def united(u: Node, v: Node) -> bool:
+                here = group[a.at[u.first : u.last]]
+                return bool((here == here[0]).all() and (group[b.at[v.first : v.last]] == here[0]).all())
+
+            for u, v in leaf_pairs(a.root, b.root, united):
+                i, j = a.at[u.first : u.last][:, None], b.at[v.first : v.last][None, :]
+                fit = (group[i] != group[j]) & (5 * size[i] >= 4 * size[j]) & (5 * size[j] >= 4 * size[i])
+                if side is not None:
+                    fit &= side[i] != side[j]
+                if u is v:
+                    fit = np.triu(fit, 1)
+                x, y = np.nonzero(fit)
+                differ = np.bitwise_count(a.sketches[u.first + x] ^ b.sketches[v.first + y]).sum(axis=1, dtype="int64")
+                i, j = i[x, 0], j[0, y]
+                ok = 9 * differ <= size[i] + size[j]
+                out[i[ok]] = out[j[ok]] = True
+    return out
+
+
+def _two_may_link(a: tuple[int, bytes], b: tuple[int, bytes]) -> bool:
+    """The same for two documents, each a size and a sketch."""
+    (m, x), (n, y) = sorted((a, b), key=lambda d: len(d[1]))
+    if 5 * m < 4 * n or 5 * n < 4 * m:
+        return False
+    one, two = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    if len(x) < len(y):
+        two = (two >> 8 * len(x)) ^ (two & ((1 << 8 * len(x)) - 1))
+    return 9 * (one ^ two).bit_count() <= m + n
+
+
 def join_by_tree(sets: list[np.ndarray], groups: list, sides: list[int] | None = None) -> list[tuple[int, int]]:
     """Links (as places) that unite all of the documents that links unite: documents of one group count as united.
     With ``sides``, only documents of different sides are compared."""
@@ -185,7 +236,7 @@ def join_by_tree(sets: list[np.ndarray], groups: list, sides: list[int] | None =
         if forest.find(0) != forest.find(1) and linked(*sets):
             forest.unite(0, 1)
         return forest.edges
-    bits = 1 << max(8, min(16, (2 * max(map(len, sets), default=1)).bit_length()))
+    bits = min(MOST_BITS, 1 << max(8, (2 * max(map(len, sets), default=1)).bit_length()))
     maps = np.zeros((len(sets), bits // 8), "uint8")
     for i, s in enumerate(sets):
         flat = np.zeros(bits, "uint8")
@@ -197,19 +248,7 @@ def join_by_tree(sets: list[np.ndarray], groups: list, sides: list[int] | None =
     maps, sizes = np.ascontiguousarray(maps[order]).view("uint64"), np.array([len(sets[i]) for i in order])
     side = np.zeros(len(order), int) if sides is None else np.array([sides[i] for i in order])
     root = _tree(maps, sizes)
-    stack = [(root, root)]
-    while stack:
-        u, v = stack.pop()
-        if not _can_link(u, v) or len({forest.find(order[i]) for w in (u, v) for i in range(w.first, w.last)}) == 1:
-            continue
-        if u.children or v.children:
-            if u is v:
-                stack += [(a, b) for k, a in enumerate(u.children) for b in u.children[k:]]
-            elif u.children and (not v.children or u.last - u.first >= v.last - v.first):
-                stack += [(a, v) for a in u.children]
-            else:
-                stack += [(u, b) for b in v.children]
-            continue
+    for u, v in leaf_pairs(root, root, lambda u, v: len({forest.find(order[i]) for w in (u, v) for i in range(w.first, w.last)}) == 1):
         for i in range(u.first, u.last):
             j = np.arange(max(v.first, i + 1) if u is v else v.first, v.last)
             if sides is not None:
@@ -258,37 +297,46 @@ def frequent_shingles(df: DataFrame, size: int = HOT) -> np.ndarray:
     return np.array([r[0] for r in found.orderBy(F.desc("n"), "token").limit(size).collect()][::-1], "int64").view("uint64")
 
 
-def prefix(s: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first ``n - ceil(0.8 n) + 1`` shingles, frequent ones (``known`` sorted, with their ``rank``) last."""
+def prefix(s: np.ndarray, known: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n - ceil(0.8 n) + 1`` shingles, frequent ones (``known`` sorted, with their ``rank``) last: first those
+    that aren't frequent, then the others."""
     if not len(s):
-        return s
+        return s, s
     cost = np.zeros(len(s), "int64")
     if len(known):
         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
         cost = np.where(known[at] == s, rank[at] + 1, 0)
-    return s[np.lexsort((s, cost))][: len(s) - (4 * len(s) + 4) // 5 + 1]
+    first = np.lexsort((s, cost))[: len(s) - (4 * len(s) + 4) // 5 + 1]
+    rare = int((cost[first] == 0).sum())
+    return s[first[:rare]], s[first[rare:]]
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.empty(0, "uint64")]).view("int64")))
 
 
 def scan(df: DataFrame, hot: np.ndarray) -> DataFrame:
-    """``doc_id, hi, lo, n, prefix``: the set's 128-bit hash, its size and its first shingles."""
+    """``doc_id, mark, hi, lo, n, rare, frequent, bitmap, sketch``: the set's 128-bit hash, size, prefix and signatures."""
     order = np.argsort(hot)
     shared = df.sparkSession.sparkContext.broadcast((hot[order], order))
+    names = ["doc_id", "mark", "hi", "lo", "n", "rare", "frequent", "bitmap", "sketch"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t) for t in batch.column(2).to_pylist()]
             sums = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets]
             first = [prefix(s, known, rank) for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype("int32")
-            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*first, np.empty(0, "uint64")]).view("int64")))
+            signed = [signatures(s) for s in sets]
             hi, lo = (pa.array([int(x[k]) for x in sums], pa.int64()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), hi, lo, pa.array([len(s) for s in sets], pa.int64()), tokens, pa.array([sketch(s) for s in sets], pa.binary())], names=["doc_id", "hi", "lo", "n", "prefix", "sketch"])
+            columns = [*batch.columns[:2], hi, lo, pa.array([len(s) for s in sets], pa.int64()), *(_lists([f[k] for f in first]) for k in (0, 1)), *(pa.array([x[k] for x in signed], pa.binary()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.select("doc_id", "text").mapInArrow(read, "doc_id long, hi long, lo long, n long, prefix array<long>, sketch binary")
+    return df.select("doc_id", "mark", "text").mapInArrow(read, "doc_id long, mark long, hi long, lo long, n long, rare array<long>, frequent array<long>, bitmap binary, sketch binary")
 
 
-def _by_cell(batches: Iterator[pa.RecordBatch], cell, out) -> Iterator[pa.RecordBatch]:
+def _by_cell(batches: Iterator[pa.RecordBatch], cell: Callable[[list], list], out: Callable[[list], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``out`` of what ``cell`` gives for the rows of each ``cell, i, j``, which stand together."""
     rows: list = []
     for batch in batches:
@@ -303,27 +351,30 @@ def _by_cell(batches: Iterator[pa.RecordBatch], cell, out) -> Iterator[pa.Record
 
 
 def _dealt(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select("cell", "i", "j", "id", "comp", "block", *columns).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "id")
+    return df.select("cell", "i", "j", "c", "comp", "block", *columns).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "c")
 
 
 def _candidates(df: DataFrame) -> DataFrame:
-    """The rows of each cell (``n`` and ``sketch`` besides) whose document may link with another of the cell."""
+    """The rows of each cell (``n, bitmap, sketch`` besides) whose class may link with another component's of the cell."""
 
     def cell(rows: list) -> list[tuple]:
         if len({r[4] for r in rows}) < 2:
             return []
         sides = [r[5] for r in rows] if rows[0][1] != rows[0][2] else None
-        keep = may_link([r[6] for r in rows], [r[7] for r in rows], [r[4] for r in rows], sides)
+        if len(rows) == 2:
+            keep = [(sides is None or sides[0] != sides[1]) and _two_may_link(rows[0][6::2], rows[1][6::2])] * 2
+        else:
+            keep = may_link([r[6] for r in rows], [r[7] for r in rows], [r[8] for r in rows], [r[4] for r in rows], sides)
         return [r[:6] for r, k in zip(rows, keep) if k]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names=["cell", "i", "j", "id", "comp", "block"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names=["cell", "i", "j", "c", "comp", "block"])
 
-    return _dealt(df, "n", "sketch").mapInArrow(lambda batches: _by_cell(batches, cell, out), "cell long, i long, j long, id long, comp long, block long")
+    return _dealt(df, "n", "bitmap", "sketch").mapInArrow(lambda batches: _by_cell(batches, cell, out), "cell long, i long, j long, c long, comp long, block long")
 
 
 def _cells(df: DataFrame) -> DataFrame:
-    """Edges that unite the components of each cell's documents (``text`` besides), by signature trees."""
+    """Edges that unite the components of each cell's classes (``text`` besides), by signature trees."""
 
     def cell(rows: list) -> list[tuple[int, int]]:
         if len({r[4] for r in rows}) < 2:
@@ -337,14 +388,45 @@ def _cells(df: DataFrame) -> DataFrame:
     return _dealt(df, "text").mapInArrow(lambda batches: _by_cell(batches, cell, out), "a long, b long")
 
 
-def _joined(cells: DataFrame, sketches: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Edges of ``cells``: first the candidates by sketch, then exactly, by the texts of those alone."""
-    left = written(_candidates(cells.join(sketches, "id")), name)
-    ids = left.select("id").distinct()
+def _joined(cells: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """Edges of ``cells``: first the candidates by signatures, then exactly, by the texts of those alone."""
+    left = written(_candidates(cells.join(classes.select("c", "n", "bitmap", "sketch"), "c")), name)
+    found = left.count()
+    if not found:
+        return left.select(F.col("comp").alias("a"), F.col("comp").alias("b"))
+    owners = left.select("c").distinct().join(classes.select("c", "doc_id", "mark"), "c")
     # a small set of ids, by its counted size, is broadcast, so that the texts stay where they are; else both are shuffled
-    ids = F.broadcast(ids) if left.count() <= BROADCAST_ROWS else ids
-    texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    return written(_cells(left.join(texts, "id")), "links")
+    owners = F.broadcast(owners) if found <= BROADCAST_ROWS else owners
+    texts = docs.join(owners, ["doc_id", "mark"]).select("c", "text").dropDuplicates(["c"])
+    return written(_cells(left.join(texts, "c")), "links")
+
+
+def _capacity(c: str, block: int) -> str:
+    """Classes of c's size bucket that make a block."""
+    return f"cast(greatest(1, least({block}, floor({BLOCK_SHINGLES} / power(1.25, pmod({c}, {BUCKETS}) + 1)))) as long)"
+
+
+def _home_cells(df: DataFrame, block: int) -> DataFrame:
+    """A cell for each ``cell``; if its ``m`` classes are too many, or too large, one for each of its blocks alone."""
+    size = _capacity("c", block)
+    bucket = f"case when {size} < {block} then pmod(c, {BUCKETS}) + 1 else 0 end"
+    part = F.expr(f"({bucket}) * {1 << 32} + pmod(xxhash64(c), cast(ceil(m / {size}) as long))")
+    return df.select("cell", part.alias("i"), part.alias("j"), "c", "comp", part.alias("block"))
+
+
+def _all_cells(known: DataFrame, open_: DataFrame, block: int) -> DataFrame:
+    """All of ``known`` (``token, c, comp``) at the ``open_`` tokens: a cell for each, or for each pair of blocks of the
+    same or adjacent size buckets where the classes are too many or too large for one."""
+    whole = f"m <= {block} and {_capacity('top', block)} >= {block}"
+    single = known.join(open_.where(whole).select("token"), "token").select(F.col("token").alias("cell"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "c", "comp", F.lit(0).cast("long").alias("block"))
+    rows = known.join(open_.where(f"not ({whole})").select("token"), "token").withColumn("s", F.expr(f"pmod(c, {BUCKETS})"))
+    parts = rows.groupBy("token", "s").agg(F.expr(f"cast(ceil(count(*) / {_capacity('s', block)}) as long)").alias("parts"))
+    parts = parts.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("s", "parts"))).alias("parts"))  # BUCKETS entries at most
+    own = F.expr(f"s * {1 << 32} + pmod(xxhash64(c), parts[s])")
+    others = F.expr(f"flatten(transform(array(s - 1, s, s + 1), t -> if(parts[t] is null, array(), transform(sequence(0L, parts[t] - 1), h -> t * {1 << 32} + h))))")
+    split = rows.join(parts, "token").select("token", "c", "comp", own.alias("block"), F.explode(others).alias("other"))
+    split = split.select(F.col("token").alias("cell"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c", "comp", "block")
+    return single.unionByName(split)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -363,47 +445,64 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "comp")
 
 
+def _same_ids(real: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges between the classes of rows that share a doc_id."""
+    several = written(real.groupBy("doc_id").agg(F.min("hi").alias("a"), F.max("hi").alias("b"), F.min("lo").alias("x"), F.max("lo").alias("y")).where("a <> b or x <> y").select("doc_id"), "several")
+    rows = real.join(several, "doc_id", "left_semi").select("doc_id", "hi", "lo").distinct().join(classes.select("hi", "lo", "c"), ["hi", "lo"]).select("doc_id", "c")
+    return rows.join(rows.groupBy("doc_id").agg(F.min("c").alias("a")), "doc_id").select("a", F.col("c").alias("b"))
+
+
 def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row: the smallest doc_id that links of Jaccard 0.8 or more reach.
 
-    Null, empty and blank texts have no shingles and are linked with nothing. Repeated rows are in one component; a
-    doc_id stands for one document, so rows that share it share their component. A row without a doc_id gets its size
-    and a null component. Other columns are left out; an empty table gives an empty result.
+    Null, empty and blank texts have no shingles and are linked with nothing. Repeated rows are in one component. A doc_id
+    is one document: rows that share it share their component, and if their texts differ it has the links of each of them.
+    A row without a doc_id gets its size and a null component. Texts of any length are taken whole. Other columns are left
+    out, whatever their names; an empty table gives an empty result.
     """
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("mark", F.xxhash64("text"))
     sets = written(scan(docs, frequent_shingles(docs, hot)), "sets")
     real = sets.where("n > 0 and doc_id is not null")
-    classes = written(real.groupBy("hi", "lo").agg(F.min("doc_id").alias("id")), "classes")
-
-    # classes that meet at a shingle of their prefixes
-    stands = real.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
-    sketches = written(stands.select("id", "n", "sketch").dropDuplicates(["id"]), "sketches")
-    # one shuffle serves the count and the join
-    tokens = stands.select(F.explode("prefix").alias("token"), "id").repartition("token")
-    shared = tokens.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("token")
-    met = written(tokens.join(shared, "token", "left_semi").distinct(), "met")
-    members = met.groupBy("token").agg(F.count("*").alias("m"))
-    home = met.join(members, "token").groupBy("id").agg(F.max(F.struct("m", "token")).alias("x")).select("id", "x.token", "x.m")
-
-    # each class at its fullest shingle; more than a block's classes there are cut by their hash
-    part = F.expr(f"pmod(xxhash64(id), cast(ceil(m / {block}) as long))")
-    first = home.select(F.col("token").alias("cell"), part.alias("i"), part.alias("j"), "id", F.col("id").alias("comp"), part.alias("block"))
-    once = _joined(first, sketches, docs, "first")
-    labels = written(components(once), "united")
+
+    # equal sets have equal prefixes and signatures; one row stands for the class, and numbers are fixed by writing them
+    first = real.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "mark")).alias("w"), *[F.first(x).alias(x) for x in ("n", "rare", "frequent", "bitmap", "sketch")])
+    number = F.expr(f"monotonically_increasing_id() * {BUCKETS} + least({BUCKETS - 1}, cast(floor(ln(n) / ln(1.25)) as long))")
+    classes = written(first.select(number.alias("c"), "hi", "lo", "w.doc_id", "w.mark", "n", "rare", "frequent", "bitmap", "sketch"), "classes")
+
+    # classes that meet at a shingle of their prefixes, and how many do. A shingle that isn't in the table of frequent ones
+    # holds a small share of all; the table's own shingles are counted without bringing their rows together
+    rare = classes.select(F.explode("rare").alias("token"), "c").withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1")
+    often = classes.select(F.explode("frequent").alias("token"), "c")
+    often = often.join(F.broadcast(often.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")), "token")  # at most ``hot`` rows
+    met = written(rare.unionByName(often.select(*rare.columns)), "met")
+
+    # each class at its fullest shingle
+    home = met.groupBy("c").agg(F.max(F.struct("m", "token")).alias("x")).select("c", F.col("x.token").alias("cell"), "x.m", F.col("c").alias("comp"))
+    edges = _same_ids(real, classes).unionByName(_joined(_home_cells(home, block), classes, docs, "first"))
+    labels = components(edges)
+
+    def known() -> DataFrame:
+        return met.select("token", "c").join(labels.withColumnRenamed("id", "c"), "c", "left").select("token", "c", F.coalesce("comp", "c").alias("comp"))
+
+    # where more than a block's classes meet, one of each component with those of the others
+    several = F.min("comp").alias("a"), F.max("comp").alias("b")
+    full = written(known().groupBy("token").agg(*several, F.count("*").alias("m")).where(f"a <> b and m > {block}").select("token"), "full")
+    if not full.isEmpty():
+        one = known().join(full, "token").groupBy(F.col("token").alias("cell"), "comp").agg(F.min(F.struct(F.xxhash64("c", "token"), "c")).alias("x")).select("cell", "comp", "x.c")
+        many = one.join(one.groupBy("cell").agg(F.count("*").alias("m")), "cell")
+        edges = edges.unionByName(_joined(_home_cells(many, block), classes, docs, "second"))
+        labels = components(edges)
 
     # every shingle at which several components still meet; equal cells are joined once
-    known = met.join(labels, "id", "left").select("token", "id", F.coalesce("comp", "id").alias("comp"))
-    open_ = known.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("a <> b")
-    open_ = open_.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", F.expr(f"cast(ceil(m / {block}) as long)").alias("parts"))
-    cells = known.join(open_, "token").withColumn("block", F.expr("pmod(xxhash64(id), parts)"))
-    pairs = cells.select(F.col("token").alias("cell"), "id", "comp", "block", F.explode(F.expr("sequence(0L, parts - 1)")).alias("other"))
-    pairs = pairs.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "comp", "block")
-    twice = _joined(pairs, sketches, docs, "second")
-    final = components(once.unionByName(twice))
+    open_ = known().groupBy("token").agg(*several, F.count("*").alias("m"), F.max(F.expr(f"pmod(c, {BUCKETS})")).alias("top"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")).where("a <> b")
+    open_ = written(open_.groupBy("m", "x", "y").agg(F.min("token").alias("token"), F.max("top").alias("top")).select("token", "m", "top"), "open")
+    edges = edges.unionByName(_joined(_all_cells(known(), open_, block), classes, docs, "third"))
+    final = components(edges)
 
     # documents take the smallest id that their class's component holds
-    of_class = classes.join(final, "id", "left").select("hi", "lo", F.coalesce("comp", "id").alias("component_id"))
-    placed = real.select("doc_id", "n", "hi", "lo").join(of_class, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    of_class = classes.select("c", "hi", "lo", "doc_id").join(final.withColumnRenamed("id", "c"), "c", "left").select("hi", "lo", "doc_id", F.coalesce("comp", "c").alias("comp"))
+    least = of_class.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    placed = real.select("doc_id", "n", "hi", "lo").join(of_class.drop("doc_id").join(least, "comp"), ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return placed.unionByName(rest)
 

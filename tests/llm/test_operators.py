@@ -367,8 +367,44 @@ def test_tree_join(raw, sided):
         return up
 
     assert united(jaccard.join_by_tree(sets, list(range(len(sets))), sides)) == united(pairs)
-    may = jaccard.may_link([len(s) for s in sets], [jaccard.sketch(s) for s in sets], list(range(len(sets))), sides)
+    signed = [jaccard.signatures(s) for s in sets]
+    may = jaccard.may_link([len(s) for s in sets], [x[0] for x in signed], [x[1] for x in signed], list(range(len(sets))), sides)
     assert all(may[i] and may[j] for i, j in pairs)
+    assert all(jaccard._two_may_link((len(sets[i]), signed[i][1]), (len(sets[j]), signed[j][1])) for i, j in pairs)
+
+
+def test_tree_drops_unlike_documents():
+    """Of many random sets the trees and sketches keep the copies alone."""
+    rng = np.random.RandomState(1)
+    sets = [np.unique(rng.randint(0, 1 << 62, rng.randint(150, 260)).astype("uint64")) for _ in range(300)]
+    sets += [np.unique(np.concatenate([s[5:], rng.randint(0, 1 << 62, 3).astype("uint64")])) for s in sets[:10]]
+    signed = [jaccard.signatures(s) for s in sets]
+    may = jaccard.may_link([len(s) for s in sets], [x[0] for x in signed], [x[1] for x in signed], list(range(len(sets))))
+    assert may.nonzero()[0].tolist() == [*range(10), *range(300, 310)]
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (1, 0, 3, 2), (3, 2, 1, 0)])
+def test_repeated_ids_keep_all_links(spark, order):
+    """A doc_id whose rows have different texts has the links of each, in any order of the rows."""
+    a, b = prose(1, 60), prose(2, 60)
+    rows_ = [(1, a), (1, b), (5, a + " x y"), (6, b + " x y")]
+    df = spark.createDataFrame([rows_[k] for k in order] + [(9, prose(3, 60)), (1, a)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect()) == [(1, 1), (1, 1), (1, 1), (5, 1), (6, 1), (9, 9)]
+
+
+def test_long_documents_in_blocks(spark, monkeypatch):
+    """Cells are split by sizes, too: near copies of very different lengths, with blocks of few shingles."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 400)
+    rng, out = np.random.RandomState(5), []
+    base = prose(77, 300).split()
+    for k in range(60):
+        w = base[: 60 + 4 * k]
+        w[rng.randint(len(w))] = f"edit{k}"
+        out.append((k, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(out, "doc_id long, text string"), block=8, hot=30).collect()}
+    sets = plain_sets(out)
+    comp = plain_components(sets)
+    assert got == {k: (len(sets[k]), comp[k]) for k in sets}
 
 
 def test_prefixes_meet():
@@ -379,4 +415,4 @@ def test_prefixes_meet():
         if jaccard.linked(a, b):
             hot = np.sort(rng.permutation(np.union1d(a, b))[:10])
             rank = rng.permutation(len(hot))
-            assert len(np.intersect1d(jaccard.prefix(a, hot, rank), jaccard.prefix(b, hot, rank)))
+            assert len(np.intersect1d(*(np.concatenate(jaccard.prefix(x, hot, rank)) for x in (a, b))))
