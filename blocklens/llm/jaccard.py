@@ -29,6 +29,8 @@ HOT, REPORT = 1 << 16, 1 << 13
 GATHER = 1 << 21
 #: Documents in a block, and shingles of a block's documents, about: more at one shingle are joined as pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
+#: Bytes of texts that are hashed together.
+TOGETHER = 1 << 18
 #: Bits of a bitmap or a sketch, at most.
 MOST_BITS = 1 << 15
 #: A class's number ends in its size's bucket (the logarithm to base 1.25): linked sets are in the same or adjacent ones.
@@ -63,29 +65,48 @@ def _power(n: int) -> list[np.ndarray]:
     return powers
 
 
+def _together(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that come to about TOGETHER bytes, one text at least."""
+    first = total = 0
+    for i, n in enumerate(sizes):
+        if i > first and total + n > TOGETHER:
+            yield first, i
+            first, total = i, 0
+        total += n + 1
+    if sizes:
+        yield first, len(sizes)
+
+
+def shingle_sets(texts: list[str | None], n: int = N) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its ``n``-word shingles; fewer words make one; none make none."""
+    data = [(t or "").encode() for t in texts]
+    for a, z in _together([len(d) for d in data]):
+        b = _LOWER[np.frombuffer(b"\n".join([*data[a:z], b""]), "uint8")]
+        edge = np.diff((~_BLANK[b]).astype("int8"), prepend=0)
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        up, down = _power(len(b) + 1)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[b] * up[: len(b)], dtype="uint64")])
+        words = _mix((sums[last] - sums[first]) * down[first] + (last - first).astype("uint64"))
+        h = np.full(max(0, len(words) - n + 1), np.uint64(n), "uint64")
+        for i in range(n):
+            h = _mix(h * np.uint64(3) + words[i : i + len(h)])
+        begins = np.searchsorted(first, np.concatenate([[0], np.cumsum([len(d) + 1 for d in data[a:z]])])).tolist()
+        for x, y in zip(begins, begins[1:]):
+            if y - x >= n:
+                s = np.sort(h[x : y - n + 1])
+                same = s[1:] == s[:-1]
+                yield s[np.concatenate([[True], ~same])] if same.any() else s
+            elif x < y:
+                one = np.full(1, y - x, "uint64")
+                for i in range(x, y):
+                    one = _mix(one * np.uint64(3) + words[i : i + 1])
+                yield one
+            else:
+                yield np.empty(0, "uint64")
+
+
 def shingles(text: str | None, n: int = N) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's ``n``-word shingles; fewer words make one; none make none."""
-    b = _LOWER[np.frombuffer((text or "").encode(), "uint8")]
-    if not len(b):
-        return np.empty(0, "uint64")
-    word = ~_BLANK[b]
-    edge = np.diff(word.astype("int8"), prepend=0, append=0)
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(first):
-        return np.empty(0, "uint64")
-    up, down = _power(len(b) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[b] * up[: len(b)], dtype="uint64")])
-    words = _mix((sums[last] - sums[first]) * down[first] + (last - first).astype("uint64"))
-    if len(words) <= n:
-        h = np.full(1, len(words), "uint64")
-        for i in range(len(words)):
-            h = _mix(h * np.uint64(3) + words[i : i + 1])
-        return h
-    count = len(words) - n + 1
-    h = np.full(count, np.uint64(n), "uint64")
-    for i in range(n):
-        h = _mix(h * np.uint64(3) + words[i : i + count])
-    return np.unique(h)
+    return next(shingle_sets([text], n))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -100,7 +121,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def signatures(s: np.ndarray) -> tuple[bytes, bytes]:
     """A bit for each remainder of the hashes: set by any of them (bitmap), and flipped by each of them (sketch)."""
-    bits = min(MOST_BITS, 1 << max(6, (2 * len(s)).bit_length()))
+    bits = min(MOST_BITS, 1 << max(6, len(s).bit_length()))
     n = np.bincount((s & np.uint64(bits - 1)).astype("int64"), minlength=bits)
     return tuple(np.packbits(x.astype("uint8"), bitorder="little").tobytes() for x in (n > 0, n & 1))
 
@@ -171,30 +192,32 @@ def leaf_pairs(a: Node, b: Node, united: Callable[[Node, Node], bool]) -> Iterat
 
 
 class _Signed:
-    """Documents of one cell whose signatures have one length, sorted by size, and their tree. Wider ones can be folded."""
+    """Documents of one cell whose signatures have one length, sorted by size, and their tree (without bitmaps one leaf).
+    Longer signatures can be folded."""
 
     def __init__(self, at: np.ndarray, size: np.ndarray, maps: np.ndarray, sketches: np.ndarray):
         self.at, self.size, self.maps, self.sketches = at, size, maps, sketches
-        self.root = _tree(maps, size)
+        self.root = _tree(maps, size) if maps.size else Node(0, len(at), maps[0], maps[0], int(size[0]), int(size[-1]), [])
 
     def folded(self) -> _Signed:
-        half = self.maps.shape[1] // 2
-        return _Signed(self.at, self.size, self.maps[:, :half] | self.maps[:, half:], self.sketches[:, :half] ^ self.sketches[:, half:])
+        wide, half = self.maps.shape[1] // 2, self.sketches.shape[1] // 2
+        return _Signed(self.at, self.size, self.maps[:, :wide] | self.maps[:, wide:], self.sketches[:, :half] ^ self.sketches[:, half:])
 
 
-def may_link(sizes: list[int], maps: list[bytes], sketches: list[bytes], groups: list, sides: list[int] | None = None) -> np.ndarray:
+def may_link(sizes: list[int], maps: list[bytes] | None, sketches: list[bytes], groups: list, sides: list[int] | None = None) -> np.ndarray:
     """Which documents may link with one of another group (and another side). Trees of bitmaps drop most pairs; the rest
     are judged by sketches: sets that differ in d hashes have sketches that differ in d bits at most, and linked sets of
     a and b hashes differ in (a + b) / 9 at most. A longer signature is folded to a shorter one's length."""
     size, out = np.array(sizes), np.zeros(len(sizes), bool)
     group = np.unique(np.array(groups), return_inverse=True)[1]
     side = None if sides is None else np.array(sides)
-    lengths = np.array([len(m) for m in maps])
+    lengths = np.array([len(x) for x in sketches])
     trees: dict[int, _Signed] = {}
     for n in map(int, np.unique(lengths)):
         own = np.flatnonzero(lengths == n)
         own = own[np.argsort(size[own], kind="stable")]
-        trees[n] = _Signed(own, size[own], *(np.frombuffer(b"".join([x[i] for i in own]), "uint64").reshape(len(own), -1) for x in (maps, sketches)))
+        bits, odd = (np.frombuffer(b"".join([x[i] for i in own]) if x else b"", "uint64").reshape(len(own), -1 if x else 0) for x in (maps, sketches))
+        trees[n] = _Signed(own, size[own], bits, odd)
     for n, a in trees.items():
         for b in (a, trees[2 * n].folded()) if 2 * n in trees else (a,):
 
@@ -283,9 +306,9 @@ def frequent_shingles(df: DataFrame, size: int = HOT) -> np.ndarray:
 
         total = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingles(text))
-                total += len(held[-1])
+            for found in shingle_sets(batch.column(0).to_pylist()):
+                held.append(found)
+                total += len(found)
                 if total > GATHER:
                     merge()
                     total = 0
@@ -300,15 +323,15 @@ def frequent_shingles(df: DataFrame, size: int = HOT) -> np.ndarray:
 def prefix(s: np.ndarray, known: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n - ceil(0.8 n) + 1`` shingles, frequent ones (``known`` sorted, with their ``rank``) last: first those
     that aren't frequent, then the others."""
-    if not len(s):
-        return s, s
-    cost = np.zeros(len(s), "int64")
-    if len(known):
-        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-        cost = np.where(known[at] == s, rank[at] + 1, 0)
-    first = np.lexsort((s, cost))[: len(s) - (4 * len(s) + 4) // 5 + 1]
-    rare = int((cost[first] == 0).sum())
-    return s[first[:rare]], s[first[rare:]]
+    size = len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0
+    if not size or not len(known):
+        return s[:size], s[:0]
+    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+    found = known[at] == s
+    if not found.any():
+        return s[:size], s[:0]
+    rare, often = s[~found][:size], s[found][np.argsort(rank[at[found]])]
+    return rare, often[: size - len(rare)]
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -325,7 +348,7 @@ def scan(df: DataFrame, hot: np.ndarray) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(2).to_pylist()]
+            sets = list(shingle_sets(batch.column(2).to_pylist()))
             sums = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets]
             first = [prefix(s, known, rank) for s in sets]
             signed = [signatures(s) for s in sets]
@@ -355,7 +378,8 @@ def _dealt(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _candidates(df: DataFrame) -> DataFrame:
-    """The rows of each cell (``n, bitmap, sketch`` besides) whose class may link with another component's of the cell."""
+    """The rows of each cell (``n, bitmap, sketch`` besides) whose class may link with another component's of the cell.
+    Cells of a tree's leaf at most need no bitmaps."""
 
     def cell(rows: list) -> list[tuple]:
         if len({r[4] for r in rows}) < 2:
@@ -364,7 +388,7 @@ def _candidates(df: DataFrame) -> DataFrame:
         if len(rows) == 2:
             keep = [(sides is None or sides[0] != sides[1]) and _two_may_link(rows[0][6::2], rows[1][6::2])] * 2
         else:
-            keep = may_link([r[6] for r in rows], [r[7] for r in rows], [r[8] for r in rows], [r[4] for r in rows], sides)
+            keep = may_link([r[6] for r in rows], [r[7] for r in rows] if len(rows) > LEAF else None, [r[8] for r in rows], [r[4] for r in rows], sides)
         return [r[:6] for r, k in zip(rows, keep) if k]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -380,7 +404,7 @@ def _cells(df: DataFrame) -> DataFrame:
         if len({r[4] for r in rows}) < 2:
             return []
         sides = [r[5] for r in rows] if rows[0][1] != rows[0][2] else None
-        return [(rows[a][4], rows[b][4]) for a, b in join_by_tree([shingles(r[6]) for r in rows], [r[4] for r in rows], sides)]
+        return [(rows[a][4], rows[b][4]) for a, b in join_by_tree(list(shingle_sets([r[6] for r in rows])), [r[4] for r in rows], sides)]
 
     def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -389,11 +413,17 @@ def _cells(df: DataFrame) -> DataFrame:
 
 
 def _joined(cells: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Edges of ``cells``: first the candidates by signatures, then exactly, by the texts of those alone."""
-    left = written(_candidates(cells.join(classes.select("c", "n", "bitmap", "sketch"), "c")), name)
+    """Edges of ``cells`` (``m``: classes in the cell, at most): first the candidates by signatures, then exactly, by the
+    texts of those alone."""
+    signed = cells.join(classes.select("c", "n", "bitmap", "sketch"), "c").withColumn("bitmap", F.expr(f"if(m > {LEAF}, bitmap, null)"))
+    left = written(_candidates(signed), name)
     found = left.count()
     if not found:
         return left.select(F.col("comp").alias("a"), F.col("comp").alias("b"))
+    # the same classes may be left of several cells: one of those is enough
+    who = F.xxhash64("c", F.expr("i < j and block = i"))
+    alike = left.groupBy("cell", "i", "j").agg(F.count("*").alias("m"), F.sum(who.cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64(who)).alias("y"))
+    left = left.join(alike.groupBy("m", "x", "y").agg(F.min(F.struct("cell", "i", "j")).alias("k")).select("k.*"), ["cell", "i", "j"])
     owners = left.select("c").distinct().join(classes.select("c", "doc_id", "mark"), "c")
     # a small set of ids, by its counted size, is broadcast, so that the texts stay where they are; else both are shuffled
     owners = F.broadcast(owners) if found <= BROADCAST_ROWS else owners
@@ -411,24 +441,40 @@ def _home_cells(df: DataFrame, block: int) -> DataFrame:
     size = _capacity("c", block)
     bucket = f"case when {size} < {block} then pmod(c, {BUCKETS}) + 1 else 0 end"
     part = F.expr(f"({bucket}) * {1 << 32} + pmod(xxhash64(c), cast(ceil(m / {size}) as long))")
-    return df.select("cell", part.alias("i"), part.alias("j"), "c", "comp", part.alias("block"))
+    return df.select("cell", part.alias("i"), part.alias("j"), "c", "comp", part.alias("block"), "m")
 
 
-def _all_cells(known: DataFrame, open_: DataFrame, block: int) -> DataFrame:
-    """All of ``known`` (``token, c, comp``) at the ``open_`` tokens: a cell for each, or for each pair of blocks of the
-    same or adjacent size buckets where the classes are too many or too large for one."""
+def _all_cells(rows: DataFrame, block: int) -> DataFrame:
+    """All of the rows (``token, c, comp`` with the token's ``m, top, seen``): a cell for each token, or for each pair of
+    blocks of the same or adjacent size buckets where the classes are too many or too large for one."""
     whole = f"m <= {block} and {_capacity('top', block)} >= {block}"
-    single = known.join(open_.where(whole).select("token"), "token").select(F.col("token").alias("cell"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "c", "comp", F.lit(0).cast("long").alias("block"))
-    rows = known.join(open_.where(f"not ({whole})").select("token"), "token").withColumn("s", F.expr(f"pmod(c, {BUCKETS})"))
-    parts = rows.groupBy("token", "s").agg(F.expr(f"cast(ceil(count(*) / {_capacity('s', block)}) as long)").alias("parts"))
+    # a class whose size fits none of the others' can't link: no adjacent bucket is seen, and no bucket holds two
+    near = f"(seen & ((shiftleft(1L, s) >>> 1) | shiftleft(1L, s + 1))) <> 0 or bit_count(seen) < m"
+    rows = rows.withColumn("s", F.expr(f"cast(pmod(c, {BUCKETS}) as int)")).where(near)
+    zero = F.lit(0).cast("long")
+    single = rows.where(whole).select(F.col("token").alias("cell"), zero.alias("i"), zero.alias("j"), "c", "comp", zero.alias("block"), "m")
+    large = rows.where(f"not ({whole})")
+    parts = large.groupBy("token", "s").agg(F.expr(f"cast(ceil(count(*) / {_capacity('s', block)}) as long)").alias("parts"))
     parts = parts.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("s", "parts"))).alias("parts"))  # BUCKETS entries at most
     own = F.expr(f"s * {1 << 32} + pmod(xxhash64(c), parts[s])")
     others = F.expr(f"flatten(transform(array(s - 1, s, s + 1), t -> if(parts[t] is null, array(), transform(sequence(0L, parts[t] - 1), h -> t * {1 << 32} + h))))")
-    split = rows.join(parts, "token").select("token", "c", "comp", own.alias("block"), F.explode(others).alias("other"))
-    split = split.select(F.col("token").alias("cell"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c", "comp", "block")
+    split = large.join(parts, "token").select("token", "c", "comp", "m", own.alias("block"), F.explode(others).alias("other"))
+    split = split.select(F.col("token").alias("cell"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c", "comp", "block", "m")
     return single.unionByName(split)
 
 
+def _open(known: DataFrame) -> DataFrame:
+    """The rows of ``token, c, comp`` at tokens where several components meet, of equal groups of classes one, with the
+    token's number of classes, largest size bucket and a bit for each bucket."""
+    bucket = F.expr(f"cast(pmod(c, {BUCKETS}) as int)")
+    tokens = known.groupBy("token").agg(
+        F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m"), F.max(bucket).cast("long").alias("top"), F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(c, {BUCKETS}) as int))")).alias("seen"),
+        F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"),
+    ).where("a <> b")
+    tokens = tokens.groupBy("m", "x", "y").agg(F.min(F.struct("token", "top", "seen")).alias("t")).select("t.token", "m", "t.top", "t.seen")
+    return written(known.join(tokens, "token"), "open")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id, comp`` for each end of an edge: its component's smallest id. Labels spread to neighbours and then jump to
     their label's label, until nothing changes; each round is written to the shared folder."""
@@ -481,22 +527,21 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     edges = _same_ids(real, classes).unionByName(_joined(_home_cells(home, block), classes, docs, "first"))
     labels = components(edges)
 
-    def known() -> DataFrame:
-        return met.select("token", "c").join(labels.withColumnRenamed("id", "c"), "c", "left").select("token", "c", F.coalesce("comp", "c").alias("comp"))
+    # shingles at which several components meet; equal cells are joined once
+    known = written(met.select("token", "c").join(labels.withColumnRenamed("id", "c"), "c", "left").select("token", "c", F.coalesce("comp", "c").alias("comp")), "known")
+    open_ = _open(known)
 
-    # where more than a block's classes meet, one of each component with those of the others
-    several = F.min("comp").alias("a"), F.max("comp").alias("b")
-    full = written(known().groupBy("token").agg(*several, F.count("*").alias("m")).where(f"a <> b and m > {block}").select("token"), "full")
+    # where more than a block's classes meet, first one of each component with those of the others
+    full = open_.where(f"m > {block}")
     if not full.isEmpty():
-        one = known().join(full, "token").groupBy(F.col("token").alias("cell"), "comp").agg(F.min(F.struct(F.xxhash64("c", "token"), "c")).alias("x")).select("cell", "comp", "x.c")
+        one = full.groupBy(F.col("token").alias("cell"), "comp").agg(F.min(F.struct(F.xxhash64("c", "token"), "c")).alias("x")).select("cell", "comp", "x.c")
         many = one.join(one.groupBy("cell").agg(F.count("*").alias("m")), "cell")
         edges = edges.unionByName(_joined(_home_cells(many, block), classes, docs, "second"))
-        labels = components(edges)
+        labels = components(edges).withColumnRenamed("id", "c").withColumnRenamed("comp", "new")
+        open_ = _open(open_.select("token", "c", "comp").join(labels, "c", "left").select("token", "c", F.coalesce("new", "comp").alias("comp")))
 
-    # every shingle at which several components still meet; equal cells are joined once
-    open_ = known().groupBy("token").agg(*several, F.count("*").alias("m"), F.max(F.expr(f"pmod(c, {BUCKETS})")).alias("top"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")).where("a <> b")
-    open_ = written(open_.groupBy("m", "x", "y").agg(F.min("token").alias("token"), F.max("top").alias("top")).select("token", "m", "top"), "open")
-    edges = edges.unionByName(_joined(_all_cells(known(), open_, block), classes, docs, "third"))
+    # then all of them
+    edges = edges.unionByName(_joined(_all_cells(open_, block), classes, docs, "third"))
     final = components(edges)
 
     # documents take the smallest id that their class's component holds

@@ -370,6 +370,8 @@ def test_tree_join(raw, sided):
     signed = [jaccard.signatures(s) for s in sets]
     may = jaccard.may_link([len(s) for s in sets], [x[0] for x in signed], [x[1] for x in signed], list(range(len(sets))), sides)
     assert all(may[i] and may[j] for i, j in pairs)
+    leaf = jaccard.may_link([len(s) for s in sets], None, [x[1] for x in signed], list(range(len(sets))), sides)
+    assert all(leaf[i] and leaf[j] for i, j in pairs)
     assert all(jaccard._two_may_link((len(sets[i]), signed[i][1]), (len(sets[j]), signed[j][1])) for i, j in pairs)
 
 
