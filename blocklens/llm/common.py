@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 import zlib
@@ -11,6 +12,9 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables of ``written`` that ``forget`` hasn't deleted, and what a worker keeps.
+_written: dict = {}
+_state: dict = {}
 #: Rows in one Arrow batch; keeps a Python worker's memory to a few MB of text at a time.
 BATCH_ROWS = 512
 
@@ -23,12 +27,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Only where the session names none and everything runs in one process
+    (as in tests) is it a temporary one; a cluster without a shared folder is refused."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         place = "file://" + tempfile.mkdtemp(prefix="blocklens-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(place)
@@ -45,7 +52,17 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _written.setdefault(id(back), (back, path))
+    return back
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    _, path = _written.pop(id(df), (None, None))
+    if path:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +88,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-_state: dict = {}
 
 
 def _give_back() -> None:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import worker_state, written
+from .common import forget, worker_state, written
 
 N = 5
 #: Frequent shingles that are put last, at most, and those that one task reports.
@@ -478,17 +478,20 @@ def _open(known: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``id, comp`` for each end of an edge: its component's smallest id. Labels spread to neighbours and then jump to
     their label's label, until nothing changes; each round is written to the shared folder."""
-    both = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("comp")), "labels")
+    pairs = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("comp")).withColumn("old", F.col("id")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("comp").alias("near"))
-        spread = labels.join(near, labels.id == near.a).select("id", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
+        now = labels.select("id", "comp")
+        near = both.join(now, both.b == now.id).groupBy("a").agg(F.min("comp").alias("near"))
+        spread = now.join(near, now.id == near.a).select("id", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
+        jump = now.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
         new = written(spread.join(jump, "comp", "left").select("id", F.least("comp", F.coalesce("further", "comp")).alias("comp"), "old"), "labels")
+        forget(labels)
         if new.where("comp <> old").isEmpty():
+            forget(pairs)
             return new.select("id", "comp")
-        labels = new.select("id", "comp")
+        labels = new
 
 
 def _same_ids(real: DataFrame, classes: DataFrame) -> DataFrame:
