@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Words in a block, and slots that are ranked together.
 BLOCK, CHUNK = 256, 1 << 14
 #: The golden ratio's fraction as a 32-bit integer: slot i's point is i * GOLDEN mod 2**32.
 GOLDEN, UNIT = 2654435769, 1 << 32
 #: Weights of the sources in code point order, null last, repeating.
 WEIGHTS = (3, 1, 2)
+#: Documents that are ordered together, at least: they grow with the square root of all rows, and so do the buckets.
+BUCKET = 500
 #: More sources than this are refused: their table is held on the driver and broadcast.
 MAX_SOURCES = 100_000
 
@@ -51,7 +57,7 @@ def mix_sources(df: DataFrame, source: str = "source", text: str = "text", key:
     repeated rows are mixed one by one; equal keys are ordered by text; an empty table gives empty frames.
     """
     spark = df.sparkSession
-    sized = df.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("tie"))
+    sized = written(df.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("tie")), "sized")
     known = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
     if len(known) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -67,7 +73,8 @@ def mix_sources(df: DataFrame, source: str = "source", text: str = "text", key:
     plan = F.broadcast(plan)  # at most MAX_SOURCES rows
 
     # documents in shuffled order: the hash's first digits give a bucket, so that no source is ordered in one task
-    n_buckets = max(1, min(4096, sum(r.rows for r in known) // 2000))
+    n_rows = sum(r.rows for r in known)
+    n_buckets = max(1, n_rows // max(BUCKET, math.isqrt(n_rows)))
     hashed = sized.join(plan, sized.source.eqNullSafe(plan.source)).drop(plan.source).withColumn("h", F.substring(F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")), 1, 12))
     hashed = hashed.withColumn("bucket", F.expr(f"cast(conv(substr(h, 1, 8), 16, 10) as long) * {n_buckets} div {UNIT}"))
     per_bucket = hashed.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
@@ -80,7 +87,11 @@ def mix_sources(df: DataFrame, source: str = "source", text: str = "text", key:
     # the schedule
     n_slots = -(-total // block)
     points = spark.range(n_slots).select(F.col("id").alias("slot"), F.expr(f"(id % {UNIT}) * {GOLDEN} % {UNIT}").alias("x"))
-    slots = points.join(plan, (points.x >= F.col("lo")) & (points.x < F.col("hi"))).select("slot", F.expr(f"slot div {CHUNK}").alias("chunk"), "s")
+    # a source's part of the points touches some equal stretches of them, in all fewer than stretches and sources together
+    stretch = UNIT >> min(31, (4 * len(known)).bit_length())
+    parts = F.broadcast(plan.where("hi > lo").select("s", "lo", "hi", F.explode(F.expr(f"sequence(lo div {stretch}, (hi - 1) div {stretch})")).alias("stretch")))
+    points = points.withColumn("stretch", F.expr(f"x div {stretch}"))
+    slots = points.join(parts, "stretch").where("x >= lo and x < hi").select("slot", F.expr(f"slot div {CHUNK}").alias("chunk"), "s")
     counts = slots.groupBy("s", "chunk").agg(F.count("*").alias("n"))
     earlier = counts.select("s", "chunk", (F.sum("n").over(Window.partitionBy("s").orderBy("chunk")) - F.col("n")).alias("base"))
     ranked = slots.withColumn("r", F.row_number().over(Window.partitionBy("s", "chunk").orderBy("slot")) - 1).join(earlier, ["s", "chunk"]).select("slot", "s", (F.col("base") + F.col("r")).alias("rank"))
