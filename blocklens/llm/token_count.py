@@ -1,4 +1,8 @@
-"""Token counts: a broadcast table of frequent pre-token lengths, then worker caches; no pre-token is shuffled."""
+"""Token counts: a broadcast table of frequent pre-token lengths, then worker caches; no pre-token is shuffled.
+
+The table comes from bounded counts that tasks hand to the driver through an accumulator, which keeps a bounded table of
+its own, so there is no exchange in either pass.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import AccumulatorParam
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +24,24 @@ TABLE = 32_768
 #: Pre-tokens that one task reports, and that it keeps while it counts.
 REPORT, KEEP = 2_048, 200_000
 
+class _Frequent(AccumulatorParam):
+    """Adds tables of counts, and keeps the most frequent ``keep`` entries once there are twice as many."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def zero(self, value: Counter) -> Counter:
+        return Counter()
+
+    def addInPlace(self, value1: Counter, value2: Counter) -> Counter:
+        value1.update(value2)
+        return Counter(dict(value1.most_common(self.keep))) if len(value1) > 2 * self.keep else value1
+
+
 def frequent_pre_tokens(texts: DataFrame, size: int = TABLE) -> list[str]:
     """The pre-tokens with the highest counts over all texts; each task keeps a bounded count table and reports
-    its ``REPORT`` most frequent, so what moves is bounded by the number of tasks. It decides speed, never counts."""
+    its ``REPORT`` most frequent, the driver keeps ``4 * size`` of them. It decides speed, never counts."""
+    found = texts.sparkSession.sparkContext.accumulator(Counter(), _Frequent(4 * size))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -31,11 +51,11 @@ def frequent_pre_tokens(texts: DataFrame, size: int = TABLE) -> list[str]:
                     seen.update(pre_tokens(text))
             if len(seen) > KEEP:
                 seen = Counter(dict(seen.most_common(KEEP // 2)))
-        top = [(w, n) for w, n in seen.most_common(REPORT) if n > 1 and w and len(w) <= LONG and " " not in w]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["part", "n"])
+        found.add(Counter({w: n for w, n in seen.most_common(REPORT) if n > 1 and w and len(w) <= LONG and " " not in w}))
+        yield from ()
 
-    found = texts.mapInArrow(count, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
-    return [r.part for r in found.orderBy(F.desc("n"), "part").limit(size).collect()]
+    texts.mapInArrow(count, "part string").write.format("noop").mode("overwrite").save()
+    return [w for w, _ in sorted(found.value.items(), key=lambda x: (-x[1], x[0]))[:size]]
 
 
 def count_tokens(df: DataFrame, model: str = "piece_bpe_32k.model", text: str = "text", limit: int = 4096, table: int = TABLE) -> DataFrame:
@@ -51,6 +71,7 @@ def count_tokens(df: DataFrame, model: str = "piece_bpe_32k.model", text: str =
     # the compact form: one string with blanks between the pre-tokens, one array of lengths
     table_form = (" ".join(parts), np.array([lengths[p] for p in parts], "<u2").tobytes())
     shared, made = spark.sparkContext.broadcast(table_form), uuid.uuid4().hex
+    carried = f"text-{made}"  # clashes with no column
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def table() -> PieceCounts:
@@ -59,7 +80,7 @@ def count_tokens(df: DataFrame, model: str = "piece_bpe_32k.model", text: str =
 
         lookup = worker_state(("pieces", made), table).__getitem__
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.schema.get_field_index(carried)
             n = [sum(map(lookup, pre_tokens(t))) if t else 0 for t in batch.column(at).to_pylist()]
             rest = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(n, pa.int64())], names=[*(batch.schema.names[i] for i in rest), "n_tokens"])
@@ -67,5 +88,4 @@ def count_tokens(df: DataFrame, model: str = "piece_bpe_32k.model", text: str =
     kept = df.drop("n_bytes", "n_tokens", "over_limit")
     out = kept.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
     schema = out.schema.add("n_tokens", "long")
-    carried = out.withColumn("__text", F.col(text))
-    return carried.mapInArrow(counts, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return out.withColumn(carried, F.col(text)).mapInArrow(counts, schema).withColumn("over_limit", F.col("n_tokens") > limit)
