@@ -183,7 +183,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     first = [r[0] for r in usable.select("__h").orderBy("__h").limit(sample).collect()]
     if not first:
         return Hierarchy([], [])
-    rows = usable.where((F.col("__h") <= first[-1]) & F.col(text).isNotNull()).select(text, lang, "__h").limit(sample).collect()
+    rows = usable.where((F.col("__h") <= first[-1]) & F.col(text).isNotNull()).select(text, lang, "__h").orderBy("__h", lang, F.xxhash64(text)).limit(sample).collect()
     rows.sort(key=lambda r: (r[2], r[1], r[0]))
     return Hierarchy([r[0] for r in rows], [r[1] for r in rows])
 
@@ -195,11 +195,12 @@ def identify_language(df: DataFrame, model: Hierarchy, text: str = "text", known
     row was learned from. Repeated rows get equal values; columns of these names are replaced.
     """
     shared, made = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    carried = f"text-{made}"  # clashes with no column
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = worker_state(("language", made), lambda: shared.value)
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.schema.get_field_index(carried)
             got = list(map(own.judge if known else own.predict, batch.column(at).to_pylist()))
             rest = [i for i in range(batch.num_columns) if i != at]
             columns = [*(batch.column(i) for i in rest), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), *([pa.array([g[2] for g in got], pa.bool_())] if known else [])]
@@ -208,4 +209,4 @@ def identify_language(df: DataFrame, model: Hierarchy, text: str = "text", known
     added = ["lang_pred", "score", *([known] if known else [])]
     kept = df.drop(*added)
     schema = kept.schema.add("lang_pred", "string").add("score", "double")
-    return kept.withColumn("__text", F.col(text)).mapInArrow(predict, schema.add(known, "boolean") if known else schema)
+    return kept.withColumn(carried, F.col(text)).mapInArrow(predict, schema.add(known, "boolean") if known else schema)
