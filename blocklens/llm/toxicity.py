@@ -30,17 +30,21 @@ PREFIXES = (3, 4, 5, 6, 7)
 #: Log-odds of a unit from which its words are weak, medium or strong insults.
 TIERS = ((1.5, "W"), (2.75, "M"), (4.25, "S"))
 
-#: Words of the hand-written part of the lexicon.
+#: Words of the hand-written part of the lexicon; function words in English, German, French and Spanish.
 INSULTS = "idiot idiots moron morons stupid dumb fool clown loser losers pathetic worthless disgusting trash scum filth vermin imbecile bastard garbage"
 THREATS = "kill hurt destroy beat burn attack shoot stab crush murder"
-TARGETS = "you your yours yourself he him his she her they them their people these those everyone"
-NEGATIONS = "not never no isnt arent wasnt dont neither nor hardly"
-REPORTS = "said says wrote called quoted claimed reported alleged according shouted"
-INTENTIONS = "will gonna going ll should must want"
+TARGETS = """you your yours yourself he him his she her they them their people these those everyone
+du dich dir dein deine ihr euch euer sie ihn ihm ihnen leute alle tu toi te ton ta tes vous votre vos il elle ils elles lui eux gens tous
+tú ti usted ustedes vosotros vuestro él ella ellos ellas gente todos"""
+NEGATIONS = "not never no neither nor hardly nicht nie niemals kein keine keinen weder noch ne pas jamais aucun aucune ni nunca jamás tampoco ningún ninguna"
+REPORTS = """said says wrote called quoted claimed reported alleged according shouted
+sagte sagt schrieb nannte zitierte behauptete berichtete laut dit écrit appelé cité affirmé selon dijo dice escribió llamó citó afirmó según"""
+INTENTIONS = "will gonna going ll should must want werde werden wird soll muss vais va allons doit veux voy vamos debe quiero"
 
 SYMBOLS = {w: s for s, words in (("T", THREATS), ("P", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("G", INTENTIONS)) for w in words.split()}
-WORD = re.compile(r"[^\W\d_]+")
-CLAUSE = re.compile(r"[.!?;:\n]")
+#: Letters, with an apostrophe between letters; a colon doesn't end a clause, as what it introduces may be reported.
+WORD = re.compile(r"[^\W\d_]+(?:['\u2019][^\W\d_]+)*")
+CLAUSE = re.compile(r"[.!?;\n]")
 #: Symbols before an insult that can change its kind.
 REACH = 6
 
@@ -91,7 +95,16 @@ class Machine:
 
 
 GRAMMAR = Machine(NEGATION, REPORTING, TARGETING, THREATENING)
-#: Kinds of matches that the logistic model weighs; Q is the strongest three kinds of insult together.
+#: Reads what the first machine wrote from its end: a target that follows an insult ("idiots like you") addresses it.
+FOLLOWING = Machine(_scope("P", {"S": "A", "M": "B", "W": "C"}, 2))
+
+
+def transduce(symbols: str) -> str:
+    """The clause's symbols as the grammar rewrites them."""
+    return FOLLOWING.outputs(GRAMMAR.outputs(symbols)[::-1])[::-1]
+
+
+#: Kinds of matches that the logistic model weighs.
 KINDS = "SMWABCXtnr"
 
 
@@ -129,7 +142,11 @@ class Toxicity:
             self.words[w] = max(self.words.get(w, 0.0), 4.5)
 
     def symbol(self, word: str) -> str:
-        """The word's symbol; insults by the whole word where it is known, else by its best known beginning."""
+        """The word's symbol; insults by the whole word where it is known, else by its best known beginning. Of a word with
+        an apostrophe those of its parts, but "n't" is a negation."""
+        if not word.isalpha():
+            parts = re.split("['\u2019]", word)
+            return "N" if parts[-1] == "t" and parts[-2].endswith("n") else "".join(map(self.symbol, parts))
         odds = self.words.get(word)
         if odds is None:
             odds = max((self.starts.get(word[:k], 0.0) for k in PREFIXES if len(word) > k), default=0.0)
@@ -147,7 +164,7 @@ class Toxicity:
         for clause in CLAUSE.split((text or "").lower()):
             symbols = "".join([known.get(w) or self.symbol(w) for w in WORD.findall(clause)])
             if symbols.strip("oPNRG"):
-                out.update(GRAMMAR.outputs(symbols))
+                out.update(transduce(symbols))
         return out
 
     def vector(self, text: str | None) -> np.ndarray:
@@ -162,7 +179,7 @@ class Toxicity:
         x = np.array([self.vector(t) for t, _ in rows])
         y = np.array([k for _, k in rows], float)
         if not len(rows):
-            self.weights[[len(KINDS), -1]] = 6.0, -3.0  # the hand-written lexicon alone
+            self.weights[[KINDS.index("X"), len(KINDS), -1]] = 8.0, 6.0, -3.0  # the hand-written lexicon alone
             return
         keep = np.full(x.shape[1], ridge * 50)
         keep[-1] = 1e-6
@@ -180,14 +197,15 @@ class Toxicity:
 
 
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Toxicity:
-    """Fit on at most ``sample`` labelled rows outside the held-out quarter, those with the smallest hashed ids."""
+    """Fit on at most ``sample`` labelled documents outside the held-out quarter, those with the smallest hashed ids. Of
+    several texts of one id the smallest is taken, so the model doesn't depend on the order of rows."""
     usable = labels.where(~held_out(key) & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("__y"))
     chosen = usable.orderBy(F.xxhash64(key), key).limit(sample)
     chosen = df.sparkSession.createDataFrame([(r[0], int(r[1])) for r in chosen.collect()], "__k long, __y int")
     texts = df.select(F.col(key).alias("__k"), F.col(text).alias("__t")).where(F.col("__t").isNotNull())
-    rows = texts.join(F.broadcast(chosen), "__k").select("__k", "__t", "__y").limit(2 * sample).collect()  # repeated rows count
+    rows = texts.join(F.broadcast(chosen), "__k").groupBy("__k", "__y").agg(F.min("__t").alias("__t")).collect()  # at most ``sample``
     rows.sort()
-    return Toxicity([(r[1], r[2]) for r in rows])
+    return Toxicity([(r["__t"], r["__y"]) for r in rows])
 
 
 def score_toxicity(df: DataFrame, model: Toxicity, text: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -197,15 +215,16 @@ def score_toxicity(df: DataFrame, model: Toxicity, text: str = "text", threshold
     columns of these names are replaced; an empty table stays empty.
     """
     shared, made = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    carried = f"text-{made}"  # clashes with no column
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = worker_state(("toxicity", made), lambda: shared.value).score
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.schema.get_field_index(carried)
             rest = [i for i in range(batch.num_columns) if i != at]
             got = pa.array([one(t) for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), got], names=[*(batch.schema.names[i] for i in rest), "score"])
 
     kept = df.drop("score", "predicted")
-    scored = kept.withColumn("__text", F.col(text)).mapInArrow(score, kept.schema.add("score", "double"))
+    scored = kept.withColumn(carried, F.col(text)).mapInArrow(score, kept.schema.add("score", "double"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
