@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 BLANKS = r"[\x20\x09-\x0D]+"
 #: A term's weight is the number of its code points, this at most: short terms say less.
 MOST_WEIGHT = 15
@@ -56,25 +58,36 @@ def fingerprints(df: DataFrame, keys: list[str], text: str = "text") -> DataFram
     return each.groupBy(*keys).agg(*votes()).select(*keys, fingerprint().alias("fp"))
 
 
-def near_pairs(fps: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
-    """All pairs ``a < b`` of different fingerprints (column ``fp``) at most ``radius`` bits apart, with their ``distance``.
+def _tables(radius: int, blocks: int) -> list[int]:
+    """Masks of the permuted tables' keys: each choice of ``blocks - radius`` of the blocks that the 64 bits are cut into."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [sum((1 << edges[i + 1]) - (1 << edges[i]) for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+    return [m - (1 << 64) * (m >> 63) for m in masks]
+
+
+def near(queries: DataFrame, fps: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
+    """``a, b, distance``: for each fingerprint of ``queries`` (column ``fp``) the other ones of ``fps`` within ``radius`` bits.
 
     The 64 bits are cut into ``blocks`` (radius + 2 by default); whichever bits differ, some ``blocks - radius`` blocks
-    are equal, so each choice of that many blocks is a table keyed by their bits, and each pair meets in one at least.
-    Equal fingerprints count as one row: membership is the caller's table. Null fingerprints are left out.
+    are equal, so each choice of that many blocks is a table keyed by their bits, and each pair meets in one at least;
+    it is given by the first of them. Equal fingerprints count as one row: membership is the caller's table. Null
+    fingerprints are left out. A key with many rows is split where adaptive execution splits skewed joins.
     """
-    blocks = blocks or radius + 2
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(blocks)]
-    tables = []
-    for t, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(masks[i] for i in chosen)
-        mask -= (1 << 64) * (mask >> 63)
-        tables.append(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("k")))
-    keyed = fps.select("fp").where("fp is not null").distinct().select("fp", F.explode(F.array(*tables)).alias("x")).select("fp", "x.t", "x.k")
-    a, b = keyed.select(F.col("fp").alias("a"), "t", "k"), keyed.select(F.col("fp").alias("b"), "t", "k")
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return a.join(b, ["t", "k"]).where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance")).distinct()
+    masks = _tables(radius, blocks or radius + 2)
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("k")) for t, m in enumerate(masks)])
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        return df.select("fp").where("fp is not null").distinct().select(F.col("fp").alias(name), F.inline(tables))
+
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(t)) for t, m in enumerate(masks)])
+    met = keyed(queries, "a").join(keyed(fps, "b"), ["t", "k"]).where((F.bit_count(differ) <= radius) & (F.col("a") != F.col("b")) & (first == F.col("t")))
+    return met.select("a", "b", F.bit_count(differ).alias("distance"))
+
+
+def near_pairs(fps: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
+    """All pairs ``a < b`` of different fingerprints at most ``radius`` bits apart, with their ``distance``, by ``near``."""
+    return near(fps, fps, radius, blocks).where("a < b")
 
 
 def with_next(df: DataFrame, per_bucket: int = PER_BUCKET) -> DataFrame:
@@ -106,9 +119,14 @@ def with_next(df: DataFrame, per_bucket: int = PER_BUCKET) -> DataFrame:
     return dealt.select("bucket", F.row_number().over(order).alias("pos"), "copy", "doc_id", "text", F.lead("text").over(order).alias("next"))
 
 
-def fingerprint_digest(df: DataFrame, per_bucket: int = PER_BUCKET) -> DataFrame:
+def fingerprint_digest(df: DataFrame, per_bucket: int = PER_BUCKET, radius: int = 3, every: int = 50) -> DataFrame:
     """Fingerprints of each whole text and of its edited text (its last half replaced by as much of the next one's start),
-    and how alike they are. Null and empty texts: no code points, fingerprint 0; repeated rows are kept."""
+    how alike they are, and ``n_near``: for rows whose doc_id ``every`` divides, the number of other fingerprints among
+    all rows' within ``radius`` bits, found by the permuted block tables; null for the rest.
+
+    Null and empty texts: no code points, fingerprint 0; repeated rows are kept; null ids are never queries; other columns
+    are left out, whatever their names; an empty table gives an empty result.
+    """
     rows = with_next(df, per_bucket)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
@@ -120,7 +138,12 @@ def fingerprint_digest(df: DataFrame, per_bucket: int = PER_BUCKET) -> DataFrame
     fps = fingerprints(both, [*keys, "which"], "body")
     paired = fps.groupBy(*keys).agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("efp"))
     after = F.lead("fp").over(Window.partitionBy("bucket").orderBy("pos"))
-    return paired.withColumn("nfp", after).where(~F.col("copy")).select(
+    done = paired.withColumn("nfp", after).where(~F.col("copy"))
+    done = written(done.select("doc_id", "n_chars", "sha", "fp", "efp", "nfp"), "fingerprints")
+    asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    counts = near(done.where(asked), done, radius).groupBy(F.col("a").alias("fp")).agg(F.count("*").alias("n_near"))
+    searched = done.where(asked).join(counts, "fp", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)).cast("long"))
+    return searched.unionByName(done.where(~asked).withColumn("n_near", F.lit(None).cast("long"))).select(
         "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("efp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"),
+        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"), "n_near",
     )
