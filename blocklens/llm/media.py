@@ -20,8 +20,9 @@ from .common import crc
 
 WIDTH = HEIGHT = 64
 FPS = 25
-#: Bytes of texts that are coded side by side.
+#: Bytes of texts that are read side by side; lines and frames of them that are coded at once.
 TOGETHER = 1 << 20
+SLICE, FRAMES = 128 * HEIGHT, 256
 
 #: The Huffman table: symbols (bits of a difference) of 3-bit and of 4-bit codes; 1111 stays unused, as the format asks.
 BY_LENGTH = {3: (3, 4, 5, 6, 7), 4: (0, 1, 2, 8)}
@@ -143,13 +144,16 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     for p, r, h in zip(payloads, rows, padded):
         data[at : at + r] = np.frombuffer(p, "uint8").reshape(r, WIDTH)
         at += h
-    place = np.arange(len(data)) % HEIGHT
-    scans, begins = _scans(data, place == HEIGHT - 1, place)
-    whole, head, out, at = scans.tobytes(), _frame_head(WIDTH, HEIGHT), [], 0
+    place, head, frames = np.arange(len(data)) % HEIGHT, _frame_head(WIDTH, HEIGHT), []
+    for a in range(0, len(data), SLICE):  # whole frames; what coding needs besides is bounded by a slice
+        z = a + SLICE
+        scans, begins = _scans(data[a:z], place[a:z] == HEIGHT - 1, place[a:z])
+        whole = scans.tobytes()
+        frames += [head + whole[begins[i] : begins[i + HEIGHT]] for i in range(0, len(begins) - 1, HEIGHT)]
+    out, at = [], 0
     for r, h in zip(rows, padded):
-        frames = [head + whole[begins[i] : begins[i + HEIGHT]] for i in range(at, at + h, HEIGHT)]
-        out.append(avi(frames, r))
-        at += h
+        out.append(avi(frames[at : at + h // HEIGHT], r))
+        at += h // HEIGHT
     return out
 
 
@@ -231,19 +235,29 @@ def decode(files: list[bytes]) -> list[tuple[dict, np.ndarray]]:
         for n, c in enumerate(counts, 1):
             by[n], symbols = tuple(symbols[:c]), symbols[c:]
         _READ[table] = _reading_table(by)
+    frames, out, n = np.empty((len(scans), height, width), "uint8"), [], 0
+    for a in range(0, len(scans), FRAMES):
+        frames[a : a + FRAMES] = _lossless(scans[a : a + FRAMES], height, width, *_READ[table])
+    for p in parsed:
+        out.append((p, frames[n : n + len(p["frames"])]))
+        n += len(p["frames"])
+    return out
+
+
+def _lossless(scans: list[bytes], height: int, width: int, diff: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The samples of some lossless frames' scans, all their lines side by side."""
     raw = np.frombuffer(b"".join(scans), "uint8")
     full = np.flatnonzero(raw[:-1] == 255)
     after = raw[full + 1]
     marks = full[(after >= 0xD0) & (after <= 0xD9)]
+    if len(marks) != height * len(scans):
+        raise ValueError("a line of a frame is missing")
     keep = np.ones(len(raw), bool)
     keep[full[after == 0] + 1] = False
     keep[marks] = keep[marks + 1] = False
     moved = np.cumsum(keep)
     data = np.concatenate([raw[keep], np.zeros(4, "uint8")]).astype("int32")
-    if len(marks) != height * len(shapes):
-        raise ValueError("a line of a frame is missing")
     begin = np.concatenate([[0], moved[marks[:-1]]]).astype("int64") * 8
-    diff, bits = _READ[table]
     lines = np.empty((width, len(begin)), "uint8")
     pixel, at = np.full(len(begin), 128, "int32"), begin
     for x in range(width):
@@ -252,11 +266,7 @@ def decode(files: list[bytes]) -> list[tuple[dict, np.ndarray]]:
         pixel += diff[look]
         lines[x] = pixel & 255
         at = at + bits[look]
-    frames, out, n = np.ascontiguousarray(lines.T).reshape(-1, height, width), [], 0
-    for p in parsed:
-        out.append((p, frames[n : n + len(p["frames"])]))
-        n += len(p["frames"])
-    return out
+    return np.ascontiguousarray(lines.T).reshape(-1, height, width)
 
 
 def _uneven(parsed: dict, shapes: list) -> list:
@@ -275,8 +285,11 @@ def shots(frames: np.ndarray) -> list[tuple[int, int]]:
     """``(first, last + 1)`` frames of each shot. The threshold adapts to the differences since the last cut."""
     if not len(frames):
         return []
-    bins = (frames.reshape(len(frames), -1) >> 4).astype("int64") + BINS * np.arange(len(frames))[:, None]
-    h = np.bincount(bins.ravel(), minlength=BINS * len(frames)).reshape(-1, BINS) / (frames.shape[1] * frames.shape[2])
+    h = np.empty((len(frames), BINS))
+    for a in range(0, len(frames), FRAMES):
+        some = frames[a : a + FRAMES]
+        bins = (some.reshape(len(some), -1) >> 4).astype("int32") + BINS * np.arange(len(some), dtype="int32")[:, None]
+        h[a : a + FRAMES] = np.bincount(bins.ravel(), minlength=BINS * len(some)).reshape(-1, BINS) / (frames.shape[1] * frames.shape[2])
     d = np.abs(np.diff(h, axis=0)).sum(axis=1) / 2
     cuts, since = [0], 0
     for t, x in enumerate(d):
