@@ -82,7 +82,7 @@ def mix_sources(df: DataFrame, source: str = "source", text: str = "text", key:
     inside = Window.partitionBy("s", "bucket").orderBy("h", F.col("key"), "tie")
     placed = hashed.withColumn("nth", F.row_number().over(inside)).withColumn("local", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     rows = placed.join(before, ["s", "bucket"]).withColumn("at", F.col("base") + F.col("local")).withColumn("row", F.struct("s", "bucket", "nth"))
-    documents = rows.select("row", "key", "source", "size", "source_size", "target")
+    documents = rows.select("row", "key", "source", "size", "tie", "source_size", "target")
 
     # the schedule
     n_slots = -(-total // block)
@@ -112,11 +112,17 @@ def mix_sources(df: DataFrame, source: str = "source", text: str = "text", key:
     return documents, mix.select("slot", "row", (F.col("a") - F.col("at")).alias("first"), (F.col("b") - F.col("at")).alias("last"))
 
 
-def mix_digest(df: DataFrame, **parameters) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for each row: words that the mix takes, repeats counted."""
+def words_taken(df: DataFrame, **parameters) -> DataFrame:
+    """``key, source, size, tie, source_size, target, taken`` for each row: words that the mix takes, repeats counted;
+    ``tie`` is the text's 64-bit hash."""
     documents, mix = mix_sources(df, **parameters)
     taken = mix.groupBy("row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
-    return documents.join(taken, "row", "left").select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return documents.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+
+
+def mix_digest(df: DataFrame, **parameters) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken`` for each row."""
+    return words_taken(df, **parameters).select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
 def oracle(block: int = BLOCK) -> str:
