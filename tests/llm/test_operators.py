@@ -171,6 +171,46 @@ def test_grammar():
     assert g.outputs("GT") == "GX" and g.outputs("oT") == "ot" and g.outputs("NooooS") == "NooooS" and g.outputs("PNS") == "PNn"
 
 
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("you idiot", "A"), ("he said: you idiot", "r"), ("you aren't an idiot", "n"), ("You\u2019re not an idiot", "n"), ("idiots like you", "A"), ("idiots came. you left", "S"),
+        ("they'll kill you", "X"), ("kill the lights", "t"), ("er sagte: du idiot", "r"), ("du bist kein idiot", "n"), ("vous idiot", "A"), ("il n'est pas idiot", "n"), ("eres idiot, todos", "A"),
+    ],
+)
+def test_grammar_of_clauses(text, kinds):
+    found = toxicity.Toxicity([]).matches(text)
+    assert {k for k in "SMWABCXtnr" if found[k]} == set(kinds)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("SMWTPNRGo", max_size=14))
+def test_composed_machine(symbols):
+    """The composition gives what the transducers give one after the other, each in a pass of its own."""
+
+    def alone(rules, text):
+        state, out = 0, ""
+        for x in text:
+            to, y = rules.get((state, x)) or rules.get((state, "*")) or (0, "*")
+            state, out = to, out + (x if y == "*" else y)
+        return out
+
+    plain = symbols
+    for rules in (toxicity.NEGATION, toxicity.REPORTING, toxicity.TARGETING, toxicity.THREATENING):
+        plain = alone(rules, plain)
+    assert toxicity.GRAMMAR.outputs(symbols) == plain
+    assert toxicity.transduce(symbols)[::-1] == alone(toxicity.FOLLOWING.parts[0], plain[::-1])
+
+
+def test_names_that_clash(spark, none):
+    """Input columns by the names that operators once used for themselves, and a long text."""
+    df = spark.createDataFrame([(1, prose(3, 30_000), "en", "u"), (2, None, None, None)], "doc_id long, text string, lang string, __text string")
+    assert token_count.count_tokens(df).columns == ["doc_id", "text", "lang", "__text", "n_bytes", "n_tokens", "over_limit"]
+    assert [r.doc_id for r in token_count.count_tokens(df).orderBy("doc_id").collect()] == [1, 2]
+    assert toxicity.score_toxicity(df, toxicity.Toxicity([])).where("score between 0 and 1").count() == 2
+    assert langid.identify_language(df, langid.Hierarchy([], [])).where("lang_pred = 'und'").count() == 2
+
+
 def test_toxicity(spark, docs, none):
     train = [(k, prose(k, 60) + (".\nzzbad you idiot" if k % 5 == 0 else ""), int(k % 5 == 0)) for k in range(300)]
     df = spark.createDataFrame(train, "doc_id long, text string, toxic int")
@@ -208,6 +248,23 @@ def test_media_round_trip(texts):
     assert p["frame_us"] == 40_000 and all(files[0][a : a + 2] == b"\xff\xd8" and files[0][a + n - 2 : a + n] == b"\xff\xd9" for a, n in p["frames"])
 
 
+def test_long_media_in_slices():
+    """A text of many slices; what coding needs besides the text and the file is bounded."""
+    import tracemalloc
+
+    rng = np.random.RandomState(0)
+    big = rng.randint(0, 256, 6_000_064).astype("uint8").tobytes()
+    media.decode(media.encode([big[:64]]))
+    tracemalloc.start()
+    files = media.encode([big, b"a" * 64])
+    parsed = media.decode(files)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert media.payload(*parsed[0]) == big and media.payload(*parsed[1]) == b"a" * 64
+    assert len(media.shots(parsed[0][1])) >= 1
+    assert peak < 150e6  # 25 bytes a byte of text before
+
+
 def test_shots_and_bad_media(spark):
     frames = np.zeros((12, 64, 64), "uint8")
     frames[4:8], frames[8:] = 100, 200
@@ -238,6 +295,35 @@ def test_language(spark, docs, none):
 # 8
 
 
+def test_places(docs):
+    """Slots by a plain hash of the key, shards by the table."""
+    import xxhash
+
+    table = sharding.fill_table(list(sharding.SHARDS))
+    for r in sharding.place(docs).collect():
+        h = xxhash.xxh64(str(r.doc_id).encode(), seed=42).intdigest() if r.doc_id is not None else 42
+        slot = (h - (1 << 64) * (h >> 63)) % sharding.SLOTS
+        assert (r.slot, r.shard) == (slot, sharding.SHARDS[table[slot]])
+
+
+def test_language_by_hand(spark):
+    """Families by the largest margin, then votes of pairs, summed term by term."""
+    rows_ = [(prose(k, 20) + w, lang) for k in range(30) for lang, w in (("en", " the"), ("de", " \u00fcber und"), ("fr", " \u00e7a et"), ("es", " ni\u00f1o"))]
+    model = langid.Hierarchy([t for t, _ in rows_], [lang for _, lang in rows_])
+
+    def margin(weights, v):
+        return sum(float(w) * float(x) for w, x in zip(weights, v)) + float(weights[-1])
+
+    for text, _ in rows_[::7]:
+        v = langid.features(text)
+        family = max(model.names, key=lambda f: margin(model.top[model.names.index(f)], v))
+        wins = dict.fromkeys(model.families[family], 0)
+        for (a, b), w in zip(model.pairs, model.inside):
+            if a in wins:
+                wins[a if margin(w, v) >= 0 else b] += 1
+        assert model.predict(text)[0] == max(wins, key=wins.get)
+
+
 def test_sharding(docs, none):
     names = [f"s{i}" for i in range(7)]
     table = sharding.fill_table(names, 1009)
@@ -289,6 +375,34 @@ def test_no_fingerprints(none, spark):
     assert len(one) == 1 and one[0].near_next == 1
 
 
+def test_near_counts(spark):
+    """Rows whose id 2 divides, against all rows, by brute force."""
+    rows_ = [(k, prose(k % 7, 60) + (f" w{k}" if k % 3 else "")) for k in range(80)] + [(None, prose(3, 60)), (7, None)]
+    got = simhash.fingerprint_digest(spark.createDataFrame(rows_, "doc_id long, text string"), radius=6, every=2).collect()
+    fps = {int(r.fingerprint, 16) for r in got}
+    assert len(got) == len(rows_) and any(r.n_near for r in got)
+    for r in got:
+        own = int(r.fingerprint, 16)
+        assert r.n_near == (sum(0 < (own ^ f).bit_count() <= 6 for f in fps) if r.doc_id is not None and r.doc_id % 2 == 0 else None)
+
+
+def test_fingerprint_bits(spark):
+    """Each bit by a plain vote of the weighted terms."""
+    import xxhash
+
+    def h64(word, seed):
+        return xxhash.xxh64(word.encode(), seed=seed % (1 << 64)).intdigest()
+
+    texts = ["", "one", "one two", "The cat sat on THE mat", prose(1, 300), "a b a b a b c", "\u00e9t\u00e9 na\u00efve caf\u00e9"]
+    rows_ = simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), ["k"]).collect()
+    for r in rows_:
+        words = [w for w in re.split(r"[\x20\x09-\x0d]+", texts[r.k].lower()) if w]
+        terms = [(h64(b, h64(a, 42)), min(15, len(a) + len(b))) for a, b in zip(words, words[1:])] or [(h64(w, 42), min(15, len(w))) for w in words]
+        total = sum(w for _, w in terms)
+        want = sum(1 << b for b in range(64) if 2 * sum(w for h, w in terms if h >> b & 1) > total)
+        assert r.fp % (1 << 64) == want, texts[r.k]
+
+
 def test_near_pairs(spark):
     rng = np.random.RandomState(1)
     base = [int(x) for x in rng.randint(-(2**62), 2**62, 40)]
