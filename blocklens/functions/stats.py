@@ -3,15 +3,33 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import array_rows, summed
+
+#: Features of all layers together whose correlations are taken, at most (0.5 GB a matrix in a task).
+MAX_FEATURES = 8_000
+
 
 def average_rank(obs: DataFrame) -> DataFrame:
-    """Values become ranks within their feature, ties their mean rank."""
-    w = Window.partitionBy("layer", "feature")
-    return obs.withColumn("value", F.rank().over(w.orderBy("value")) + (F.count("*").over(Window.partitionBy("layer", "feature", "value")) - 1) / 2.0)
+    """Values become ranks within their feature, ties their mean rank; nulls stay null.
+
+    Distinct values are counted, put into ranges of (layer, feature, value) and ranked inside each range; the counts of
+    the feature's earlier ranges come on top. So no task holds a whole feature.
+    """
+    key = ["layer", "feature"]
+    counts = obs.where("value is not null").groupBy(*key, "value").agg(F.count("*").alias("c"))
+    ranged = counts.repartitionByRange(*key, "value").withColumn("part", F.spark_partition_id()).persist()
+    totals = ranged.groupBy(*key, "part").agg(F.sum("c").alias("t"))  # a row for each feature in a range
+    before = totals.select(*key, "part", (F.sum("t").over(Window.partitionBy(*key).orderBy("part")) - F.col("t")).alias("before"))
+    upto = F.sum("c").over(Window.partitionBy("part", *key).orderBy("value"))
+    ranks = ranged.withColumn("upto", upto).join(before, [*key, "part"]).select(*key, "value", (F.col("before") + F.col("upto") - (F.col("c") - 1) / 2.0).alias("rank"))
+    return obs.join(ranks, [*key, "value"], "left").withColumn("value", F.col("rank")).select(obs.columns)
 
 
 def safe_corr(a: Column, b: Column) -> Column:
@@ -22,16 +40,62 @@ def safe_corr(a: Column, b: Column) -> Column:
 def feature_correlations(obs: DataFrame, method: str = "pearson") -> DataFrame:
     """``layer, i, j, r`` for feature pairs i < j (by ``f_ord``).
 
-    Each sample's values come together in one array, and the sums that a correlation needs are taken over its pairs,
-    so what is shuffled is a row for each sample and partial sums for each pair. ``spearman`` ranks first.
+    Where no value is missing each task multiplies its samples' standardised rows and sends one array for each matrix
+    row; these are added up by row. Where values are missing, each pair has the samples that hold both. ``spearman``
+    ranks first.
     """
     if method not in ("pearson", "spearman"):
         raise ValueError(f"unknown correlation method: {method}")
     x = average_rank(obs) if method == "spearman" else obs
+    x = x.select("layer", "sample_id", "f_ord", "value")
+    features = x.groupBy("layer", "f_ord").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")).orderBy("layer", "f_ord").limit(MAX_FEATURES + 1).collect()
+    if len(features) > MAX_FEATURES:
+        raise ValueError(f"more than {MAX_FEATURES} features")
     rows = x.groupBy("layer", "sample_id").agg(F.array_sort(F.collect_list(F.struct("f_ord", "value"))).alias("v"))  # one sample's features
+    samples = {r.layer: r.n for r in rows.groupBy("layer").agg(F.count("*").alias("n")).collect()}
+    if any(f.n != samples[f.layer] for f in features):
+        return _correlations_of_pairs(rows)
+    of: dict[str, list] = {}
+    for f in features:
+        of.setdefault(f.layer, []).append(f)
+    names = sorted(of)
+    ords = {k: np.array([f.f_ord for f in of[layer]]) for k, layer in enumerate(names)}
+    mean = {k: np.array([f.mean for f in of[layer]]) for k, layer in enumerate(names)}
+    by = {k: np.array([f.sd or np.nan for f in of[layer]]) for k, layer in enumerate(names)}
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            which, values = batch.column(0).to_numpy(), batch.column(1)
+            flat, offsets = values.values.to_numpy(zero_copy_only=False), values.offsets.to_numpy()
+            for k in map(int, np.unique(which)):
+                z = np.stack([flat[offsets[i] : offsets[i + 1]] for i in np.flatnonzero(which == k)])
+                z = (z - mean[k]) / by[k]
+                totals[k] = totals.get(k, 0.0) + z.T @ z
+        for k, total in totals.items():
+            for a in range(0, len(total), 64):
+                own = range(a, min(a + 64, len(total)))
+                yield array_rows({"k": np.full(len(own), k), "i": np.array(own)}, [total[i, i + 1 :] for i in own])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                r = np.clip(v.values.to_numpy(zero_copy_only=False) / samples[names[k]], -1, 1)
+                j = ords[k][i + 1 :]
+                yield pa.RecordBatch.from_arrays([pa.array([names[k]] * len(j), pa.string()), pa.array(np.full(len(j), ords[k][i], "int32")), pa.array(j.astype("int32")), pa.array(r, from_pandas=True)], names=["layer", "i", "j", "r"])
+
+    place = F.create_map(*[c for k, name in enumerate(names) for c in (F.lit(name), F.lit(k).cast("long"))]) if names else F.lit(None)
+    if not names:
+        return _correlations_of_pairs(rows)
+    dense = rows.select(F.element_at(place, F.col("layer")).alias("k"), F.transform("v", lambda c: c["value"].cast("double")).alias("v"))
+    return summed(dense.mapInArrow(multiply, "k long, i long, v array<double>"), "k", "i").mapInArrow(pairs, "layer string, i int, j int, r double")
+
+
+def _correlations_of_pairs(rows: DataFrame) -> DataFrame:
     a = rows.select("layer", "v", F.explode("v").alias("a"))
     pairs = a.select("layer", F.col("a.f_ord").alias("i"), F.col("a.value").alias("x"), F.explode(F.filter("v", lambda b: b["f_ord"] > F.col("a.f_ord"))).alias("b"))
-    r = pairs.select("layer", "i", F.col("b.f_ord").alias("j"), "x", F.col("b.value").alias("y")).groupBy("layer", "i", "j").agg(safe_corr(F.col("x"), F.col("y")).alias("r"))
+    both = pairs.select("layer", "i", F.col("b.f_ord").alias("j"), "x", F.col("b.value").alias("y")).where("x is not null and y is not null")
+    r = both.groupBy("layer", "i", "j").agg(safe_corr(F.col("x").cast("double"), F.col("y").cast("double")).alias("r"))
     return r.withColumn("r", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "r")))
 
 
@@ -39,10 +103,29 @@ def accuracy(y: str, p: str) -> Column:
     return F.avg((F.col(y) == F.col(p)).cast("double"))
 
 
+def mean_absolute_error(y: str, p: str) -> Column:
+    return F.avg(F.abs(F.col(y) - F.col(p)).cast("double"))
+
+
+def class_means(obs: DataFrame) -> DataFrame:
+    """``layer, feature, grp, mean`` over the values that are there."""
+    return obs.groupBy("layer", "feature", "grp").agg(F.avg("value").alias("mean"))
+
+
+def null_fraction(obs: DataFrame) -> DataFrame:
+    """``layer, feature, nulls``: the share of missing values."""
+    return obs.groupBy("layer", "feature").agg(F.avg(F.col("value").isNull().cast("double")).alias("nulls"))
+
+
+def head(df: DataFrame, score: str, n: int = 15, name: str = "feature") -> DataFrame:
+    """The ``n`` rows with the largest ``score``, of equal ones by ``name``, in that order."""
+    return df.orderBy(F.desc(score), name).limit(n)
+
+
 def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
     """Counts for the full grid of labels."""
-    labels = df.select(F.col(y).alias("l")).union(df.select(F.col(p))).distinct()
-    grid = labels.select(F.col("l").alias("y_true")).crossJoin(labels.select(F.col("l").alias("y_pred")))  # labels only
+    labels = df.select(F.col(y).alias("l")).union(df.select(F.col(p))).distinct().agg(F.collect_set("l").alias("ls"))  # labels only
+    grid = labels.select(F.explode("ls").alias("y_true"), "ls").select("y_true", F.explode("ls").alias("y_pred"))
     seen = df.groupBy(F.col(y).alias("y_true"), F.col(p).alias("y_pred")).agg(F.count("*").alias("n"))
     return grid.join(seen, ["y_true", "y_pred"], "left").select("y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 

@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Features of all blocks together, at most: C is held on the driver.
-MAX_FEATURES = 4_000
+from ..functions.arrays import array_rows, summed
+
+#: Features of all blocks together, and cells of all folds' matrices, at most: C is held on the driver.
+MAX_FEATURES, MAX_CELLS = 4_000, 64_000_000
 
 
 def keep_largest(w: np.ndarray, k: int | None) -> np.ndarray:
@@ -80,9 +82,9 @@ def gather_fold_moments(rows: DataFrame, max_features: int = MAX_FEATURES) -> di
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            x, fold = np.array(batch.column(1).to_pylist(), float), batch.column(2).to_numpy()
-            if not len(x):
+            if not batch.num_rows:
                 continue
+            x, fold = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1), batch.column(2).to_numpy()
             if x.shape[1] > max_features:
                 raise ValueError(f"more than {max_features} features")
             hot = (np.array(batch.column(0).to_pylist(), object)[:, None] == np.array(classes, object)[None, :]).astype(float)
@@ -91,19 +93,25 @@ def gather_fold_moments(rows: DataFrame, max_features: int = MAX_FEATURES) -> di
                 own = z[fold == k]
                 totals[int(k)] = totals.get(int(k), 0.0) + own.T @ own
         for k, total in totals.items():
-            p = len(total)
-            i = np.arange(p, dtype="int32")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(p * p, k, "int32")), pa.array(np.repeat(i, p)), pa.array(np.tile(i, p)), pa.array(total.ravel())], names=["fold", "i", "j", "v"])
-
-    cells = rows.select("grp", "x", F.col("fold").cast("int").alias("fold")).mapInArrow(partial, "fold int, i int, j int, v double")
-    sums = cells.groupBy("fold", "i", "j").agg(F.sum("v").alias("v")).toPandas()
-    if sums.empty:
+            for a in range(0, len(total), 64):
+                own = range(a, min(a + 64, len(total)))
+                yield array_rows({"fold": np.full(len(own), k), "i": np.array(own)}, [total[i, i:] for i in own])
+
+    cells = rows.select("grp", "x", F.col("fold").cast("int").alias("fold")).mapInArrow(partial, "fold long, i long, v array<double>")
+    parts: dict[int, dict[int, np.ndarray]] = {}
+    for r in summed(cells, "fold", "i").toLocalIterator():  # half a matrix for each fold, at most MAX_CELLS in all
+        parts.setdefault(r.fold, {})[r.i] = np.array(r.v)
+        if len(parts) * len(parts[r.fold][min(parts[r.fold])]) ** 2 > MAX_CELLS:
+            raise ValueError(f"more than {MAX_CELLS} cells in the folds' matrices")
+    if not parts:
         raise ValueError("no samples")
-    p, q, out = int(sums.i.max()) + 1, len(classes), {}
-    f = p - 1 - q
-    for k, own in sums.groupby("fold"):
+    q, out = len(classes), {}
+    for k, own in sorted(parts.items()):
+        p = len(own)
         z = np.zeros((p, p))
-        z[own.i, own.j] = own.v
+        for i, v in own.items():
+            z[i, i:] = z[i:, i] = v
+        f = p - 1 - q
         out[int(k)] = Moments(z[-1, -1], z[:f, :f], z[:f, f : f + q], z[f : f + q, f : f + q], z[-1, :f], z[-1, f : f + q], classes)
     return out
 

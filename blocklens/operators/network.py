@@ -3,7 +3,10 @@ topological overlap; the clustering kernels run on one layer's features, whose n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from .latent import block_rows, gather_moments, project
 NETWORKS = ("unsigned", "signed", "signed_hybrid")
 #: Features of one layer that the clustering kernel takes, at most (0.5 GB a matrix).
 MAX_FEATURES = 8_000
+#: Features of one layer whose adjacency is broadcast (128 MB), at most.
+MAX_DENSE = 4_000
 
 
 def adjacency(corr: DataFrame, power: int = 6, network_type: str = "unsigned") -> DataFrame:
@@ -34,7 +39,44 @@ def connectivity(edges: DataFrame) -> DataFrame:
 
 
 def topological_overlap(edges: DataFrame) -> DataFrame:
-    """``(shared + a) / (min(k_i, k_j) + 1 - a)`` for pairs i < j, 0 where the divisor isn't positive."""
+    """``(shared + a) / (min(k_i, k_j) + 1 - a)`` for pairs i < j, 0 where the divisor isn't positive.
+
+    Layers of up to MAX_DENSE features: the adjacency is a broadcast matrix, and tasks multiply its rows by it. Larger
+    ones: products of edges that meet, summed by pair.
+    """
+    layers = edges.groupBy("layer").agg(F.max("j").alias("j"), F.max("i").alias("i")).collect()
+    sizes = {r.layer: 1 + max(r.i, r.j) for r in layers}
+    if not sizes or max(sizes.values()) > MAX_DENSE:
+        return _overlap_of_edges(edges)
+    out = None
+    for layer, p in sorted(sizes.items()):
+        one = _dense_overlap(edges.where(F.col("layer") == layer), layer, p)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _dense_overlap(edges: DataFrame, layer: str, p: int) -> DataFrame:
+    spark = edges.sparkSession
+    known = edges.select("i", "j", "w").toPandas()  # fewer than p * p / 2 rows
+    a, there = np.zeros((p, p)), np.zeros((p, p), bool)
+    a[known.i, known.j] = a[known.j, known.i] = known.w
+    there[np.minimum(known.i, known.j), np.maximum(known.i, known.j)] = True
+    shared = spark.sparkContext.broadcast((a, there))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, given = shared.value
+        k = own.sum(axis=0)
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                j = np.flatnonzero(given[i])
+                low = np.minimum(k[i], k[j]) + 1 - own[i, j]
+                w = np.where(low > 0, np.clip((own[i] @ own[:, j] + own[i, j]) / np.where(low > 0, low, 1), 0, 1), 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array([layer] * len(j), pa.string()), pa.array(np.full(len(j), i, "int32")), pa.array(j.astype("int32")), pa.array(w)], names=["layer", "i", "j", "w"])
+
+    return spark.range(p).mapInArrow(multiply, "layer string, i int, j int, w double")
+
+
+def _overlap_of_edges(edges: DataFrame) -> DataFrame:
     e = both_ways(edges)
     k = connectivity(edges)
     x, y = e.select("layer", "i", F.col("j").alias("m"), F.col("w").alias("a")), e.select("layer", F.col("i").alias("m"), "j", F.col("w").alias("b"))
@@ -150,6 +192,24 @@ def cut_tree(merges: np.ndarray, height: float) -> np.ndarray:
     return out
 
 
+def leaf_order(merges: np.ndarray) -> list[int]:
+    """The leaves from left to right in the tree's drawing: each merge's first cluster before its second."""
+    n, out = len(merges) + 1, []
+    stack = [n + len(merges) - 1] if len(merges) else [0]
+    while stack:
+        k = stack.pop()
+        if k < n:
+            out.append(k)
+        else:
+            stack += [int(merges[k - n][1]), int(merges[k - n][0])]
+    return out
+
+
+def module_sizes(modules: DataFrame) -> DataFrame:
+    """``layer, module, n`` for tables of ``layer, f, module``."""
+    return modules.groupBy("layer", "module").agg(F.count("*").alias("n"))
+
+
 def default_cut(p: int) -> float:
     return 0.40 if p <= 25 else 0.35 if p <= 100 else 0.25
 

@@ -44,20 +44,9 @@ def cells(df: DataFrame) -> DataFrame:
     return df.select("layer", "sample_id", "grp", "feature", "f_ord", r6("value").alias("value"))
 
 
-def small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A block of 12 dimensions, those of the SQL of the queries that ``pair_query`` registers by their own names."""
-    return embedding_layer(spark, sf_dir).where("f_ord < 12")
-
-
 def pair_query(name: str, sql: str):
-    """Registers f(obs, spark, d) as ``name`` on the 12 dimensions of its SQL and as ``name_all`` on all 64."""
-
-    def add(f):
-        query(name, sql)(lambda spark, d: f(small(spark, d), spark, d))
-        query(f"{name}_all", sql.replace(" where f_ord < 12", "").replace("sqrt(12)", "sqrt(64)"))(lambda spark, d: f(embedding_layer(spark, d), spark, d))
-        return f
-
-    return add
+    """Registers f(obs, spark, d) on all dimensions of the embeddings."""
+    return lambda f: query(name, sql)(lambda spark, d: f(embedding_layer(spark, d), spark, d))
 
 
 def _steps(name: str, source: str, f, value: str, where: str = "") -> None:
@@ -81,7 +70,7 @@ _steps("q_average_rank", "emb", stats.average_rank, 'rank() over (partition by l
 
 @query("q_null_fraction", f'with {EVENTS} select layer, feature, round(avg(case when "value" is null then 1.0 else 0 end), 6) + 0.0 nulls from ev group by all')
 def _null_fraction(spark, d):
-    return event_layer(spark, d).groupBy("layer", "feature").agg(r6(F.avg(F.col("value").isNull().cast("double"))).alias("nulls"))
+    return stats.null_fraction(event_layer(spark, d)).select("layer", "feature", r6("nulls").alias("nulls"))
 
 
 @query("q_group_median", f'with {EVENTS}, m as (select * replace (coalesce("value", median("value") over (partition by layer, feature, grp)) as "value") from ev), h as (select *, {HALF} nv from m) select {CELL}, round(nv, 6) + 0.0 "value" from h')
@@ -106,21 +95,22 @@ def _ordinal(spark, d):
 
 
 def two_layers(spark, d):
-    """Suppliers by what they sold and by their balance; only those that sold are in the first layer."""
-    l = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity > 45").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"))
-    s = spark.read.parquet(f"{d}/supplier.parquet").where("s_acctbal > 0").select("s_suppkey", F.col("s_acctbal").alias("balance"))
+    """Customers by what they ordered, and suppliers of the same numbers by their balance; most are in one layer alone."""
+    o = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("price"), F.count("*").alias("orders"))
+    c = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.col("s_acctbal").alias("balance"))
     row = lambda df, layer, key, names: df.select(F.lit(layer).alias("layer"), F.col(key).cast("string").alias("sample_id"), F.col(key).alias("s_ord"), F.concat(F.lit("g"), (F.col(key) % 3).cast("string")).alias("grp"), F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("f_ord"), F.col(c).cast("double").alias("value")) for i, c in enumerate(names)])))
-    return row(l, "sales", "l_suppkey", ["quantity", "discount"]).unionByName(row(s, "account", "s_suppkey", ["balance"]))
+    return row(o, "sales", "o_custkey", ["price", "orders"]).unionByName(row(c, "account", "s_suppkey", ["balance"]))
 
 
-TWO = """ls as (select l_suppkey k, avg(l_quantity) q, avg(l_discount) dc from lineitem where l_quantity > 45 group by 1), sp as (select s_suppkey k, s_acctbal b from supplier where s_acctbal > 0),
- tw as (select 'sales' layer, k, 'quantity' feature, 0 f_ord, q "value" from ls union all select 'sales', k, 'discount', 1, dc from ls union all select 'account', k, 'balance', 0, b from sp),
- al as (select layer, cast(k as varchar) sample_id, 'g' || cast(k % 3 as varchar) grp, feature, cast(f_ord as integer) f_ord, cast("value" as double) "value" from tw where k in (select k from ls intersect select k from sp))"""
+TWO = """ls as (select o_custkey k, avg(o_totalprice) q, count(*) dc from orders group by 1), sp as (select s_suppkey k, s_acctbal b from supplier),
+ tw as (select 'sales' layer, k, 'price' feature, 0 f_ord, q "value" from ls union all select 'sales', k, 'orders', 1, dc from ls union all select 'account', k, 'balance', 0, b from sp),
+ cm as (select cast(k as varchar) sample_id, row_number() over (order by cast(k as varchar)) - 1 s_ord from (select k from ls intersect select k from sp)),
+ al as (select layer, cm.sample_id, cm.s_ord, 'g' || cast(k % 3 as varchar) grp, feature, cast(f_ord as integer) f_ord, cast("value" as double) "value" from tw join cm on cm.sample_id = cast(k as varchar))"""
 
 
-@query("q_align", f'with {TWO} select {CELL}, round("value", 6) + 0.0 "value" from al')
+@query("q_align", f'with {TWO} select {CELL}, s_ord, round("value", 6) + 0.0 "value" from al')
 def _align(spark, d):
-    return cells(prep.align_blocks(two_layers(spark, d)))
+    return prep.align_blocks(two_layers(spark, d)).select("layer", "sample_id", "grp", "feature", "f_ord", "s_ord", r6("value").alias("value"))
 
 
 @query("q_prepare_multiblock", f'with {TWO}, l as (select * replace (ln({MOVED}) as "value") from al), p as (select * replace ({SCALED.format(w=W, s=f"sqrt(stddev_samp({chr(34)}value{chr(34)}) {W})")} as "value") from l) select {CELL}, round("value", 6) + 0.0 "value" from p')
@@ -133,7 +123,7 @@ def _fusion(spark, d):
     return cells(prep.early_fusion(prep.align_blocks(two_layers(spark, d)), ["sales", "account"]))
 
 
-SMALL = EMB + ', x as (select * from emb where f_ord < 12), pr as (select a.f_ord i, b.f_ord j, corr(a."value", b."value") r from x a join x b on a.sample_id = b.sample_id and a.f_ord < b.f_ord group by 1, 2)'
+SMALL = EMB + ', x as (select * from emb), pr as (select a.f_ord i, b.f_ord j, corr(a."value", b."value") r from x a join x b on a.sample_id = b.sample_id and a.f_ord < b.f_ord group by 1, 2)'
 ADJ = SMALL + ", ad as (select i, j, abs(r) ^ 2 w from pr), bw as (select i, j, w from ad union all select j, i, w from ad), kk as (select i, sum(w) k from bw group by 1)"
 
 
@@ -142,7 +132,7 @@ def _pearson(obs, spark, d):
     return stats.feature_correlations(obs).select("layer", "i", "j", r6("r").alias("r"))
 
 
-@pair_query("q_spearman", f'with {EMB}, x as (select sample_id, f_ord, rank() over (partition by f_ord order by "value") + (count(*) over (partition by f_ord, "value") - 1) / 2.0 v from emb where f_ord < 12) select \'emb\' layer, a.f_ord i, b.f_ord j, round(corr(a.v, b.v), 6) + 0.0 r from x a join x b on a.sample_id = b.sample_id and a.f_ord < b.f_ord group by a.f_ord, b.f_ord')
+@pair_query("q_spearman", f'with {EMB}, x as (select sample_id, f_ord, rank() over (partition by f_ord order by "value") + (count(*) over (partition by f_ord, "value") - 1) / 2.0 v from emb) select \'emb\' layer, a.f_ord i, b.f_ord j, round(corr(a.v, b.v), 6) + 0.0 r from x a join x b on a.sample_id = b.sample_id and a.f_ord < b.f_ord group by a.f_ord, b.f_ord')
 def _spearman(obs, spark, d):
     return stats.feature_correlations(obs, "spearman").select("layer", "i", "j", r6("r").alias("r"))
 
@@ -201,7 +191,7 @@ def _hubs(obs, spark, d):
     return network.hub_features(edges, modules, gs, 2).select("layer", "f", "module", r6("k_in", 9).alias("k_in"), r6("k_norm").alias("k_norm"), r6("hub_score").alias("hub_score"), "is_hub")
 
 
-GRAM = EMB + ', x as (select sample_id, grp, f_ord, "value" - avg("value") over (partition by f_ord) v from emb where f_ord < 12)'
+GRAM = EMB + ', x as (select sample_id, grp, f_ord, "value" - avg("value") over (partition by f_ord) v from emb)'
 
 
 @pair_query("q_gram", f"with {GRAM} select a.f_ord i, b.f_ord j, round(sum(a.v * b.v), 6) + 0.0 c from x a join x b on a.sample_id = b.sample_id group by 1, 2")
@@ -229,7 +219,7 @@ PRED = PRED.replace("abs(embedding[1])", "abs(cast(embedding[1] as double))")
 
 @query("q_accuracy", f"with {PRED} select round(avg(case when y = p then 1.0 else 0 end), 6) + 0.0 accuracy, round(avg(abs(y - p)), 6) + 0.0 mae from pr")
 def _accuracy(spark, d):
-    return predicted(spark, d).agg(r6(stats.accuracy("y", "p")).alias("accuracy"), r6(F.avg(F.abs(F.col("y") - F.col("p")).cast("double"))).alias("mae"))
+    return predicted(spark, d).agg(r6(stats.accuracy("y", "p")).alias("accuracy"), r6(stats.mean_absolute_error("y", "p")).alias("mae"))
 
 
 @query("q_confusion", f"with {PRED}, l as (select y l from pr union select p from pr) select a.l y_true, b.l y_pred, count(pr.y) n from l a cross join l b left join pr on pr.y = a.l and pr.p = b.l group by 1, 2")
@@ -301,16 +291,34 @@ def _summary(spark, d):
 def _class_means(spark, d):
     from pyspark.sql import Window
 
-    out = embedding_layer(spark, d).groupBy("grp", "feature").agg(r6(F.avg("value")).alias("mean"))
+    out = stats.class_means(embedding_layer(spark, d)).select("grp", "feature", r6("mean").alias("mean"))
     return out.withColumn("rank", F.rank().over(Window.partitionBy("feature").orderBy("mean")))
 
 
-@query("q_short_names", """with n as (select p_name || case p_partkey % 4 when 0 then ' Area' when 1 then '' when 2 then ';aaaaaaaaaaaa;bbbbbbbbbbbbbb' else ' : Conc. (nM)' end f from part),
- s as (select f, case when contains(f, ' : Conc. (nM)') then replace(replace(regexp_replace(replace(f, ' : Conc. (nM)', ''), '^[^_]*_', ''), '_0.0', ''), ' 0.0', '') else regexp_replace(f, ' Area$', '') end o from n)
- select f feature, case when contains(o, ';') and length(o) > 20 then split_part(o, ';', 1) else o end short from s""")
+@query("q_short_names", """with n as (select case p_partkey % 8 when 0 then p_name || ' Area' when 1 then p_name when 2 then p_name || ';aaaaaaaaaaaa;bbbbbbbbbbbbbb' when 3 then p_name || ' : Conc. (nM)'
+   when 4 then 'a_' || p_name || '_0.0 : Conc. (nM)' when 5 then p_name || ' 0.0 : Conc. (nM)' when 6 then 'p_' || p_name || ';r : Conc. (nM)' else p_name || ';bbbbbbbbbbbbbbbbbbbb Area' end f from part),
+ s as (select f, replace(f, ' : Conc. (nM)', '') o from n)
+ select f feature, case when f <> o and contains(o, '_') then trim(replace(replace(substr(o, strpos(o, '_') + 1), '_0.0', ''), ' 0.0', '')) when suffix(o, ' Area') then left(o, length(o) - 5) when contains(o, ';') and length(o) > 20 then split_part(o, ';', 1) else o end short from s""")
 def _short(spark, d):
-    tail = F.element_at(F.array(F.lit(" Area"), F.lit(""), F.lit(";aaaaaaaaaaaa;bbbbbbbbbbbbbb"), F.lit(" : Conc. (nM)")), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return spark.read.parquet(f"{d}/part.parquet").select(F.concat("p_name", tail).alias("feature")).select("feature", prep.short_feature_name(F.col("feature")).alias("short"))
+    c = F.col("p_name")
+    kinds = [F.concat(c, F.lit(" Area")), c, F.concat(c, F.lit(";aaaaaaaaaaaa;bbbbbbbbbbbbbb")), F.concat(c, F.lit(" : Conc. (nM)")), F.concat(F.lit("a_"), c, F.lit("_0.0 : Conc. (nM)")), F.concat(c, F.lit(" 0.0 : Conc. (nM)")), F.concat(F.lit("p_"), c, F.lit(";r : Conc. (nM)")), F.concat(c, F.lit(";bbbbbbbbbbbbbbbbbbbb Area"))]
+    return spark.read.parquet(f"{d}/part.parquet").select(F.element_at(F.array(*kinds), (F.col("p_partkey") % 8 + 1).cast("int")).alias("feature")).select("feature", prep.short_feature_name(F.col("feature")).alias("short"))
+
+
+@query("q_stability_text", "select p_partkey, case when s = 0 then '\u2014' else printf('%.2f', s) end \"text\", case when s = 0 then '#bbbbbb' when s >= 0.8 then '#2166ac' else '#666666' end colour, case when s >= 0.8 then 'bold' else 'normal' end weight from (select p_partkey, (p_partkey % 11) / 10.0 s from part)")
+def _stability_text(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", prep.stability_text((F.col("p_partkey") % 11) / 10.0).alias("x")).select("p_partkey", "x.*")
+
+
+@query("q_top_features", f'with {EMB}, m as (select feature, avg(abs("value")) score from emb group by 1) select feature, round(score, 6) + 0.0 score from m order by score desc, feature limit 15')
+def _top(spark, d):
+    found = embedding_layer(spark, d).groupBy("feature").agg(F.avg(F.abs("value")).alias("score"))
+    return stats.head(found, "score").select("feature", r6("score").alias("score"))
+
+
+@query("q_scaling", f'with {EMB} select layer, feature, round(avg("value"), 6) + 0.0 mean, round(sqrt(stddev_samp("value")), 6) + 0.0 divisor from emb group by all')
+def _scaling(spark, d):
+    return prep.scaling(embedding_layer(spark, d), True).select("layer", "feature", r6("mean").alias("mean"), r6("divisor").alias("divisor"))
 
 
 @query("q_infer_layer", "select o_orderkey, case when contains(o_orderpriority, 'HIGH') then 'HIGH' when contains(o_orderpriority, 'LOW') then 'LOW' else 'unknown' end layer from orders")
@@ -353,7 +361,7 @@ def _first_scores(obs, spark, d):
     return latent.predict_rows(rows, m).select("sample_id", r6(F.col("scores")[0]).alias("score"))
 
 
-@pair_query("q_pls_first_vip", f"with {FIRST} select f, round(sqrt(12) * abs(w), 6) + 0.0 vip, sqrt(12) * abs(w) >= 1 important from wt")
+@pair_query("q_pls_first_vip", f"with {FIRST} select f, round(sqrt(64) * abs(w), 6) + 0.0 vip, sqrt(64) * abs(w) >= 1 important from wt")
 def _first_vip(obs, spark, d):
     m = _first_component(obs)[1]
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(m.vip)], "f int, vip double").select("f", r6("vip").alias("vip"), (F.col("vip") >= 1).alias("important"))

@@ -12,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Event types, at most: each is a column of one aggregation.
+MAX_COLUMNS = 2_000
+
 OBS = "layer string, sample_id string, s_ord long, grp string, feature string, f_ord int, value double"
 
 
@@ -31,7 +34,7 @@ def load_layer(spark: SparkSession, path: str, layer: str, group_col: str = "Gro
     """A layer from a CSV file with a header; an unnamed first column holds the sample ids. The file is one task's work
     (a layer's samples are few; many rows come as Parquet), so the order of its lines is kept."""
     wide = spark.read.csv(path, header=True, inferSchema=True)
-    if sample_col not in wide.columns and wide.columns[0] in ("_c0", "") or wide.columns[0].startswith("Unnamed"):
+    if sample_col not in wide.columns and (wide.columns[0] in ("_c0", "") or wide.columns[0].startswith("Unnamed")):
         wide = wide.withColumnRenamed(wide.columns[0], sample_col)
     if group_col not in wide.columns:
         raise KeyError(group_col)
@@ -60,19 +63,23 @@ def embedding_layer(spark: SparkSession, sf_dir: str, layer: str = "emb") -> Dat
 def event_layer(spark: SparkSession, sf_dir: str, layer: str = "events") -> DataFrame:
     """A sample is a user's day, a feature an event type, a value their mean; types without events are null."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.to_date("ts").alias("day"), "event_type", "value")
-    cells = e.groupBy("user_id", "day", "event_type").agg(F.avg("value").alias("value"))
-    kinds = e.select("event_type").distinct().select("event_type", (F.row_number().over(_by("event_type")) - 1).alias("f_ord"))
-    grid = cells.select("user_id", "day").distinct().crossJoin(F.broadcast(kinds))  # a handful of types
-    return grid.join(cells, ["user_id", "day", "event_type"], "left").select(
+    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(MAX_COLUMNS + 1).collect()]
+    if len(kinds) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} event types")
+    days = e.groupBy("user_id", "day").agg(*[F.avg(F.when(F.col("event_type").eqNullSafe(k), F.col("value"))).alias(f"v{i}") for i, k in enumerate(kinds)])
+    cells = F.array(*[F.struct(F.lit(k).alias("feature"), F.lit(i).alias("f_ord"), F.col(f"v{i}").alias("value")) for i, k in enumerate(kinds)])
+    return days.select(
         F.lit(layer).alias("layer"), F.concat_ws("|", F.col("user_id").cast("string"), F.col("day").cast("string")).alias("sample_id"), F.col("user_id").alias("s_ord"),
-        F.concat(F.lit("g"), (F.col("user_id") % 3).cast("string")).alias("grp"), F.col("event_type").alias("feature"), "f_ord", "value",
+        F.concat(F.lit("g"), (F.col("user_id") % 3).cast("string")).alias("grp"), F.inline(cells),
     )
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
+def load_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A table that ``save_table`` wrote; an unnamed first column of a CSV file is left out."""
+    if fmt != "csv":
+        return spark.read.format(fmt).load(path)
+    out = spark.read.csv(path, header=True, inferSchema=True)
+    return out.drop(out.columns[0]) if out.columns and out.columns[0] in ("_c0", "") else out
 
 
 def save_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
