@@ -208,6 +208,11 @@ class SPLSDA:
         return [self.classes[i] for i in (self.scores(x) @ self.q.T).argmax(axis=1)]
 
 
+def loadings(model: SPLSDA | DIABLO, names: list[str]) -> list[tuple]:
+    """``feature, component, weight, loading`` for each feature and component, numbered from 1."""
+    return [(n, h + 1, float(model.w[i, h]), float(model.p[i, h])) for i, n in enumerate(names) for h in range(model.w.shape[1])]
+
+
 @dataclass
 class DIABLO:
     """``sizes``: features of each block, in order; ``design``: weight between blocks, or the whole matrix with Y last."""

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.arrays import array_rows, summed
 
 MODELS = ("AT", "IT", "SE")
 
@@ -19,48 +26,168 @@ def threshold_weights(model: str, k: int) -> np.ndarray:
     return np.where(t >= y, 2 * (t - y) + 1, 2 * (y - t) - 1).astype(float)
 
 
+def _start(p: int, k: int) -> np.ndarray:
+    return np.concatenate([np.zeros(p), np.linspace(-1, 1, k - 1) if k > 2 else np.zeros(k - 1)])
+
+
+def _losses(z: np.ndarray, rank: np.ndarray, omega: np.ndarray, vs: list[np.ndarray]) -> np.ndarray:
+    """The rows' weighted logistic loss at each of some points (coefficients, then thresholds)."""
+    p, k = z.shape[1], omega.shape[1] + 1
+    sign, weight, out = np.where(np.arange(k - 1)[None, :] >= rank[:, None], 1.0, -1.0), omega[rank], []
+    for v in vs:
+        out.append(float((weight * np.logaddexp(0, -sign * (v[p:][None, :] - (z @ v[:p])[:, None]))).sum()))
+    return np.array(out)
+
+
+def _slopes(z: np.ndarray, rank: np.ndarray, omega: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The rows' part of the Hessian, with the gradient as its last column."""
+    p, k = z.shape[1], omega.shape[1] + 1
+    sign = np.where(np.arange(k - 1)[None, :] >= rank[:, None], 1.0, -1.0)
+    m = sign * (v[p:][None, :] - (z @ v[:p])[:, None])
+    e = 1 / (1 + np.exp(np.clip(m, -500, 500)))
+    g, h = -omega[rank] * e * sign, omega[rank] * e * (1 - e)
+    out = np.zeros((p + k - 1, p + k))
+    out[:, -1] = np.concatenate([-z.T @ g.sum(1), g.sum(0)])
+    out[:p, :p] = (z * h.sum(1)[:, None]).T @ z
+    out[:p, p:-1] = -z.T @ h
+    out[p:, :p] = out[:p, p:-1].T
+    out[p:, p:-1] = np.diag(h.sum(0))
+    return out
+
+
+#: Parts of a Newton step that are tried, all of them in one pass.
+PARTS = 0.5 ** np.arange(0, 34, 3)
+
+
+def _newton(starts: list[np.ndarray], p: int, alpha: float, slopes: Callable, losses: Callable, rounds: int = 200) -> list[np.ndarray]:
+    """Minimise several problems side by side: ``slopes(points)`` and ``losses(lists of points)`` sum over each one's rows;
+    a point of None is done."""
+    vs, open_ = [v.copy() for v in starts], [len(v) > p for v in starts]
+
+    def ridge(v: np.ndarray) -> float:
+        return alpha / 2 * float(v[:p] @ v[:p])
+
+    for _ in range(rounds):
+        if not any(open_):
+            break
+        sums, tries, steps = slopes([v if o else None for v, o in zip(vs, open_)]), [], []
+        for v, o, t in zip(vs, open_, sums):
+            if o:
+                keep = np.concatenate([np.full(p, alpha), np.full(len(v) - p, 1e-12)])
+                steps.append(np.linalg.solve(t[:, :-1] + np.diag(keep), t[:, -1] + np.concatenate([alpha * v[:p], np.zeros(len(v) - p)])))
+                tries.append([v, *[v - c * steps[-1] for c in PARTS]])
+            else:
+                steps.append(None), tries.append(None)
+        for i, (own, loss) in enumerate(zip(tries, losses(tries))):
+            if own is None:
+                continue
+            total = loss + np.array([ridge(v) for v in own])
+            better = np.flatnonzero(total[1:] <= total[0])
+            k = int(better[0]) if len(better) else len(PARTS) - 1
+            vs[i] = own[k + 1] if len(better) else own[0]
+            open_[i] = bool(len(better)) and float(np.abs(PARTS[k] * steps[i]).max()) >= 1e-10
+    return vs
+
+
 class Ordinal:
+    """``w``: a coefficient for each feature, brought to [0, 1]; ``theta``: the sorted thresholds between ``classes``."""
+
     def __init__(self, model: str = "AT", alpha: float = 1.0):
         self.model, self.alpha = model, alpha
         threshold_weights(model, 2)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Ordinal:
-        """Features are first brought to [0, 1] by these rows; a constant one has range 1."""
-        self.low = x.min(axis=0)
-        span = x.max(axis=0) - self.low
-        self.span = np.where(span > 0, span, 1.0)
-        self.classes = np.unique(y)
-        z, rank, p, k = (x - self.low) / self.span, np.searchsorted(self.classes, y), x.shape[1], len(self.classes)
-        if k < 2:
-            self.w, self.theta = np.zeros(p), np.zeros(0)
-            return self
-        omega = threshold_weights(self.model, k)[rank]
-        sign = np.where(np.arange(k - 1)[None, :] >= rank[:, None], 1.0, -1.0)
-        v = np.concatenate([np.zeros(p), np.linspace(-1, 1, k - 1) if k > 2 else [0.0]])
-
-        def loss(v: np.ndarray) -> float:
-            m = sign * (v[p:][None, :] - (z @ v[:p])[:, None])
-            return float((omega * np.logaddexp(0, -m)).sum() + self.alpha / 2 * v[:p] @ v[:p])
-
-        for _ in range(200):
-            m = sign * (v[p:][None, :] - (z @ v[:p])[:, None])
-            e = 1 / (1 + np.exp(np.clip(m, -500, 500)))
-            g, h = -omega * e * sign, omega * e * (1 - e)
-            grad = np.concatenate([-z.T @ g.sum(1) + self.alpha * v[:p], g.sum(0)])
-            hess = np.zeros((p + k - 1, p + k - 1))
-            hess[:p, :p] = (z * h.sum(1)[:, None]).T @ z + self.alpha * np.eye(p)
-            hess[:p, p:] = -z.T @ h
-            hess[p:, :p] = hess[:p, p:].T
-            hess[p:, p:] = np.diag(h.sum(0) + 1e-12)
-            step, now, size = np.linalg.solve(hess, grad), loss(v), 1.0
-            while size > 1e-10 and loss(v - size * step) > now:
-                size /= 2
-            v = v - size * step
-            if np.abs(size * step).max() < 1e-10:
-                break
+    def _set(self, low: np.ndarray, high: np.ndarray, classes: np.ndarray, v: np.ndarray) -> Ordinal:
+        p = len(low)
+        self.low, self.span, self.classes = low, np.where(high > low, high - low, 1.0), classes
         self.w, self.theta = v[:p], np.sort(v[p:])
         return self
 
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Ordinal:
+        """Features are first brought to [0, 1] by these rows; a constant one has range 1."""
+        low, high, classes = x.min(axis=0), x.max(axis=0), np.unique(y)
+        z, rank, p, k = (x - low) / np.where(high > low, high - low, 1.0), np.searchsorted(classes, y), x.shape[1], len(classes)
+        omega = threshold_weights(self.model, k)
+        found = _newton([_start(p, k)], p, self.alpha, lambda vs: [_slopes(z, rank, omega, vs[0])], lambda tries: [_losses(z, rank, omega, tries[0])])
+        return self._set(low, high, classes, found[0])
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         f = ((x - self.low) / self.span) @ self.w
         return self.classes[(self.theta[None, :] < f[:, None]).sum(axis=1)]
+
+    def table(self, names: list[str]) -> list[tuple]:
+        """``feature, coefficient, absolute coefficient``, largest first."""
+        return sorted(((n, float(c), abs(float(c))) for n, c in zip(names, self.w)), key=lambda r: (-r[2], r[0]))
+
+
+def fit_rows(rows: DataFrame, models: tuple[str, ...] = MODELS, alpha: float = 1.0, cv: int = 0) -> dict[tuple[str, int], Ordinal]:
+    """Fits on rows of ``y, x`` (and ``fold``) where they are: ``(model, fold left out) -> Ordinal``; fold -1 leaves out none.
+
+    Two passes a Newton step serve all models and folds: one sums gradients and Hessians in tasks, one the losses of all
+    parts of the step. Only these sums, whose size the features bound, come to the driver.
+    """
+    data = rows.select(F.col("y").cast("long").alias("y"), "x", (F.col("fold") if cv else F.lit(-1)).cast("long").alias("fold"))
+    ranges = data.select("fold", F.posexplode("x").alias("f", "v")).groupBy("fold", "f").agg(F.min("v").alias("low"), F.max("v").alias("high")).collect()
+    labels = data.groupBy("fold").agg(F.collect_set("y").alias("ys")).collect()
+    p = 1 + max(r.f for r in ranges)
+    low, high = {}, {}
+    for r in ranges:
+        low.setdefault(r.fold, np.empty(p))[r.f], high.setdefault(r.fold, np.empty(p))[r.f] = r.low, r.high
+    every, jobs = sorted(low), []
+    for model in models:
+        for out in range(cv) if cv else (-1,):
+            seen = [f for f in every if not cv or f != out]
+            classes = np.array(sorted({y for r in labels if r.fold in seen for y in r.ys}))
+            a, b = np.min([low[f] for f in seen], axis=0), np.max([high[f] for f in seen], axis=0)
+            jobs.append((model, out, a, b, classes, threshold_weights(model, len(classes))))
+
+    def over_rows(points: list, kernel: Callable) -> dict[int, np.ndarray]:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals: dict[int, np.ndarray] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                y, fold = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)
+                for k, (point, (_, out, a, b, classes, omega)) in enumerate(zip(points, jobs)):
+                    own = fold != out if out >= 0 else np.ones(len(y), bool)
+                    if point is not None and own.any():
+                        z = (x[own] - a) / np.where(b > a, b - a, 1.0)
+                        totals[k] = totals.get(k, 0.0) + kernel(z, np.searchsorted(classes, y[own]), omega, point)
+            for k, t in totals.items():
+                t = np.atleast_2d(t)
+                yield array_rows({"k": np.full(len(t), k), "i": np.arange(len(t))}, list(t))
+
+        parts: dict[int, dict[int, np.ndarray]] = {}
+        for r in summed(data.mapInArrow(sums, "k long, i long, v array<double>"), "k", "i").collect():  # by features, not rows
+            parts.setdefault(r.k, {})[r.i] = np.array(r.v)
+        return {k: np.array([own[i] for i in sorted(own)]) for k, own in parts.items()}
+
+    def slopes(points: list) -> list:
+        found = over_rows(points, _slopes)
+        return [found.get(k) for k in range(len(points))]
+
+    def losses(tries: list) -> list:
+        found = over_rows(tries, _losses)
+        return [found[k][0] if k in found else None for k in range(len(tries))]
+
+    found = _newton([_start(p, len(classes)) for *_, classes, _ in jobs], p, alpha, slopes, losses)
+    return {(model, out): Ordinal(model, alpha)._set(a, b, classes, v) for (model, out, a, b, classes, _), v in zip(jobs, found)}
+
+
+def predict_rows(rows: DataFrame, model: Ordinal, out: str = "predicted") -> DataFrame:
+    """``rows`` with the class predicted from ``x``, by expressions where the rows are."""
+    scale = model.w / model.span
+    products = F.zip_with("x", F.lit([float(v) for v in scale]), lambda a, b: a * b)
+    score = F.aggregate(products, F.lit(-float(scale @ model.low)), lambda s, v: s + v)
+    below = sum((F.when(F.lit(float(t)) < score, 1).otherwise(0) for t in model.theta), F.lit(0))
+    return rows.withColumn(out, F.element_at(F.lit([int(c) for c in model.classes]), below + 1))
+
+
+def cross_validate(rows: DataFrame, models: tuple[str, ...] = MODELS, alpha: float = 1.0, cv: int = 5) -> DataFrame:
+    """``model, sample_id, y, fold, predicted``: folds by the hashed sample id, each predicted by a fit without it."""
+    dealt = rows.withColumn("fold", F.pmod(F.xxhash64("sample_id"), F.lit(cv)).cast("int"))
+    result = None
+    for (model, fold), fitted in fit_rows(dealt, models, alpha, cv).items():
+        one = predict_rows(dealt.where(F.col("fold") == fold), fitted).select(F.lit(model).alias("model"), "sample_id", "y", "fold", "predicted")
+        result = one if result is None else result.unionByName(one)
+    return result

@@ -114,6 +114,43 @@ def permutation_importance(spark: SparkSession, model, x: np.ndarray, y: np.ndar
     return each.groupBy("f").agg(F.avg("drop").alias("mean"), F.stddev_pop("drop").alias("std"))
 
 
+def cross_validation(fit_predict: FitPredict, x: np.ndarray, y: np.ndarray, cv: int | None = None) -> dict:
+    """Predictions for each row by fits without it, with accuracy, confusion (labels x labels) and a report by label:
+    precision, recall, F1 and support."""
+    predicted = cross_predict(fit_predict, x, y, cv)
+    labels = sorted(set(y) | set(predicted))
+    confusion = np.array([[int(((y == a) & (predicted == b)).sum()) for b in labels] for a in labels])
+    hit, given, there = np.diag(confusion).astype(float), confusion.sum(axis=0), confusion.sum(axis=1)
+    precision, recall = hit / np.maximum(given, 1), hit / np.maximum(there, 1)
+    f1 = 2 * precision * recall / np.where(precision + recall > 0, precision + recall, 1)
+    table = {a: (float(precision[k]), float(recall[k]), float(f1[k]), int(there[k])) for k, a in enumerate(labels)}
+    return {"predicted": predicted, "accuracy": float((predicted == y).mean()), "labels": labels, "confusion": confusion, "report": table}
+
+
+def ordinal_cross_validation(x: np.ndarray, y: np.ndarray, model: str = "AT", alpha: float = 1.0, cv: int | None = None) -> dict:
+    """``cross_validation`` of a threshold model, with the mean absolute error and the mean of the folds' coefficients."""
+    from .ordinal import Ordinal
+
+    kept: list[np.ndarray] = []
+
+    def fit_predict(a, b, new):
+        m = Ordinal(model, alpha).fit(a, b)
+        kept.append(m.w)
+        return m.predict(new)
+
+    out = cross_validation(fit_predict, x, y, cv)
+    return out | {"mae": float(np.abs(out["predicted"].astype(float) - y).mean()), "coefficients": np.mean(kept, axis=0)}
+
+
+def by_block(table: DataFrame, sizes: list[int]) -> DataFrame:
+    """A table by feature of all blocks (``f``) with ``block`` and the feature's place in it (``place``)."""
+    from pyspark.sql import functions as F
+
+    edges = [int(v) for v in np.cumsum([0, *sizes])]
+    block = F.size(F.filter(F.lit(edges), lambda e: e <= F.col("f"))) - 1
+    return table.withColumn("block", block).withColumn("place", F.col("f") - F.element_at(F.lit(edges), block + 1))
+
+
 def splsda_predictor(n_components: int = 2, keep=None) -> FitPredict:
     from .latent import SPLSDA, Moments
 

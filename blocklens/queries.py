@@ -367,6 +367,22 @@ def _first_vip(obs, spark, d):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(m.vip)], "f int, vip double").select("f", r6("vip").alias("vip"), (F.col("vip") >= 1).alias("important"))
 
 
+TWO_COMPONENTS = FIRST + """, t1 as (select sample_id, any_value(grp) grp, sum(v * w) t from x join wt on wt.f = x.f_ord group by 1), n1 as (select sum(t * t) tt from t1),
+ p1 as (select f_ord f, sum(v * t) / (select tt from n1) p from x join t1 using (sample_id) group by 1), q1 as (select grp, sum(t) / (select tt from n1) q from t1 group by 1),
+ y1 as (select sample_id, t, case when grp = (select min(grp) from t1) then 1.0 else 0 end y from t1), y2 as (select sample_id, t, y - (select avg(y) from y1) - t * (select q from q1 order by grp limit 1) y from y1),
+ x2 as (select x.sample_id, x.grp, x.f_ord, v - t * p v, y from x join y2 using (sample_id) join p1 on p1.f = x.f_ord), s2 as (select f_ord f, sum(v * y) s from x2 group by 1), k2 as (select * from s2 order by abs(s) desc, f limit 5),
+ w2 as (select s2.f, case when k2.f is null then 0 else s2.s / sqrt((select sum(s * s) from k2)) end w from s2 left join k2 on s2.f = k2.f), t2 as (select sample_id, any_value(grp) grp, sum(v * w) t from x2 join w2 on w2.f = x2.f_ord group by 1), n2 as (select sum(t * t) tt from t2),
+ p2 as (select f_ord f, sum(v * t) / (select tt from n2) p from x2 join t2 using (sample_id) group by 1), q2 as (select grp, sum(t) / (select tt from n2) q from t2 group by 1),
+ ss as (select (select tt from n1) * (select sum(q * q) from q1) a, (select tt from n2) * (select sum(q * q) from q2) b)"""
+
+
+@query("q_pls_components", f"with {TWO_COMPONENTS} select wt.f, round(wt.w, 6) + 0.0 weight1, round(w2.w, 6) + 0.0 weight2, round(p1.p, 6) + 0.0 loading1, round(p2.p, 6) + 0.0 loading2, round(sqrt(64 * (wt.w ^ 2 * a + w2.w ^ 2 * b) / (a + b)), 6) + 0.0 vip from wt join w2 using (f) join p1 using (f) join p2 using (f), ss")
+def _components(spark, d):
+    m = latent.SPLSDA(2, 5, max_iter=1).fit(latent.gather_moments(latent.block_rows(embedding_layer(spark, d))))
+    out = spark.createDataFrame([(i, *map(float, (*m.w[i], *m.p[i], m.vip[i]))) for i in range(len(m.w))], "f int, weight1 double, weight2 double, loading1 double, loading2 double, vip double")
+    return out.select("f", *[r6(c).alias(c) for c in out.columns[1:]])
+
+
 @query("q_module_sizes", "select range % 7 as \"module\", count(*) n from range(64) group by 1")
 def _module_sizes(spark, d):
     names = embedding_layer(spark, d).select("f_ord").distinct()
@@ -418,11 +434,69 @@ def stability(spark, d):
     return resample.stability_selection(spark, resample.splsda_selector(2, 10), x, y, 50)
 
 
+def _ordinal_rows(spark, d):
+    return latent.block_rows(embedding_layer(spark, d)).withColumn("y", F.col("grp").cast("int"))
+
+
 @query("q_ordinal_coefficients")
 def ordinal_coefficients(spark, d):
+    fitted = ordinal.fit_rows(_ordinal_rows(spark, d))
+    return spark.createDataFrame([(m, i, float(w), abs(float(w))) for (m, _), o in fitted.items() for i, w in enumerate(o.w)], "model string, f int, coefficient double, abs_coefficient double").orderBy("model", F.desc("abs_coefficient"), "f")
+
+
+@query("q_ordinal_permutation")
+def ordinal_permutation(spark, d):
     x, y = _matrix(spark, d, int)
-    rows = [(m, i, float(w)) for m in ordinal.MODELS for i, w in enumerate(ordinal.Ordinal(m).fit(x, y.astype(int)).w)]
-    return spark.createDataFrame(rows, "model string, f int, coefficient double")
+    r = resample.permutation_test(spark, resample.ordinal_predictor("AT"), x, y.astype(int), 50, cv=2)
+    return spark.createDataFrame([(i, v, r["true_accuracy"], r["p_value"]) for i, v in enumerate(r["null"])], "perm long, accuracy double, true_accuracy double, p_value double")
+
+
+@query("q_forest_cv")
+def forest_cv(spark, d):
+    x, y = _matrix(spark, d)
+    r = resample.cross_validation(resample.forest_predictor(20), x, y, 5)
+    return spark.createDataFrame([(k, *v, r["accuracy"]) for k, v in r["report"].items()], "label string, precision double, recall double, f1 double, support long, accuracy double")
+
+
+@query("q_forest_permutation")
+def forest_permutation(spark, d):
+    x, y = _matrix(spark, d)
+    r = resample.permutation_test(spark, resample.forest_predictor(5), x, y, 50, cv=2)
+    return spark.createDataFrame([(i, v, r["true_accuracy"], r["p_value"]) for i, v in enumerate(r["null"])], "perm long, accuracy double, true_accuracy double, p_value double")
+
+
+BLOCKS = {"keep": [[5, 5], [5, 5]]}
+
+
+@query("q_diablo_permutation")
+def diablo_permutation(spark, d):
+    x, y = _matrix(spark, d)
+    r = resample.permutation_test(spark, resample.diablo_predictor([32, 32], **BLOCKS), x, y, 50, cv=2)
+    return spark.createDataFrame([(i, v, r["true_accuracy"], r["p_value"]) for i, v in enumerate(r["null"])], "perm long, accuracy double, true_accuracy double, p_value double")
+
+
+@query("q_diablo_stability")
+def diablo_stability(spark, d):
+    x, y = _matrix(spark, d)
+    return resample.by_block(resample.stability_selection(spark, resample.diablo_selector([32, 32], **BLOCKS), x, y, 20), [32, 32])
+
+
+@query("q_splsda_loadings")
+def splsda_loadings(spark, d):
+    m = latent.SPLSDA(2, 10).fit(latent.gather_moments(latent.block_rows(embedding_layer(spark, d))))
+    return spark.createDataFrame(latent.loadings(m, [f"d{i:02d}" for i in range(64)]), "feature string, component int, weight double, loading double")
+
+
+@query("q_splsda_scores")
+def splsda_scores(spark, d):
+    rows = latent.block_rows(embedding_layer(spark, d))
+    return latent.predict_rows(rows, latent.SPLSDA(2, 10).fit(latent.gather_moments(rows))).select("sample_id", "grp", "scores", "predicted")
+
+
+@query("q_dendrogram_order")
+def dendrogram_order(spark, d):
+    found = _network(spark, d)
+    return spark.createDataFrame([(k, f, int(found["labels"][f])) for k, f in enumerate(network.leaf_order(found["merges"]))], "place int, f int, module int")
 
 
 @query("q_forest_importance")
@@ -479,13 +553,8 @@ def diablo_selected(spark, d):
 
 @query("q_ordinal_cv")
 def ordinal_cv(spark, d):
-    x, y = _matrix(spark, d, int)
-    y = y.astype(int)
-    rows = []
-    for m in ordinal.MODELS:
-        p = resample.cross_predict(resample.ordinal_predictor(m), x, y, 5).astype(int)
-        rows.append((m, float((p == y).mean()), float(np.abs(p - y).mean())))
-    return spark.createDataFrame(rows, "model string, accuracy double, mae double")
+    found = ordinal.cross_validate(_ordinal_rows(spark, d))
+    return found.groupBy("model").agg(stats.accuracy("y", "predicted").alias("accuracy"), stats.mean_absolute_error("y", "predicted").alias("mae"))
 
 
 @query("q_forest_permutation_importance")

@@ -31,6 +31,89 @@ def test_csv_with_odd_names(spark, tmp_path):
     assert layers.load_layer(spark, str(path), "one").first().sample_id == "s1"
 
 
+def test_unnamed_column_beside_sample(spark, tmp_path):
+    path = tmp_path / "layer.csv"
+    path.write_text("Unnamed: 0,Sample,Groups,x\n0,s1,g,1\n")
+    got = layers.load_layer(spark, str(path), "one").orderBy("f_ord").collect()
+    assert [(r.sample_id, r.feature) for r in got] == [("s1", "Unnamed: 0"), ("s1", "x")]
+    table = spark.createDataFrame([("a", 1.5)], "feature string, v double")
+    for fmt in ("parquet", "csv"):
+        layers.save_table(table, str(tmp_path / fmt), fmt)
+        assert layers.load_table(spark, str(tmp_path / fmt), fmt).collect() == table.collect()
+
+
+def test_names_for_display(spark):
+    want = {"a 0.0 : Conc. (nM)": "a 0.0", "p_q;r..r : Conc. (nM)": "q;r..r", "a..a;b..b Area": "a..a;b..b", "x_ y_0.0 0.0 : Conc. (nM)": "y", "abcdefghijkl;mnopqrstu": "abcdefghijkl", "a;b": "a;b", "k_v;mnopqrstuvwxyzabcdefgh": "k_v"}
+    rows = spark.createDataFrame([(k,) for k in want], "f string").select("f", prep.short_feature_name(F.col("f")).alias("s")).collect()
+    assert {r.f: r.s for r in rows} == want
+    shown = spark.createDataFrame([(None,), (0.0,), (float("nan"),), (0.8,), (0.5,)], "v double").select(prep.stability_text(F.col("v")).alias("t")).collect()
+    assert [r.t.text for r in shown] == ["\u2014"] * 3 + ["0.80", "0.50"] and [r.t.weight for r in shown][3:] == ["bold", "normal"]
+
+
+def test_order_of_samples(spark):
+    """Sample ids are numbered in their order, whatever the rows' order."""
+    ids = [f"s{i}" for i in (3, 10, 1, 20, 2)]
+    rows = [(layer, s, 9, "g", "x", 0, 1.0) for layer in ("l", "m") for s in ids] + [("l", "only", 9, "g", "x", 0, 1.0)]
+    got = prep.align_blocks(spark.createDataFrame(rows, OBS)).select("sample_id", "s_ord").distinct().collect()
+    assert {r.sample_id: r.s_ord for r in got} == {s: i for i, s in enumerate(sorted(ids))}
+
+
+def test_steps_equal_the_chain(spark):
+    """The two passes of prepare_block give what the steps give one after the other; no row is shuffled by feature."""
+    rng = np.random.RandomState(11)
+    cols = {f"f{i}": [None if rng.rand() < 0.2 else float(v) for v in rng.randn(12) * 3 + i] for i in range(5)}
+    cols |= {"c": [2.0] * 12, "gone": [None] * 11 + [1.0], "half": [1.0, 2.0] + [None] * 5 + [3.0] * 5}
+    o = obs(spark, cols, "abc" * 4)
+    chain = prep.pareto_scale(prep.log_transform(prep.drop_constant_features(prep.impute_half_min(prep.drop_sparse_features(o)))))
+    a, b = values(chain), values(prep.prepare_block(o))
+    assert a.keys() == b.keys() and "c" not in a and "gone" not in a and all(np.allclose(a[k], b[k]) for k in a)
+    assert "Window" not in prep.prepare_block(o)._jdf.queryExecution().toString()
+
+
+def test_ranks_over_ranges(spark):
+    rng = np.random.RandomState(12)
+    v = [None if rng.rand() < 0.1 else float(rng.randint(0, 40)) for _ in range(300)]
+    got = values(stats.average_rank(obs(spark, {"x": v, "y": [1.0] * 300}, ["a"] * 300)))
+    known = np.array([a for a in v if a is not None])
+    assert got["x"] == [None if a is None else (known < a).sum() + ((known == a).sum() + 1) / 2 for a in v] and set(got["y"]) == {150.5}
+
+
+def test_correlations_with_missing_values(spark):
+    rng = np.random.RandomState(13)
+    x = rng.randn(30, 4)
+    gaps = [[None if rng.rand() < 0.2 else float(v) for v in x[:, j]] for j in range(4)]
+    got = {(r.i, r.j): r.r for r in stats.feature_correlations(obs(spark, {f"f{j}": gaps[j] for j in range(4)}, ["a"] * 30)).collect()}
+    for (i, j), r in got.items():
+        both = [(a, b) for a, b in zip(gaps[i], gaps[j]) if a is not None and b is not None]
+        assert abs(r - np.corrcoef(np.array(both).T)[0, 1]) < 1e-9
+    assert len(got) == 6
+    full = {(r.i, r.j): r.r for r in stats.feature_correlations(obs(spark, {"a": list(x[:, 0]), "b": list(x[:, 1]), "c": [1.0] * 30}, ["a"] * 30)).collect()}
+    assert abs(full[0, 1] - np.corrcoef(x[:, :2].T)[0, 1]) < 1e-9 and full[0, 2] is None
+
+
+def test_leaf_order():
+    merges = np.array([[0, 2, 0.1, 2], [1, 3, 0.2, 2], [4, 5, 0.9, 4]])
+    assert network.leaf_order(merges) == [0, 2, 1, 3]
+
+
+def test_ordinal_models_where_the_rows_are(spark):
+    rng = np.random.RandomState(14)
+    y = np.repeat([0, 1, 2], 15)
+    x = y[:, None] + 0.8 * rng.randn(45, 3)
+    rows = spark.createDataFrame([(f"s{i}", int(a), [float(v) for v in b]) for i, (a, b) in enumerate(zip(y, x))], "sample_id string, y int, x array<double>").repartition(3)
+    for (model, _), m in ordinal.fit_rows(rows).items():
+        want = ordinal.Ordinal(model).fit(x, y)
+        assert np.allclose(m.w, want.w, atol=1e-7) and np.allclose(m.theta, want.theta, atol=1e-7)
+        got = {r.sample_id: r.predicted for r in ordinal.predict_rows(rows, m).collect()}
+        assert [got[f"s{i}"] for i in range(45)] == list(want.predict(x))
+    folds = ordinal.cross_validate(rows, ("AT",), cv=3).collect()
+    at = {int(r.sample_id[1:]): r for r in folds}
+    for k in range(3):
+        test = np.array(sorted(i for i, r in at.items() if r.fold == k))
+        rest = np.setdiff1d(np.arange(45), test)
+        assert [at[i].predicted for i in test] == list(ordinal.Ordinal("AT").fit(x[rest], y[rest]).predict(x[test]))
+
+
 def test_missing_values(spark):
     o = obs(spark, {"half": [1, None, 3, None], "most": [1, None, None, None], "neg": [-4, None, 2, 3], "none": [None] * 4})
     assert set(values(prep.drop_sparse_features(o))) == {"half", "neg"}  # exactly half of nulls is kept
@@ -187,6 +270,7 @@ def test_overlap_invariants(spark):
     edges = network.adjacency(stats.feature_correlations(o), 2)
     a, t = network.matrix(edges, 6, 0.0), network.matrix(network.topological_overlap(edges), 6, 1.0)
     assert np.allclose(a, a.T) and a.min() >= 0 and a.max() <= 1 and (np.diag(t) == 1).all() and t.min() >= 0 and t.max() <= 1
+    assert np.allclose(network.matrix(network._overlap_of_edges(edges), 6, 1.0), t)
     k = a.sum(0)
     want = (a @ a + a) / (np.minimum.outer(k, k) + 1 - a)
     np.fill_diagonal(want, 1)
