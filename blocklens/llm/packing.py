@@ -10,7 +10,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc
 from .tokens import ROOM, word_ids
 
 WINDOW = 2048
@@ -102,14 +101,14 @@ class SumOfSquares:
                     yield sequence
 
 
-def pack_documents(df: DataFrame, tokenizer: str, end_id: int, spaced: bool, window: int = WINDOW, max_open: int = MAX_OPEN, doc_id: str = "doc_id", text: str = "text", room: int = ROOM) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, end_id: int, spaced: bool, window: int = WINDOW, max_open: int = MAX_OPEN, doc_id: str = "doc_id", text: str = "text", room: int = ROOM, binary: bool = False) -> DataFrame:
     """Pack all rows' ids (whole text, then ``end_id``) into sequences of at most ``window`` ids.
 
     Each task packs the rows that it reads, so nothing is shuffled; ``sequence_id`` holds the task's partition above
     40 bits, so a task that runs again gives the same rows. Returns a row for each piece: ``doc_id, start, length,
     ids, doc_tokens, sequence_id, offset``. Null and empty texts are the end id alone; repeated rows are packed one
     by one; a null doc_id stays null; an empty table gives no pieces. ``window`` is a power of two;
-    ``room`` bounds a worker's token tables.
+    ``room`` bounds a worker's token tables; ``binary`` gives ``ids`` as little-endian unsigned 32-bit integers in binary.
     """
     end = np.asarray([end_id], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
@@ -123,39 +122,36 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, spaced: bool, win
             nonlocal sequence
             offset = 0
             for key, at, ids, total in pieces:
-                rows.append((key, at, len(ids) // 4, np.frombuffer(ids, "<i4"), total, sequence, offset))
+                rows.append((key, at, len(ids) // 4, ids, total, sequence, offset))
                 offset += len(ids) // 4
             sequence += 1
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*rows)) or [()] * len(names)
             rows.clear()
-            offsets = np.concatenate([[0], np.cumsum(np.array(columns[2], "int64"))]).astype("int32")
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(columns[3]) if columns[3] else np.array([], "<i4")))
+            if binary:
+                ids = pa.array(columns[3], pa.binary())
+            else:
+                offsets = np.concatenate([[0], np.cumsum(np.array(columns[2], "int64"))]).astype("int32")
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(columns[3]), "<i4")))
             return pa.RecordBatch.from_arrays([ids if k == 3 else pa.array(c, pa.int64()) for k, c in enumerate(columns)], names=names)
 
         for batch in batches:
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for pieces in packer.add(key, ids_of(value) + end):
                     place(pieces)
-                if len(rows) >= 1024:
-                    yield flush()
+                    if len(rows) >= 1024:
+                        yield flush()
         for pieces in packer.finish():
             place(pieces)
+            if len(rows) >= 1024:
+                yield flush()
         yield flush()
 
-    schema = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
+    schema = f"doc_id long, start long, length long, ids {'binary' if binary else 'array<int>'}, doc_tokens long, sequence_id long, offset long"
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pack, schema)
 
 
 def packing_digest(packed: DataFrame) -> DataFrame:
-    """The pieces with ``ids_crc32`` in place of their ids."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(3)
-            values, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            sums = [crc(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64()), *batch.columns[4:]], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return packed.mapInArrow(digest, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    """The pieces with ``ids_crc32`` in place of their binary ids."""
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -29,7 +29,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packing_digest(packing.pack_documents(documents(spark, sf_dir), "byte_bpe_50k.json", END_ID, spaced=True, room=450_000))
+    return packing.packing_digest(packing.pack_documents(documents(spark, sf_dir), "byte_bpe_50k.json", END_ID, spaced=True, room=450_000, binary=True))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,7 +127,10 @@ def test_packing(docs, none):
             ids = encoded("byte_bpe_50k.json", r[1])
             assert whole[r[0]] == (ids, len(ids))
     assert all(n & (n - 1) == 0 for n in sizes)
-    digest = packing.packing_digest(packing.pack_documents(docs, "byte_bpe_50k.json", 1, spaced=True))
+    digest = packing.packing_digest(packing.pack_documents(docs, "byte_bpe_50k.json", 1, spaced=True, binary=True))
+    texts = {r[0]: r[1] for r in rows()}
+    for r in digest.where("doc_id <> 9").collect():
+        assert r.ids_crc32 == crc(encoded("byte_bpe_50k.json", texts[r.doc_id])[r.start : r.start + r.length])
     assert digest.where("doc_id = 9").count() == 2 and digest.where("doc_id = 3 and ids_crc32 = %d" % crc([1])).count() == 1
     assert packing.pack_documents(none, "byte_bpe_50k.json", 1, spaced=True).count() == 0
 
