@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, media, mixing, packing, sharding, simhash, token_count, token_files, toxicity
+from . import jaccard, langid, media, mixing, ngram_lm, packing, resampling, sharding, simhash, token_count, token_files, toxicity, whitening
 from .common import documents, held_out, new_path, prepare
 
 END_ID = 1
@@ -60,6 +60,18 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_digest(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_digest(documents(spark, sf_dir))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_mix_sources, op2_token_files, op3_token_counts, op4_packing, op5_toxicity, op6_media, op7_language, op8_sharding, op9_simhash, op10_ngram_jaccard, pipeline)
+    named = (op1_mix_sources, op2_token_files, op3_token_counts, op4_packing, op5_toxicity, op6_media, op7_language, op8_sharding, op9_simhash, op10_ngram_jaccard, op11_whitening, op12_lm_scoring, op13_resampling, pipeline)
     return {f.__name__: f for f in named}
 
 
