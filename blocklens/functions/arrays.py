@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +12,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that driver and executors share, and read from there ever after. A temporary folder
+    stands in only where the session names none and everything runs in one process, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not place and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(place or "file://" + tempfile.mkdtemp(prefix="blocklens-"))
+    return df.checkpoint()
+
+
 def array_rows(keys: dict[str, np.ndarray], arrays: list[np.ndarray]) -> pa.RecordBatch:
     """A batch of long ``keys`` and, as ``v``, an array of doubles for each row."""
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype("int32")

@@ -56,6 +56,9 @@ class Moments:
     def __add__(self, other: Moments) -> Moments:
         return Moments(self.n + other.n, self.xx + other.xx, self.xy + other.xy, self.yy + other.yy, self.x + other.x, self.y + other.y, self.classes)
 
+    def __sub__(self, other: Moments) -> Moments:
+        return Moments(self.n - other.n, self.xx - other.xx, self.xy - other.xy, self.yy - other.yy, self.x - other.x, self.y - other.y, self.classes)
+
     def zero(self) -> Moments:
         return Moments(0.0, *(np.zeros_like(v) for v in (self.xx, self.xy, self.yy, self.x, self.y)), self.classes)
 
@@ -224,16 +227,21 @@ class DIABLO:
     max_iter: int = 500
     tol: float = 1e-6
 
+    def design_matrix(self) -> np.ndarray:
+        """The given matrix, or the given weight between blocks and 1 with Y."""
+        if not np.isscalar(self.design):
+            return np.asarray(self.design, float)
+        d = np.full((len(self.sizes) + 1, len(self.sizes) + 1), float(self.design))
+        d[-1], d[:, -1] = 1.0, 1.0
+        np.fill_diagonal(d, 0.0)
+        return d
+
     def fit(self, m: Moments) -> DIABLO:
         c, s, g = m.centred()
         self.classes, self.mean = m.classes, m.x / max(m.n, 1)
         k_blocks, edges = len(self.sizes), np.cumsum([0, *self.sizes])
         part = [slice(edges[k], edges[k + 1]) for k in range(k_blocks)]
-        d = self.design
-        if np.isscalar(d):
-            d = np.full((k_blocks + 1, k_blocks + 1), float(self.design))
-            d[-1], d[:, -1] = 1.0, 1.0
-            np.fill_diagonal(d, 0.0)
+        d = self.design_matrix()
         h = int(min(self.n_components, m.n - 1))
         self.w, self.p, self.q = np.zeros((len(c), h)), np.zeros((len(c), h)), np.zeros((len(g), h))
         self.tt, self.block_corr = np.zeros((k_blocks, h)), np.eye(k_blocks)

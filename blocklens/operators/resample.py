@@ -152,32 +152,36 @@ def by_block(table: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def splsda_predictor(n_components: int = 2, keep=None) -> FitPredict:
-    from .latent import SPLSDA, Moments
+    from .latent import SPLSDA
+    from .wide import fit_matrix
 
-    return lambda x, y, new: np.array(SPLSDA(n_components, keep).fit(Moments.of(x, y)).predict(new), dtype=object)
+    return lambda x, y, new: np.array(fit_matrix(SPLSDA(n_components, keep), x, y).predict(new), dtype=object)
 
 
 def splsda_selector(n_components: int = 2, keep=None):
-    from .latent import SPLSDA, Moments
+    from .latent import SPLSDA
+    from .wide import fit_matrix
 
     def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        m = SPLSDA(n_components, keep).fit(Moments.of(x, y))
+        m = fit_matrix(SPLSDA(n_components, keep), x, y)
         return ((m.w != 0).any(axis=1) if keep is not None else m.vip >= 1), m.vip
 
     return fit
 
 
 def diablo_predictor(sizes: list[int], **options) -> FitPredict:
-    from .latent import DIABLO, Moments
+    from .latent import DIABLO
+    from .wide import fit_matrix
 
-    return lambda x, y, new: np.array(DIABLO(sizes, **options).fit(Moments.of(x, y)).predict(new), dtype=object)
+    return lambda x, y, new: np.array(fit_matrix(DIABLO(sizes, **options), x, y).predict(new), dtype=object)
 
 
 def diablo_selector(sizes: list[int], **options):
-    from .latent import DIABLO, Moments
+    from .latent import DIABLO
+    from .wide import fit_matrix
 
     def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        m = DIABLO(sizes, **options).fit(Moments.of(x, y))
+        m = fit_matrix(DIABLO(sizes, **options), x, y)
         importance = np.concatenate(m.vips())
         return ((m.w != 0).any(axis=1) if options.get("keep") else importance >= 1), importance
 

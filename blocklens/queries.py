@@ -421,19 +421,6 @@ def diablo_vip(spark, d):
     return spark.createDataFrame([(b, i, float(v)) for b, vs in enumerate(m.vips()) for i, v in enumerate(vs)], "block int, f int, vip double")
 
 
-@query("q_splsda_permutation")
-def splsda_permutation(spark, d):
-    x, y = _matrix(spark, d)
-    r = resample.permutation_test(spark, resample.splsda_predictor(2, 10), x, y, 75, cv=5)
-    return spark.createDataFrame([(i, v, r["true_accuracy"], r["p_value"]) for i, v in enumerate(r["null"])], "perm long, accuracy double, true_accuracy double, p_value double")
-
-
-@query("q_stability")
-def stability(spark, d):
-    x, y = _matrix(spark, d)
-    return resample.stability_selection(spark, resample.splsda_selector(2, 10), x, y, 50)
-
-
 def _ordinal_rows(spark, d):
     return latent.block_rows(embedding_layer(spark, d)).withColumn("y", F.col("grp").cast("int"))
 
@@ -465,22 +452,6 @@ def forest_permutation(spark, d):
     return spark.createDataFrame([(i, v, r["true_accuracy"], r["p_value"]) for i, v in enumerate(r["null"])], "perm long, accuracy double, true_accuracy double, p_value double")
 
 
-BLOCKS = {"keep": [[5, 5], [5, 5]]}
-
-
-@query("q_diablo_permutation")
-def diablo_permutation(spark, d):
-    x, y = _matrix(spark, d)
-    r = resample.permutation_test(spark, resample.diablo_predictor([32, 32], **BLOCKS), x, y, 50, cv=2)
-    return spark.createDataFrame([(i, v, r["true_accuracy"], r["p_value"]) for i, v in enumerate(r["null"])], "perm long, accuracy double, true_accuracy double, p_value double")
-
-
-@query("q_diablo_stability")
-def diablo_stability(spark, d):
-    x, y = _matrix(spark, d)
-    return resample.by_block(resample.stability_selection(spark, resample.diablo_selector([32, 32], **BLOCKS), x, y, 20), [32, 32])
-
-
 @query("q_splsda_loadings")
 def splsda_loadings(spark, d):
     m = latent.SPLSDA(2, 10).fit(latent.gather_moments(latent.block_rows(embedding_layer(spark, d))))
@@ -529,16 +500,6 @@ def reduced_layer(spark, d):
     return network.reduce_by_network(embedding_layer(spark, d), _network(spark, d))
 
 
-@query("q_splsda_cv")
-def splsda_cv(spark, d):
-    return latent.cross_validate(latent.block_rows(embedding_layer(spark, d)), latent.SPLSDA(2, 10).fit)
-
-
-@query("q_diablo_cv")
-def diablo_cv(spark, d):
-    return latent.cross_validate(latent.block_rows(embedding_layer(spark, d)), latent.DIABLO([32, 32], 2, [[5, 5], [5, 5]]).fit)
-
-
 @query("q_diablo_block_correlations")
 def diablo_block_correlations(spark, d):
     m = latent.DIABLO([32, 32], 1).fit(latent.gather_moments(latent.block_rows(embedding_layer(spark, d))))

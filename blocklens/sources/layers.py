@@ -7,8 +7,11 @@ resampling and breaks ties.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +77,27 @@ def event_layer(spark: SparkSession, sf_dir: str, layer: str = "events") -> Data
     )
 
 
+def word_profiles(spark: SparkSession, sf_dir: str, features: int = 5319, first: int | None = None) -> DataFrame:
+    """``sample_id, grp, x``: each source and language of the documents as a sample, by the share (in thousandths) of its
+    words, or of their ``first`` letters, that falls into each of ``features`` hashed buckets; a wide block."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null")
+    words = docs.select(F.coalesce("source", F.lit("")).alias("source"), "lang", F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word"))
+    counts = words.withColumn("word", F.col("word") if first is None else F.substring("word", 1, first)).groupBy("source", "lang", "word").agg(F.count("*").alias("n"))
+    bucket = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("long") % features
+    sums = counts.groupBy("source", "lang", bucket.cast("int").alias("b")).agg(F.sum("n").alias("n"))
+    one = sums.groupBy("source", "lang").agg(F.collect_list("b").alias("b"), F.collect_list("n").alias("n"), F.sum("n").alias("total"))  # features entries at most
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.zeros((batch.num_rows, features))
+            for k, (b, n, total) in enumerate(zip(*(batch.column(i) for i in (2, 3, 4)))):
+                x[k, b.values.to_numpy()] = n.values.to_numpy() * 1000.0 / total.as_py()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * features, pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["sample_id", "grp", "x"])
+
+    return one.select(F.concat_ws("|", "source", "lang"), "lang", "b", "n", "total").mapInArrow(dense, "sample_id string, grp string, x array<double>")
+
+
 def load_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A table that ``save_table`` wrote; an unnamed first column of a CSV file is left out."""
     if fmt != "csv":
