@@ -12,10 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import array_rows, summed
 from .common import forget, written
 
 #: Buckets of the features, longest run of words, seed of the noise.
 BUCKETS, LONGEST, SEED = 10_000, 3, 42
+#: Buckets in one row of a shuffle.
+PIECE = 500
 #: Words that a document needs to be drawn, and the share drawn: DRAWN[0] of DRAWN[1].
 LEAST_WORDS, DRAWN = 20, (5, 100)
 #: Of UTF-8 bytes after A-Z are lower-cased: digits, a-z and everything beyond ASCII.
@@ -67,12 +70,12 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
         for batch in batches:
             for copies, steps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 total += copies * np.bincount(np.cumsum(np.frombuffer(steps, "<u2"), dtype="int64"), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype("int32")), pa.array(total[at])], names=["bucket", "n"])
+        if total.any():
+            yield array_rows({"first": np.arange(0, BUCKETS, PIECE)}, [total[a : a + PIECE].astype(float) for a in range(0, BUCKETS, PIECE)])
 
     out = np.zeros(BUCKETS, "int64")
-    for r in texts.select("copies", "buckets").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # BUCKETS rows at most
-        out[r.bucket] = r.n
+    for r in summed(texts.select("copies", "buckets").mapInArrow(count, "first long, v array<double>"), "first").toLocalIterator():  # BUCKETS numbers
+        out[r.first : r.first + len(r.v)] = r.v
     return out
 
 
