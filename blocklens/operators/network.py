@@ -16,8 +16,9 @@ from .latent import block_rows, gather_moments, project
 NETWORKS = ("unsigned", "signed", "signed_hybrid")
 #: Features of one layer that the clustering kernel takes, at most (0.5 GB a matrix).
 MAX_FEATURES = 8_000
-#: Features of one layer whose adjacency is broadcast (128 MB), at most.
-MAX_DENSE = 4_000
+#: Features in a side of a tile (8 MB) of the adjacency.
+TILE = 1024
+TILES = "layer string, r int, c int, rows int, columns int, data binary"
 
 
 def adjacency(corr: DataFrame, power: int = 6, network_type: str = "unsigned") -> DataFrame:
@@ -39,51 +40,99 @@ def connectivity(edges: DataFrame) -> DataFrame:
 
 
 def topological_overlap(edges: DataFrame) -> DataFrame:
-    """``(shared + a) / (min(k_i, k_j) + 1 - a)`` for pairs i < j, 0 where the divisor isn't positive.
+    """``(shared + a) / (min(k_i, k_j) + 1 - a)`` for the given pairs i < j, 0 where the divisor isn't positive."""
 
-    Layers of up to MAX_DENSE features: the adjacency is a broadcast matrix, and tasks multiply its rows by it. Larger
-    ones: products of edges that meet, summed by pair.
-    """
-    layers = edges.groupBy("layer").agg(F.max("j").alias("j"), F.max("i").alias("i")).collect()
-    sizes = {r.layer: 1 + max(r.i, r.j) for r in layers}
-    if not sizes or max(sizes.values()) > MAX_DENSE:
-        return _overlap_of_edges(edges)
-    out = None
-    for layer, p in sorted(sizes.items()):
-        one = _dense_overlap(edges.where(F.col("layer") == layer), layer, p)
-        out = one if out is None else out.unionByName(one)
-    return out
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for layer, r, c, rows, columns, data in zip(*(x.to_pylist() for x in batch.columns)):
+                w = np.frombuffer(data).reshape(rows, columns)
+                for a in range(0, rows, 64):
+                    i, j = np.nonzero(~np.isnan(w[a : a + 64]))
+                    own = w[a + i, j]
+                    i, j = (r * TILE + a + i).astype("int32"), (c * TILE + j).astype("int32")
+                    yield pa.RecordBatch.from_arrays([pa.array([layer] * len(i), pa.string()), pa.array(i), pa.array(j), pa.array(own)], names=["layer", "i", "j", "w"])
 
+    return overlap_tiles(edges).mapInArrow(pairs, "layer string, i int, j int, w double")
 
-def _dense_overlap(edges: DataFrame, layer: str, p: int) -> DataFrame:
-    spark = edges.sparkSession
-    known = edges.select("i", "j", "w").toPandas()  # fewer than p * p / 2 rows
-    a, there = np.zeros((p, p)), np.zeros((p, p), bool)
-    a[known.i, known.j] = a[known.j, known.i] = known.w
-    there[np.minimum(known.i, known.j), np.maximum(known.i, known.j)] = True
-    shared = spark.sparkContext.broadcast((a, there))
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, given = shared.value
-        k = own.sum(axis=0)
+def overlap_tiles(edges: DataFrame) -> DataFrame:
+    """``layer, r, c, rows, columns, data``: the overlap as dense tiles of TILE x TILE features, r <= c, row by row, NaN
+    outside the given pairs i < j.
+
+    Edges become tiles of the adjacency. Each tile goes to every result that a product with it adds to, and a task takes
+    a result's tiles in the order of the features that they have in common, two at a time: it holds four tiles, whatever
+    the number of features, and nothing is joined or added up afterwards.
+    """
+    tile = TILE  # by value
+    sizes = {r.layer: 1 + r.j for r in edges.groupBy("layer").agg(F.max("j").alias("j")).collect()}
+    names = sorted(sizes)
+    counts = [-(-sizes[n] // tile) for n in names]
+    if not names:
+        return edges.sparkSession.createDataFrame([], TILES)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for i in batch.column(0).to_pylist():
-                j = np.flatnonzero(given[i])
-                low = np.minimum(k[i], k[j]) + 1 - own[i, j]
-                w = np.where(low > 0, np.clip((own[i] @ own[:, j] + own[i, j]) / np.where(low > 0, low, 1), 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([pa.array([layer] * len(j), pa.string()), pa.array(np.full(len(j), i, "int32")), pa.array(j.astype("int32")), pa.array(w)], names=["layer", "i", "j", "w"])
+            k, i, j, w = (x.to_numpy() for x in batch.columns)
+            which, at = np.unique(np.stack([k, i // tile, j // tile]), axis=1, return_inverse=True)
+            for n, (layer, r, c) in enumerate(which.T.tolist()):
+                if (layer, r, c) not in tiles:
+                    tiles[layer, r, c] = np.full((min(tile, sizes[names[layer]] - r * tile), min(tile, sizes[names[layer]] - c * tile)), np.nan)
+                own = at.ravel() == n
+                tiles[layer, r, c][i[own] - r * tile, j[own] - c * tile] = w[own]
+        for (layer, r, c), data in tiles.items():
+            whole = data
+            if r == c:
+                whole = np.where(np.isnan(data) & ~np.isnan(data.T), data.T, data)
+            yield _tile(layer, r, c, whole)
+            if r != c:
+                yield _tile(layer, c, r, data.T)
+
+    def _tile(layer: int, own: int, common: int, data: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) for v in (layer, own, common, *data.shape)] + [pa.array([np.ascontiguousarray(data).tobytes()], pa.binary())], names=["k", "own", "common", "rows", "columns", "data"])
+
+    place = F.create_map(*[c for k, name in enumerate(names) for c in (F.lit(name), F.lit(k))])
+    cells = edges.select(F.element_at(place, F.col("layer")).alias("k"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("w").cast("double").alias("w")).where("w is not null")
+    keyed = cells.repartition(sum(n * (n + 1) // 2 for n in counts), "k", F.expr(f"i div {tile}"), F.expr(f"j div {tile}"))
+    tiles = keyed.mapInArrow(build, "k int, own int, common int, rows int, columns int, data binary")
+    others = F.explode(F.sequence(F.lit(0), F.element_at(F.lit(counts), F.col("k") + 1) - 1)).alias("other")
+    sent = tiles.select("*", others).select("k", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("c"), "common", "own", "rows", "columns", "data")
 
-    return spark.range(p).mapInArrow(multiply, "layer string, i int, j int, w double")
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shared, left, direct, sums = None, None, {}, None, {}
 
+        def result() -> pa.RecordBatch:
+            layer, r, c = now
+            low = np.minimum(sums[r][:, None], sums[c][None, :]) + 1 - np.nan_to_num(direct)
+            w = np.where(low > 0, np.clip((shared + np.nan_to_num(direct)) / np.where(low > 0, low, 1), 0, 1), 0.0)
+            w[np.isnan(direct)] = np.nan
+            if r == c:
+                w[np.tril_indices(len(w))] = np.nan
+            return pa.RecordBatch.from_arrays([pa.array([names[layer]]), *(pa.array([v], pa.int32()) for v in (r, c, *w.shape)), pa.array([w.tobytes()], pa.binary())], names=["layer", "r", "c", "rows", "columns", "data"])
 
-def _overlap_of_edges(edges: DataFrame) -> DataFrame:
-    e = both_ways(edges)
-    k = connectivity(edges)
-    x, y = e.select("layer", "i", F.col("j").alias("m"), F.col("w").alias("a")), e.select("layer", F.col("i").alias("m"), "j", F.col("w").alias("b"))
-    shared = x.join(y, ["layer", "m"]).where("i < j").groupBy("layer", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("l"))
-    out = edges.join(shared, ["layer", "i", "j"], "left").join(k.withColumnRenamed("k", "ki"), ["layer", "i"]).join(k.select("layer", F.col("i").alias("j"), F.col("k").alias("kj")), ["layer", "j"])
-    low = F.least("ki", "kj") + 1 - F.col("w")
-    return out.select("layer", "i", "j", F.when(low > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.coalesce("l", F.lit(0.0)) + F.col("w")) / low))).otherwise(F.lit(0.0)).alias("w"))
+        for batch in batches:
+            for k, r, c, common, own, rows, columns, data in zip(*(x.to_pylist() for x in batch.columns)):
+                if (k, r, c) != now:
+                    if direct is not None:
+                        yield result()
+                    now, shared, left, direct, sums = (k, r, c), 0.0, {}, None, {}
+                a = np.frombuffer(data).reshape(rows, columns)
+                if own == r and common == c:
+                    direct = a
+                a = np.nan_to_num(a)
+                sums[own] = sums.get(own, 0.0) + a.sum(axis=1)
+                if r == c:
+                    shared = shared + a @ a.T
+                elif common in left:
+                    first, other = left.pop(common)
+                    shared = shared + (first @ a.T if other == r else a @ first.T)
+                else:
+                    left = {common: (a, own)}
+        if direct is not None:
+            yield result()
+
+    dealt = sent.repartition(sum(n * (n + 1) // 2 for n in counts), "k", "r", "c").sortWithinPartitions("k", "r", "c", "common", "own")
+    return dealt.mapInArrow(multiply, TILES)
 
 
 def scale_free_scan(corr: DataFrame, powers: range | list = range(2, 21), network_type: str = "unsigned") -> DataFrame:
@@ -259,14 +308,17 @@ def merge_modules(c: np.ndarray, modules: np.ndarray, threshold: float = 0.25) -
     return np.array([new.get(int(m), int(m)) for m in modules])
 
 
-def matrix(pairs: DataFrame, p: int, diagonal: float) -> np.ndarray:
-    """A pair table of one layer as a symmetric matrix on the driver, for at most MAX_FEATURES features."""
+def overlap_matrix(edges: DataFrame, p: int) -> np.ndarray:
+    """One layer's overlap as a symmetric matrix on the driver, for at most MAX_FEATURES features; a tile at a time."""
     if p > MAX_FEATURES:
         raise ValueError(f"more than {MAX_FEATURES} features")
     out = np.zeros((p, p))
-    rows = pairs.select("i", "j", "w").toPandas()
-    out[rows.i, rows.j] = out[rows.j, rows.i] = rows.w
-    np.fill_diagonal(out, diagonal)
+    for t in overlap_tiles(edges).toLocalIterator():
+        w = np.nan_to_num(np.frombuffer(t.data).reshape(t.rows, t.columns))
+        rows, columns = slice(t.r * TILE, t.r * TILE + t.rows), slice(t.c * TILE, t.c * TILE + t.columns)
+        out[rows, columns] += w
+        out[columns, rows] += w.T
+    np.fill_diagonal(out, 1.0)
     return out
 
 
@@ -288,7 +340,7 @@ def run_network(obs: DataFrame, trait: DataFrame | None = None, power: int | Non
         scan = scale_free_scan(corr, network_type=network_type)
         power = int(pick_power(scan).first()["power"])
     edges = adjacency(corr, power, network_type).persist()
-    tom = matrix(topological_overlap(edges), p, 1.0)
+    tom = overlap_matrix(edges, p)
     least = min(20, max(3, p // 10)) if min_module_size is None else min_module_size
     used = default_cut(p) if cut_height is None else cut_height
     modules, merges = detect_modules(tom, least, used)

@@ -264,13 +264,21 @@ def test_network_of_a_layer(spark):
     assert network.run_network(o, None, power=4, cut_height=0.5)["module_trait"] is None
 
 
+def square(pairs, p, diagonal):
+    out = np.full((p, p), 0.0)
+    for r in pairs.collect():
+        out[r.i, r.j] = out[r.j, r.i] = r.w
+    np.fill_diagonal(out, diagonal)
+    return out
+
+
 def test_overlap_invariants(spark):
     rng = np.random.RandomState(4)
     o = obs(spark, {f"f{i}": list(rng.randn(8)) for i in range(6)}, "aabbccdd")
     edges = network.adjacency(stats.feature_correlations(o), 2)
-    a, t = network.matrix(edges, 6, 0.0), network.matrix(network.topological_overlap(edges), 6, 1.0)
+    a, t = square(edges, 6, 0.0), square(network.topological_overlap(edges), 6, 1.0)
     assert np.allclose(a, a.T) and a.min() >= 0 and a.max() <= 1 and (np.diag(t) == 1).all() and t.min() >= 0 and t.max() <= 1
-    assert np.allclose(network.matrix(network._overlap_of_edges(edges), 6, 1.0), t)
+    assert np.allclose(network.overlap_matrix(edges, 6), t)
     k = a.sum(0)
     want = (a @ a + a) / (np.minimum.outer(k, k) + 1 - a)
     np.fill_diagonal(want, 1)
