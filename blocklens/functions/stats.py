@@ -14,6 +14,8 @@ from .arrays import array_rows, summed
 
 #: Features of all layers together whose correlations are taken, at most (0.5 GB a matrix in a task).
 MAX_FEATURES = 8_000
+#: Values that a task sums in one pass where some are missing (256 MB), at most.
+MASKED_CELLS = 32_000_000
 
 
 def average_rank(obs: DataFrame) -> DataFrame:
@@ -41,8 +43,8 @@ def feature_correlations(obs: DataFrame, method: str = "pearson") -> DataFrame:
     """``layer, i, j, r`` for feature pairs i < j (by ``f_ord``).
 
     Where no value is missing each task multiplies its samples' standardised rows and sends one array for each matrix
-    row; these are added up by row. Where values are missing, each pair has the samples that hold both. ``spearman``
-    ranks first.
+    row; these are added up by row. Where values are missing, each pair has the samples that hold both (pairs that no
+    sample holds are left out, and those constant on their samples have no r). ``spearman`` ranks first.
     """
     if method not in ("pearson", "spearman"):
         raise ValueError(f"unknown correlation method: {method}")
@@ -53,8 +55,6 @@ def feature_correlations(obs: DataFrame, method: str = "pearson") -> DataFrame:
         raise ValueError(f"more than {MAX_FEATURES} features")
     rows = x.groupBy("layer", "sample_id").agg(F.array_sort(F.collect_list(F.struct("f_ord", "value"))).alias("v"))  # one sample's features
     samples = {r.layer: r.n for r in rows.groupBy("layer").agg(F.count("*").alias("n")).collect()}
-    if any(f.n != samples[f.layer] for f in features):
-        return _correlations_of_pairs(rows)
     of: dict[str, list] = {}
     for f in features:
         of.setdefault(f.layer, []).append(f)
@@ -62,6 +62,8 @@ def feature_correlations(obs: DataFrame, method: str = "pearson") -> DataFrame:
     ords = {k: np.array([f.f_ord for f in of[layer]]) for k, layer in enumerate(names)}
     mean = {k: np.array([f.mean for f in of[layer]]) for k, layer in enumerate(names)}
     by = {k: np.array([f.sd or np.nan for f in of[layer]]) for k, layer in enumerate(names)}
+    if any(f.n != samples[f.layer] for f in features):
+        return _masked_correlations(rows, names, ords, {k: np.array([f.mean or 0.0 for f in of[layer]]) for k, layer in enumerate(names)}, {k: np.array([f.sd or 1.0 for f in of[layer]]) for k, layer in enumerate(names)})
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -84,19 +86,69 @@ def feature_correlations(obs: DataFrame, method: str = "pearson") -> DataFrame:
                 j = ords[k][i + 1 :]
                 yield pa.RecordBatch.from_arrays([pa.array([names[k]] * len(j), pa.string()), pa.array(np.full(len(j), ords[k][i], "int32")), pa.array(j.astype("int32")), pa.array(r, from_pandas=True)], names=["layer", "i", "j", "r"])
 
-    place = F.create_map(*[c for k, name in enumerate(names) for c in (F.lit(name), F.lit(k).cast("long"))]) if names else F.lit(None)
     if not names:
-        return _correlations_of_pairs(rows)
-    dense = rows.select(F.element_at(place, F.col("layer")).alias("k"), F.transform("v", lambda c: c["value"].cast("double")).alias("v"))
-    return summed(dense.mapInArrow(multiply, "k long, i long, v array<double>"), "k", "i").mapInArrow(pairs, "layer string, i int, j int, r double")
+        return obs.sparkSession.createDataFrame([], PAIRS)
+    dense = rows.select(_place(names).alias("k"), F.transform("v", lambda c: c["value"].cast("double")).alias("v"))
+    return summed(dense.mapInArrow(multiply, "k long, i long, v array<double>"), "k", "i").mapInArrow(pairs, PAIRS)
+
+
+PAIRS = "layer string, i int, j int, r double"
+
+
+def _place(names: list[str]) -> Column:
+    return F.element_at(F.create_map(*[c for k, name in enumerate(names) for c in (F.lit(name), F.lit(k).cast("long"))]), F.col("layer"))
+
+
+def _masked_correlations(rows: DataFrame, names: list[str], ords: dict[int, np.ndarray], mean: dict[int, np.ndarray], by: dict[int, np.ndarray]) -> DataFrame:
+    """Each pair over the samples that hold both: six sums of products of the values, their squares and the mask of those
+    that are there, of standardised values with 0 for missing ones, so a sample adds whole rows and no pair is a row before
+    all samples are summed. A pass takes as many features on the left as MASKED_CELLS allows."""
+
+    def of(first: int, stripe: int) -> DataFrame:
+        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals: dict[int, np.ndarray] = {}
+            for batch in batches:
+                which, (at, values) = batch.column(0).to_numpy(), (batch.column(c) for c in (1, 2))
+                ends, flat, own = values.offsets.to_numpy(), values.values.to_numpy(zero_copy_only=False), at.values.to_numpy()
+                for k in map(int, np.unique(which)):
+                    if first >= len(ords[k]):
+                        continue
+                    some = np.flatnonzero(which == k)
+                    x = np.full((len(some), len(ords[k])), np.nan)
+                    for n, i in enumerate(some):
+                        x[n, np.searchsorted(ords[k], own[ends[i] : ends[i + 1]])] = flat[ends[i] : ends[i + 1]]
+                    there = (~np.isnan(x)).astype(float)
+                    x = np.nan_to_num((x - mean[k]) / by[k])
+                    left, l_there, square = x[:, first : first + stripe], there[:, first : first + stripe], x * x
+                    l_square = square[:, first : first + stripe]
+                    sums = np.stack([l_there.T @ there, left.T @ there, l_there.T @ x, l_square.T @ there, l_there.T @ square, left.T @ x])
+                    totals[k] = totals.get(k, 0.0) + sums
+            for k, total in totals.items():
+                for i in range(total.shape[1]):
+                    yield array_rows({"k": np.array([k]), "i": np.array([first + i])}, [total[:, i, first + i + 1 :].ravel()])
+
+        cells = F.transform(F.filter("v", lambda c: c["value"].isNotNull()), lambda c: c["value"].cast("double"))
+        dense = rows.select(_place(names).alias("k"), F.transform(F.filter("v", lambda c: c["value"].isNotNull()), lambda c: c["f_ord"].cast("int")).alias("at"), cells.alias("v"))
+        return summed(dense.mapInArrow(multiply, "k long, i long, v array<double>"), "k", "i")
 
-
-def _correlations_of_pairs(rows: DataFrame) -> DataFrame:
-    a = rows.select("layer", "v", F.explode("v").alias("a"))
-    pairs = a.select("layer", F.col("a.f_ord").alias("i"), F.col("a.value").alias("x"), F.explode(F.filter("v", lambda b: b["f_ord"] > F.col("a.f_ord"))).alias("b"))
-    both = pairs.select("layer", "i", F.col("b.f_ord").alias("j"), "x", F.col("b.value").alias("y")).where("x is not null and y is not null")
-    r = both.groupBy("layer", "i", "j").agg(safe_corr(F.col("x").cast("double"), F.col("y").cast("double")).alias("r"))
-    return r.withColumn("r", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "r")))
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                n, x, y, xx, yy, xy = v.values.to_numpy(zero_copy_only=False).reshape(6, -1)
+                j = ords[k][i + 1 :]
+                with np.errstate(all="ignore"):
+                    a, b, tiny = xx - x * x / n, yy - y * y / n, 8 * np.finfo(float).eps * n
+                    r = np.where((n > 0) & (a > tiny * xx) & (b > tiny * yy), np.clip((xy - x * y / n) / np.sqrt(a * b), -1, 1), np.nan)
+                met = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array([names[k]] * int(met.sum()), pa.string()), pa.array(np.full(int(met.sum()), ords[k][i], "int32")), pa.array(j[met].astype("int32")), pa.array(r[met], from_pandas=True)], names=["layer", "i", "j", "r"])
+
+    most = max(len(o) for o in ords.values())
+    stripe = max(1, MASKED_CELLS // (6 * most))
+    out = None
+    for first in range(0, most, stripe):
+        one = of(first, stripe)
+        out = one if out is None else out.unionByName(one)
+    return out.mapInArrow(pairs, PAIRS)
 
 
 def accuracy(y: str, p: str) -> Column:
