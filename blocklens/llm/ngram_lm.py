@@ -24,7 +24,7 @@ BEGIN, END = (int.from_bytes(xxhash.xxh3_64_digest(x), "big") for x in (b" ", b"
 END_BYTES = END.to_bytes(8, "big")
 #: Tokens that are counted, or scored, together in a task; training tokens for each shard of the model; words for each
 #: shard; one row in SAMPLE is read first to find the number of shards and the words that are spread over all of them.
-CHUNK, PER_SHARD, WORDS_PER_SHARD, SAMPLE = 1_500_000, 2_000_000, 4_000_000, 64
+CHUNK, PER_SHARD, WORDS_PER_SHARD, SAMPLE = 1_500_000, 2_000_000, 500_000, 64
 #: Pairs in one row of a shuffle.
 PIECE = 8192
 
@@ -165,6 +165,23 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
         yield now, held
 
 
+def _grouped_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The same for rows of numbers, as (value, the other columns)."""
+    now, held = None, []
+    for batch in batches:
+        first, *columns = (c.to_numpy() for c in batch.columns)
+        edges = [0, *(np.flatnonzero(np.diff(first)) + 1).tolist(), len(first)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if a < b:
+                if first[a] != now and held:
+                    yield now, [np.concatenate(c) for c in zip(*held)]
+                    held = []
+                now = int(first[a])
+                held.append([c[a:b].copy() for c in columns])
+    if held:
+        yield now, [np.concatenate(c) for c in zip(*held)]
+
+
 def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, and each column's sums over equal ones."""
     order = np.argsort(keys)
@@ -283,8 +300,7 @@ def fit(df: DataFrame, text: str = "text") -> Model:
     word_shards = max(1, -(-vocabulary // WORDS_PER_SHARD))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, own in _grouped(batches):
-            word, n, n1, n2, n3, before = (np.array(c, "i8") for c in zip(*own))
+        for shard, (word, n, n1, n2, n3, before) in _grouped_columns(batches):
             word = word.view("u8")
             order = np.argsort(word)
             word, n, n1, n2, n3, before = (c[order] for c in (word, n, n1, n2, n3, before))
