@@ -28,6 +28,12 @@ def n_words(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def point(slot: str) -> str:
+    """SQL for a slot's point, slot * GOLDEN modulo UNIT, by halves of GOLDEN, so that no product passes 64 bits."""
+    low = f"({slot} % {UNIT})"
+    return f"({low} * {GOLDEN >> 16} % 65536 * 65536 + {low} * {GOLDEN & 65535}) % {UNIT}"
+
+
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
     """Split ``share`` of all sizes by weight; no target above ``most`` times its size, the excess reshared."""
     total, weight = share * sum(sizes), float(sum(weights))
@@ -86,7 +92,7 @@ def mix_sources(df: DataFrame, source: str = "source", text: str = "text", key:
 
     # the schedule
     n_slots = -(-total // block)
-    points = spark.range(n_slots).select(F.col("id").alias("slot"), F.expr(f"(id % {UNIT}) * {GOLDEN} % {UNIT}").alias("x"))
+    points = spark.range(n_slots).select(F.col("id").alias("slot"), F.expr(point("id")).alias("x"))
     # a source's part of the points touches some equal stretches of them, in all fewer than stretches and sources together
     stretch = UNIT >> min(31, (4 * len(known)).bit_length())
     parts = F.broadcast(plan.where("hi > lo").select("s", "lo", "hi", F.explode(F.expr(f"sequence(lo div {stretch}, (hi - 1) div {stretch})")).alias("stretch")))

@@ -4,7 +4,9 @@ Words become symbols: insults by strength (S, M, W), threats (T), targets (P), n
 intention (G) and others (o). Four letter transducers, composed into one machine, rewrite the symbols of a clause:
 negation turns insults in its scope into negated ones, reported speech marks what it introduces, the target
 transducer turns insults near a target into addressed ones, the threat transducer keeps threats with an intention.
-The machine's outputs, counted by kind over the whole text, are weighed by a logistic model.
+A clause counts by its heaviest live match (a threat, an addressed insult or one that stands alone); matches that negation
+or reported speech has spent never raise a score. Clauses, counted by kind over the whole text, are weighed by a logistic
+model.
 """
 
 from __future__ import annotations
@@ -104,8 +106,12 @@ def transduce(symbols: str) -> str:
     return FOLLOWING.outputs(GRAMMAR.outputs(symbols)[::-1])[::-1]
 
 
-#: Kinds of matches that the logistic model weighs.
-KINDS = "SMWABCXtnr"
+#: Symbols of live matches by rising weight (addressed ones after others of their strength), and of spent ones.
+LIVE, SPENT = "WCMBSAX", "tnr"
+#: What the logistic model weighs: clauses by their heaviest live match; strong and medium live matches in them, whether
+#: there are any, and medium and weak ones for the text's length; spent matches, which never raise a score; the length; a
+#: constant.
+NAMES = (*LIVE, "strong matches", "medium matches", "any strong", "any medium", "medium share", "weak share", *SPENT, "size", "bias")
 
 
 class Toxicity:
@@ -157,39 +163,55 @@ class Toxicity:
             self.cache[word] = found
         return found
 
-    def matches(self, text: str | None) -> Counter:
-        """How often the grammar finds each kind of match in the whole text."""
+    def clauses(self, text: str | None) -> Counter:
+        """The matched clauses of the whole text, by their heaviest live match; their strong and medium live
+        matches; and matches that negation, reported speech or a missing intention has spent."""
         out: Counter = Counter()
         known = self.cache
         for clause in CLAUSE.split((text or "").lower()):
             symbols = "".join([known.get(w) or self.symbol(w) for w in WORD.findall(clause)])
             if symbols.strip("oPNRG"):
-                out.update(transduce(symbols))
+                written = transduce(symbols)
+                live = [s for s in written if s in LIVE]
+                if live:
+                    out[max(live, key=LIVE.index)] += 1
+                    out["strong matches"] += sum(s in "SAX" for s in live)
+                    out["medium matches"] += sum(s in "MB" for s in live)
+                    out["weak matches"] += sum(s in "WC" for s in live)
+                out.update(s for s in written if s in SPENT)
         return out
 
     def vector(self, text: str | None) -> np.ndarray:
-        n = self.matches(text)
+        n = self.clauses(text)
         size = math.log1p(len(text or "") / 1000)
-        strong, medium = n["S"] + n["A"], n["M"] + n["B"]
-        x = [math.log1p(n[k]) for k in KINDS] + [float(strong > 0), float(medium > 0), math.log1p(strong), math.log1p(medium), math.log1p(medium) / (1 + size), math.log1p(n["W"] + n["C"]) / (1 + size), size, 1.0]
-        return np.array(x)
-
-    def _fit(self, rows: list[tuple[str, int]], ridge: float = 0.02, rounds: int = 40) -> None:
-        self.weights = np.zeros(len(self.vector("")))
-        x = np.array([self.vector(t) for t, _ in rows])
-        y = np.array([k for _, k in rows], float)
+        x = {k: math.log1p(n[k]) for k in (*LIVE, *SPENT, "strong matches", "medium matches")}
+        x |= {"any strong": float(n["strong matches"] > 0), "any medium": float(n["medium matches"] > 0), "medium share": math.log1p(n["medium matches"]) / (1 + size), "weak share": math.log1p(n["weak matches"]) / (1 + size), "size": size, "bias": 1.0}
+        return np.array([x[k] for k in NAMES])
+
+    def _fit(self, rows: list[tuple[str, int]], ridge: float = 0.02, rounds: int = 200) -> None:
+        """Ridge logistic regression by Newton steps. Live matches don't lower a score and spent ones don't raise it:
+        weights of the wrong sign are held at 0 until the slope turns."""
+        self.weights = np.zeros(len(NAMES))
+        at = {k: i for i, k in enumerate(NAMES)}
         if not len(rows):
-            self.weights[[KINDS.index("X"), len(KINDS), -1]] = 8.0, 6.0, -3.0  # the hand-written lexicon alone
+            self.weights[[at["X"], at["any strong"], at["bias"]]] = 8.0, 6.0, -3.0  # the hand-written lexicon alone
             return
+        x = np.array([self.vector(t) for t, _ in rows])
+        y = np.array([k for _, k in rows], float)
         keep = np.full(x.shape[1], ridge * 50)
         keep[-1] = 1e-6
-        for _ in range(rounds):  # Newton steps of ridge logistic regression
+        sign = np.array([1 if k in LIVE or k.startswith(("strong", "any")) or k == "medium matches" else -1 if k in SPENT else 0 for k in NAMES])
+        for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
             g = x.T @ (p - y) + keep * self.weights
+            free = ~((self.weights == 0) & (sign * g > 0))  # a step would give the wrong sign
             h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(keep + 1e-9)
-            step = np.linalg.solve(h, g)
-            self.weights -= step
-            if np.abs(step).max() < 1e-8:
+            step = np.zeros(len(g))
+            step[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
+            new = self.weights - step
+            new = np.where(sign * new < 0, 0.0, new)
+            moved, self.weights = np.abs(new - self.weights).max(), new
+            if moved < 1e-8:
                 break
 
     def score(self, text: str | None) -> float:

@@ -30,6 +30,13 @@ def crc(ids):
 # 1
 
 
+@pytest.mark.parametrize("first", [0, 3_474_701_531, (1 << 32) - 3, 3 << 34])
+def test_points_of_far_slots(spark, first):
+    """Slots beyond what a product of 64 bits holds."""
+    got = spark.range(first, first + 6).selectExpr("id", f"{mixing.point('id')} as x").collect()
+    assert [(r.id, r.x) for r in got] == [(i, i * mixing.GOLDEN % mixing.UNIT) for i in range(first, first + 6)]
+
+
 def test_targets():
     assert mixing.targets([100, 100], [3, 1]) == [200.0, 100.0]
     assert mixing.targets([10, 100, 0], [3, 1, 2]) == [20.0, 145.0, 0.0]
@@ -182,8 +189,37 @@ def test_grammar():
     ],
 )
 def test_grammar_of_clauses(text, kinds):
-    found = toxicity.Toxicity([]).matches(text)
-    assert {k for k in "SMWABCXtnr" if found[k]} == set(kinds)
+    found = toxicity.Toxicity([]).clauses(text)
+    assert {k for k in toxicity.LIVE + toxicity.SPENT if found[k]} == set(kinds)
+    assert bool(found["strong matches"] + found["medium matches"] + found["weak matches"]) == any(k in toxicity.LIVE for k in kinds)
+
+
+def sentences(seed, n):
+    """Prose with a sentence that has an insult: addressed or bare (toxic), or negated or reported (clean)."""
+    r, out = np.random.default_rng(seed), []
+    for k in range(n):
+        word = ("idiot", "moron", "loser", "scum")[r.integers(4)]
+        spent = (f"he was never a {word}", f"they aren't {word}", f"she said that a {word} came", f"it is not the {word}")[r.integers(4)]
+        live = (f"you {word}", f"what a {word}", f"every {word} left", f"{word} like you")[r.integers(4)]
+        out.append((f"{prose(seed + k, 30)}. {spent if k % 2 else live}. {prose(seed + k + 1, 30)}.", int(k % 2 == 0)))
+    return out
+
+
+def test_score_comes_from_the_grammar(monkeypatch):
+    """Without the grammar's rewriting, spoken and denied insults are taken for the real thing; with it they aren't."""
+    train, test = sentences(0, 200), sentences(5000, 100)
+
+    def wrong(model):
+        return sum((model.score(t) >= 0.3) != bool(y) for t, y in test)
+
+    model = toxicity.Toxicity(train)
+    assert wrong(model) <= 3
+    at = {k: float(w) for k, w in zip(toxicity.NAMES, model.weights)}
+    assert all(at[k] <= 0 for k in toxicity.SPENT) and all(at[k] >= 0 for k in toxicity.LIVE)
+    base = model.score(prose(1, 60))
+    assert model.score(prose(1, 60) + ". he is not an idiot") <= base + 1e-9 and model.score(prose(1, 60) + ". you idiot") > base
+    monkeypatch.setattr(toxicity, "transduce", lambda symbols: symbols)
+    assert wrong(toxicity.Toxicity(train)) >= 10
 
 
 @settings(max_examples=200, deadline=None)
