@@ -10,9 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blocklens.llm import jaccard, langid, mixing, packing, toxicity
-from blocklens.llm.common import new_path, prepare
-
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOXIC = 0.3
 #: Entries in a worker's token tables: few, as workers of the stages before may still hold theirs.
@@ -27,6 +24,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Columns besides those of documents are left out, whatever their names. An empty table stays empty; if no row is
     labelled, no language is known and all rows go.
     """
+    from blocklens.llm import langid
+    from blocklens.llm.common import prepare
+
     prepare(spark)
     return langid.identify_language(docs.select(*COLUMNS), langid.fit(docs), known="known").where("known").select(*COLUMNS)
 
@@ -37,6 +37,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have the score of a text without matches and stay. Repeated rows are judged alike, texts of any
     length whole. Other columns are left out; an empty table stays empty; without labels the hand-written lexicon judges.
     """
+    from blocklens.llm import toxicity
+    from blocklens.llm.common import prepare
+
     prepare(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_toxicity(docs.select(*COLUMNS), model, threshold=TOXIC).where("predicted = 0").select(*COLUMNS)
@@ -49,6 +52,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated rows, one. Texts without words are linked with nothing; they and rows without a doc_id stay. Texts of any
     length are compared whole; other columns are left out; an empty table stays empty.
     """
+    from blocklens.llm import jaccard
+    from blocklens.llm.common import prepare
+
     prepare(spark)
     found = jaccard.jaccard_components(docs)
     heads = found.where("component_id = doc_id and n_shingles > 0").select(F.col("doc_id").alias("k")).distinct()
@@ -66,6 +72,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words stay once. Rows of one doc_id get their own shares, repeated rows one by one. A null source or
     doc_id is a value of its own. Other columns are left out; an empty table stays empty.
     """
+    from blocklens.llm import mixing
+    from blocklens.llm.common import prepare
+
     prepare(spark)
     rows = docs.select(*COLUMNS).withColumn("size", mixing.n_words("text"))
     nth = F.row_number().over(Window.partitionBy("doc_id", "source", "tie").orderBy("taken"))  # repeated rows alone share one
@@ -96,6 +105,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are the end id alone; repeated rows are packed one by one; texts of any length are packed whole;
     a null doc_id stays null; other columns are left out; an empty table gives no pieces.
     """
+    from blocklens.llm import packing
+    from blocklens.llm.common import prepare
+
     prepare(spark)
     return packing.pack_documents(docs, "byte_bpe_50k.json", 1, spaced=True, room=ROOM)
 
@@ -114,6 +126,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``; each one's rows are written as Parquet and read again."""
+    from blocklens.llm.common import new_path, prepare
+
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
