@@ -8,22 +8,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that driver and executors share, and read from there ever after. A temporary folder
-    stands in only where the session names none and everything runs in one process, as in tests."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. A temporary one stands in only where the session names none and
+    everything runs in one process, as in tests."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        place = spark.conf.get("spark.checkpoint.dir", None)
         if not place and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(place or "file://" + tempfile.mkdtemp(prefix="blocklens-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, and read from there ever after."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def broadcast_few(found: DataFrame, most: int) -> DataFrame:
+    """A small table for joins: computed once, counted, and broadcast if it has ``most`` rows at most; else as it is."""
+    rows = found.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return found
+    return F.broadcast(found.sparkSession.createDataFrame(rows, found.schema))
+
+
 def array_rows(keys: dict[str, np.ndarray], arrays: list[np.ndarray]) -> pa.RecordBatch:
     """A batch of long ``keys`` and, as ``v``, an array of doubles for each row."""
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype("int32")

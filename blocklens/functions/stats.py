@@ -10,10 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import array_rows, summed
+from .arrays import array_rows, broadcast_few, checkpointed, summed
 
 #: Features of all layers together whose correlations are taken, at most (0.5 GB a matrix in a task).
 MAX_FEATURES = 8_000
+#: Distinct values that are ranked at once, and groups' ranges that are broadcast, at most.
+RANKED = 200_000
+#: Parts of a range in which a pass counts, and values of a group that are picked from directly.
+BUCKETS, LEFT = 1024, 4096
 #: Values that a task sums in one pass where some are missing (256 MB), at most.
 MASKED_CELLS = 32_000_000
 
@@ -21,19 +25,67 @@ MASKED_CELLS = 32_000_000
 def average_rank(obs: DataFrame) -> DataFrame:
     """Values become ranks within their feature, ties their mean rank; nulls stay null.
 
-    Distinct values are counted, put into ranges of (layer, feature, value) and ranked inside each range; the counts of
-    the feature's earlier ranges come on top. So no task holds a whole feature.
+    Distinct values are counted. Up to RANKED of them are ranked at once and broadcast. More are put into ranges of
+    (layer, feature, value) and ranked inside each range; the counts of the feature's earlier ranges come on top. So no
+    task holds a whole feature.
     """
     key = ["layer", "feature"]
     counts = obs.where("value is not null").groupBy(*key, "value").agg(F.count("*").alias("c"))
-    ranged = counts.repartitionByRange(*key, "value").withColumn("part", F.spark_partition_id()).persist()
-    totals = ranged.groupBy(*key, "part").agg(F.sum("c").alias("t"))  # a row for each feature in a range
-    before = totals.select(*key, "part", (F.sum("t").over(Window.partitionBy(*key).orderBy("part")) - F.col("t")).alias("before"))
-    upto = F.sum("c").over(Window.partitionBy("part", *key).orderBy("value"))
-    ranks = ranged.withColumn("upto", upto).join(before, [*key, "part"]).select(*key, "value", (F.col("before") + F.col("upto") - (F.col("c") - 1) / 2.0).alias("rank"))
+    few = counts.limit(RANKED + 1).toArrow()
+    if few.num_rows <= RANKED:
+        t = few.to_pandas().sort_values([*key, "value"])
+        t["rank"] = t.groupby(key, dropna=False)["c"].cumsum() - (t["c"] - 1) / 2.0
+        ranks = F.broadcast(obs.sparkSession.createDataFrame(pa.Table.from_pandas(t[[*key, "value", "rank"]], preserve_index=False), obs.select(*key, "value").schema.add("rank", "double")))
+    else:
+        ranged = checkpointed(counts.repartitionByRange(*key, "value").withColumn("part", F.spark_partition_id()))
+        totals = ranged.groupBy(*key, "part").agg(F.sum("c").alias("t"))  # a row for each feature in a range
+        before = totals.select(*key, "part", (F.sum("t").over(Window.partitionBy(*key).orderBy("part")) - F.col("t")).alias("before"))
+        upto = F.sum("c").over(Window.partitionBy("part", *key).orderBy("value"))
+        ranks = ranged.withColumn("upto", upto).join(before, [*key, "part"]).select(*key, "value", (F.col("before") + F.col("upto") - (F.col("c") - 1) / 2.0).alias("rank"))
     return obs.join(ranks, [*key, "value"], "left").withColumn("value", F.col("rank")).select(obs.columns)
 
 
+def medians(obs: DataFrame, keys: tuple[str, ...] = ("layer", "feature", "grp")) -> DataFrame:
+    """The keys and the exact ``median`` of each group's values (null without any), for groups of any size.
+
+    A group's middle value lies in a range that is narrowed pass by pass: its rows are counted in BUCKETS equal parts of
+    the range, and the part that holds the middle, from its least to its largest value, is the next range. Once no range
+    holds more than LEFT rows these are picked from directly. So each pass shuffles counts, and no task holds a group.
+    """
+    spark = obs.sparkSession
+    own = {k: f"__{k}" for k in keys}
+    first = obs.groupBy(*keys).agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).withColumnsRenamed(own)
+    # one target for odd counts, two for even ones: the place of the value in the group, those below the range, those in it
+    at = F.explode(F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))).alias("at")
+    ranges = first.where("n > 0").select(*own.values(), at, "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
+    ranges = _known(ranges)
+    values = obs.where("value is not null").select(*keys, "value")
+
+    def inside(ranges: DataFrame) -> DataFrame:
+        same = [F.col(k).eqNullSafe(F.col(o)) for k, o in own.items()]
+        return values.join(ranges, [*same, F.col("value").between(F.col("lo"), F.col("hi"))])
+
+    by = [*own.values(), "at"]
+    while (ranges.where("lo < hi").agg(F.max("inside")).first()[0] or 0) > LEFT:
+        part = F.least(F.floor((F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+        open_ = inside(ranges.where("lo < hi")).groupBy(*by, "below", part.alias("part")).agg(F.count("*").alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        upto = F.col("below") + F.sum("c").over(Window.partitionBy(*by).orderBy("part"))  # BUCKETS rows at most
+        found = open_.withColumn("upto", upto).where("at < upto and at >= upto - c").select(*by, "lo", "hi", (F.col("upto") - F.col("c")).alias("below"), F.col("c").alias("inside"))
+        ranges = _known(found.unionByName(ranges.where("lo = hi")))
+    done = ranges.where("lo = hi").select(*by, F.col("lo").alias("value"))
+    rest = inside(ranges.where("lo < hi")).groupBy(*by, "below").agg(F.sort_array(F.collect_list("value")).alias("v"))  # LEFT values at most
+    rest = rest.select(*by, F.element_at("v", (F.col("at") - F.col("below") + 1).cast("int")).alias("value"))
+    middle = done.unionByName(rest).groupBy(*own.values()).agg((F.sum(F.col("value") / 2) * F.when(F.count("*") == 1, 2).otherwise(1)).alias("median"))
+    groups = first.select(*[F.col(o).alias(k) for k, o in own.items()])
+    return groups.join(middle, [F.col(k).eqNullSafe(F.col(o)) for k, o in own.items()], "left").select(*keys, "median")
+
+
+def _known(ranges: DataFrame) -> DataFrame:
+    """Computed once; broadcast while small, else written where all executors read it."""
+    few = broadcast_few(ranges, RANKED)
+    return few if few is not ranges else checkpointed(ranges)
+
+
 def safe_corr(a: Column, b: Column) -> Column:
     """Pearson correlation; null where a side is constant."""
     return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
@@ -209,18 +261,44 @@ def permutation_p(null: Column, true: Column) -> Column:
     return (F.coalesce(F.sum((null >= true).cast("long")), F.lit(0)) + 1) / (F.count(null) + 1).cast("double")
 
 
+#: Nodes on [0, 1] and weights of the rule that integrates the tail of a correlation's distribution.
+NODES, WEIGHTS = np.polynomial.legendre.leggauss(64)
+NODES, WEIGHTS = (NODES + 1) / 2, WEIGHTS / 2
+
+
 def correlation_p(r: float, n: int) -> float:
-    """Two-sided p-value of a correlation: Student's t with n - 2 degrees of freedom, as a finite sum."""
+    """``p_value`` of one correlation."""
     v = n - 2
     if v < 1 or r != r:
         return float("nan")
     if abs(r) >= 1:
         return 0.0
-    a = math.atan(abs(r) / math.sqrt(1 - r * r))  # t / sqrt(v)
-    c, s = math.cos(a), math.sin(a)
-    term = total = (c if v % 2 else 1.0) if v > 1 else 0.0
-    for k in range(3 if v % 2 else 2, v - 1, 2):
-        term *= c * c * (k - 1) / k
-        total += term
-    inside = 2 / math.pi * (a + s * total) if v % 2 else s * total
-    return max(0.0, 1 - inside)
+
+    def tail(cos: float) -> float:
+        """The integral of (cos t / cos)^(v - 1) from where the cosine is ``cos`` to where it adds nothing any more."""
+        start = math.acos(cos)
+        length = math.acos(cos * math.exp(-40 / max(v - 1, 1e-9))) - start
+        return length * float(WEIGHTS @ np.exp((v - 1) * (np.log(np.cos(start + length * NODES)) - math.log(cos))))
+
+    cos = math.sqrt(1 - r * r)
+    return min(1.0, math.exp((v - 1) * math.log(cos)) * tail(cos) / tail(1.0))
+
+
+def p_value(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation of n pairs (Student's t with v = n - 2 degrees of freedom), for columns.
+
+    With |r| as a sine, p is the integral of cos^(v - 1) from its angle to a right angle over the one from 0. Both take
+    the same 64 nodes on the stretch where the integrand isn't negligible, so the work doesn't depend on n. Null for fewer
+    than 3 pairs or no r, 0 for |r| = 1.
+    """
+    v, cos = (n - 2).cast("double"), F.sqrt(1 - r * r)
+    nodes = F.lit([float(x) for x in NODES])
+
+    def tail(cos: Column) -> Column:
+        start = F.acos(cos)
+        length = F.acos(cos * F.exp(F.lit(-40.0) / F.greatest(v - 1, F.lit(1e-9)))) - start
+        each = F.zip_with(nodes, F.lit([float(w) for w in WEIGHTS]), lambda x, w: w * F.exp((v - 1) * (F.ln(F.cos(start + length * x)) - F.ln(cos))))
+        return length * F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
+
+    p = F.least(F.lit(1.0), F.exp((v - 1) * F.ln(cos)) * tail(cos) / tail(F.lit(1.0)))
+    return F.when((n >= 3) & (F.abs(r) >= 1), F.lit(0.0)).when((n >= 3) & ~F.isnan(r), p)

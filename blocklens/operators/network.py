@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank, correlation_p, feature_correlations, safe_corr
+from ..functions.stats import average_rank, feature_correlations, p_value, safe_corr
 from .latent import block_rows, gather_moments, project
 
 NETWORKS = ("unsigned", "signed", "signed_hybrid")
@@ -356,9 +356,8 @@ def run_network(obs: DataFrame, trait: DataFrame | None = None, power: int | Non
     if trait is not None:
         gs = _with_trait(obs.select("layer", "sample_id", F.col("f_ord").alias("f"), "value"), trait, "f", corr_method)
         sizes = table.where("module <> 0").groupBy("module").agg(F.count("*").cast("int").alias("n_features"))
-        found = _with_trait(genes, trait, "module", corr_method).join(sizes, "module").collect()  # a row for each module
-        rows = [(r.module, r.n_features, r.r, correlation_p(r.r, r.n), r.abs_r) for r in found]
-        module_trait = spark.createDataFrame(sorted(rows, key=lambda r: (-r[4], r[0])), "module int, n_features int, correlation double, p_value double, abs_correlation double")
+        found = _with_trait(genes, trait, "module", corr_method).join(sizes, "module")
+        module_trait = found.select("module", "n_features", F.col("r").alias("correlation"), p_value(F.col("r"), F.col("n")).alias("p_value"), F.col("abs_r").alias("abs_correlation")).orderBy(F.desc("abs_correlation"), "module")
     return {
         "power": power, "cut_height": used, "modules": table, "labels": modules, "merges": merges, "eigengenes": genes,
         "hubs": hub_features(edges, table, gs, top_n_hubs), "scan": scan, "adjacency": edges, "module_trait": module_trait,

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import numbered
+from ..functions.arrays import broadcast_few, numbered
+from ..functions.stats import medians
 
 LAYER_ORDER = ("amino_acids", "aromatics", "central_carbon", "proteomics")
 #: Features (or groups of them) whose statistics are broadcast, at most, by their counted number.
@@ -18,10 +19,13 @@ BROADCAST_ROWS = 200_000
 
 def with_statistics(obs: DataFrame, keys: tuple[str, ...] = ("layer", "feature"), **aggregates: Column) -> DataFrame:
     """``obs`` with the aggregates of each row's group. They are computed at once, and counted; later steps read them."""
-    found = obs.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(*[c.alias(name) for name, c in aggregates.items()]).persist()
-    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return _joined(obs, obs.groupBy(*keys).agg(*[c.alias(name) for name, c in aggregates.items()]), keys)
+
+
+def _joined(obs: DataFrame, found: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    known = broadcast_few(found.withColumnsRenamed({k: f"__{k}" for k in keys}), BROADCAST_ROWS)
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return obs.join(F.broadcast(found) if few else found, same).drop(*[f"__{k}" for k in keys])
+    return obs.join(known, same).drop(*[f"__{k}" for k in keys])
 
 
 def drop_sparse_features(obs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -40,7 +44,8 @@ def impute_half_min(obs: DataFrame) -> DataFrame:
 
 def impute_group_median(obs: DataFrame) -> DataFrame:
     """Nulls become their group's exact median; where a group has none, half of the filled feature's minimum."""
-    middle = with_statistics(obs, ("layer", "feature", "grp"), __middle=F.median("value"))
+    keys = ("layer", "feature", "grp")
+    middle = _joined(obs, medians(obs, keys).withColumnRenamed("median", "__middle"), keys)
     return impute_half_min(middle.withColumn("value", F.coalesce("value", "__middle")).drop("__middle"))
 
 

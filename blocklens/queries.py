@@ -438,13 +438,6 @@ def ordinal_permutation(spark, d):
     return spark.createDataFrame([(i, v, r["true_accuracy"], r["p_value"]) for i, v in enumerate(r["null"])], "perm long, accuracy double, true_accuracy double, p_value double")
 
 
-@query("q_forest_cv")
-def forest_cv(spark, d):
-    x, y = _matrix(spark, d)
-    r = resample.cross_validation(resample.forest_predictor(20), x, y, 5)
-    return spark.createDataFrame([(k, *v, r["accuracy"]) for k, v in r["report"].items()], "label string, precision double, recall double, f1 double, support long, accuracy double")
-
-
 @query("q_forest_permutation")
 def forest_permutation(spark, d):
     x, y = _matrix(spark, d)
@@ -470,12 +463,6 @@ def dendrogram_order(spark, d):
     return spark.createDataFrame([(k, f, int(found["labels"][f])) for k, f in enumerate(network.leaf_order(found["merges"]))], "place int, f int, module int")
 
 
-@query("q_forest_importance")
-def forest_importance(spark, d):
-    model, _ = forest.train_forest(latent.block_rows(embedding_layer(spark, d)), trees=20)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.featureImportances.toArray())], "f int, importance double")
-
-
 @query("q_network_modules")
 def network_modules(spark, d):
     return _network(spark, d)["modules"]
@@ -516,15 +503,3 @@ def diablo_selected(spark, d):
 def ordinal_cv(spark, d):
     found = ordinal.cross_validate(_ordinal_rows(spark, d))
     return found.groupBy("model").agg(stats.accuracy("y", "predicted").alias("accuracy"), stats.mean_absolute_error("y", "predicted").alias("mae"))
-
-
-@query("q_forest_permutation_importance")
-def forest_permutation_importance(spark, d):
-    x, y = _matrix(spark, d)
-    return resample.permutation_importance(spark, forest.Forest(20).fit(x, y), x, y, 2)
-
-
-@query("q_forest_shapley")
-def forest_shapley(spark, d):
-    model = forest.Forest(5).fit(*_matrix(spark, d))
-    return forest.shapley_importance(latent.block_rows(embedding_layer(spark, d)), model)

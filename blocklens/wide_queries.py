@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import latent, rowwise, wide
+from .functions import stats
+from .functions.arrays import checkpointed
+from .operators import explain, forest, latent, rowwise, wide
 from .queries import QUERIES, SQL, query, r6
 from .sources.layers import embedding_layer, word_profiles
 
@@ -88,4 +90,31 @@ def diablo_stability(spark, d):
     return by_block(rowwise.stability_selection(_rows(spark, d), latent.DIABLO(*TWO).fit), [32, 32])
 
 
+@query("q_forest_importance")
+def forest_importance(spark, d):
+    model, _ = forest.train_forest(_rows(spark, d))
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.featureImportances.toArray())], "f int, importance double")
+
+
+@query("q_forest_cv")
+def forest_cv(spark, d):
+    predicted = checkpointed(explain.cross_validate(_rows(spark, d)))
+    whole = predicted.agg(stats.accuracy("grp", "predicted")).first()[0]
+    return stats.class_report(predicted, "grp", "predicted").withColumn("accuracy", F.lit(whole))
+
+
+@query("q_forest_permutation_importance")
+def forest_permutation_importance(spark, d):
+    rows = _rows(spark, d)
+    model, classes = forest.train_forest(rows)
+    return explain.permutation_importance(rows, explain.boxes_of(model, rows), classes)
+
+
+@query("q_forest_shapley")
+def forest_shapley(spark, d):
+    rows = _rows(spark, d)
+    model, _ = forest.train_forest(rows)
+    return explain.shapley_importance(rows, explain.boxes_of(model, rows))
+
+
 __all__ = ["QUERIES", "SQL"]
