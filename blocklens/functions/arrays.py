@@ -45,8 +45,9 @@ def array_rows(keys: dict[str, np.ndarray], arrays: list[np.ndarray]) -> pa.Reco
     return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(k, "int64")) for k in keys.values()), v], names=[*keys, "v"])
 
 
-def summed(rows: DataFrame, *keys: str) -> DataFrame:
-    """The arrays ``v`` of rows with equal long ``keys``, added up element by element; a task holds its keys' sums alone."""
+def summed(rows: DataFrame, *keys: str, by: np.ufunc = np.add) -> DataFrame:
+    """The arrays ``v`` of rows with equal long ``keys``, added up (or joined ``by`` another function) element by element; a
+    task holds its keys' sums alone."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple, np.ndarray] = {}
@@ -57,7 +58,7 @@ def summed(rows: DataFrame, *keys: str) -> DataFrame:
                 if own is None:
                     totals[tuple(key)] = values[a:b].copy()
                 else:
-                    own += values[a:b]
+                    by(own, values[a:b], out=own)
         order = sorted(totals)
         for a in range(0, len(order), 64):
             some = order[a : a + 64]

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import array_rows, checkpointed, summed
@@ -162,7 +162,7 @@ def cross_validate(rows: DataFrame, fit: Fit, cv: int | None = None) -> DataFram
         kind = dict(rows.dtypes)
         return rows.select("sample_id", "grp", F.col("x").cast("array<double>").alias("x")).mapInArrow(leave_out, f"sample_id {kind['sample_id']}, grp {kind['grp']}, fold {kind['sample_id']}, predicted {kind['grp']}")
     known = number_rows(rows)
-    dealt = known.rows.withColumn("fold", _fold(known, cv))
+    dealt = known.rows.withColumn("fold", fold_of(known, cv))
     coefs = [_response(m, fit) for m in _without_each(gather_fold_moments(dealt), cv)]
     held = rows.sparkSession.sparkContext.broadcast((coefs, known.classes))
 
@@ -178,7 +178,8 @@ def cross_validate(rows: DataFrame, fit: Fit, cv: int | None = None) -> DataFram
     return dealt.select("sample_id", "grp", "fold", "x").mapInArrow(predict, f"sample_id {kind['sample_id']}, grp {kind['grp']}, fold int, predicted {kind['grp']}")
 
 
-def _fold(known: Numbered, cv: int):
+def fold_of(known: Numbered, cv: int) -> Column:
+    """A sample's place in its class modulo ``cv``."""
     starts = F.create_map(*[c for k, name in enumerate(known.classes) for c in (F.lit(name), F.lit(int(known.edges[k])))])
     return F.pmod(F.col("number") - F.element_at(starts, F.col("grp")), F.lit(cv)).cast("int")
 
@@ -197,15 +198,14 @@ def permutation_test(rows: DataFrame, fit: Fit, n_permutations: int = 1000, seed
     """
     known = number_rows(rows)
     spark, n, q, edges = known.rows.sparkSession, known.n, len(known.classes), known.edges
-    dealt = known.rows.withColumn("fold", _fold(known, cv)).select("number", "fold", "x")
-    parts = gather_fold_moments(known.rows.withColumn("fold", _fold(known, cv)))
+    dealt = known.rows.withColumn("fold", fold_of(known, cv)).select("number", "fold", "x")
+    parts = gather_fold_moments(known.rows.withColumn("fold", fold_of(known, cv)))
     p = len(next(iter(parts.values())).x)
     without = spark.sparkContext.broadcast(_without_each(parts, cv))  # MAX_CELLS values at most
     keys = np.random.RandomState(seed).randint(0, 1 << 31, max(1, n_permutations))
 
     def labels(number: np.ndarray, which: int) -> np.ndarray:
-        place = number if which < 0 else shuffled(number, n, int(keys[which]))
-        return np.searchsorted(edges, place, "right") - 1
+        return permuted(edges, number, None if which < 0 else int(keys[which]))
 
     def accuracies(which: list[int]) -> list[float]:
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,13 +249,21 @@ def permutation_test(rows: DataFrame, fit: Fit, n_permutations: int = 1000, seed
 
     most = max(1, PASS_CELLS // (cv * q * (p + 1)))
 
-    def some(which: list[int]) -> list[float]:
-        return [a for k in range(0, len(which), most) for a in accuracies(which[k : k + most])]
+    return rounds(lambda which: [a for k in range(0, len(which), most) for a in accuracies(which[k : k + most])], n_permutations, min_perms, check_every)
 
+
+def permuted(edges: np.ndarray, number: np.ndarray, key: int | None) -> np.ndarray:
+    """The class of each sample (by its place among the classes) when ``key`` shuffles the labels; None leaves them."""
+    place = number if key is None else shuffled(number, int(edges[-1]), key)
+    return np.searchsorted(edges, place, "right") - 1
+
+
+def rounds(accuracies: Callable[[list[int]], list[float]], n_permutations: int, min_perms: int, check_every: int) -> dict:
+    """A permutation test in rounds: ``accuracies`` of the permutations of some numbers, -1 being the true labels."""
     true, null, stopped = None, [], False
     while true is None or (len(null) < n_permutations and not stopped):
         size = min(min_perms if not null else check_every, n_permutations - len(null))
-        got = some(([] if true is not None else [-1]) + list(range(len(null), len(null) + size)))
+        got = accuracies(([] if true is not None else [-1]) + list(range(len(null), len(null) + size)))
         true, got = (got[0], got[1:]) if true is None else (true, got)
         null += got
         stopped = len(null) >= min_perms and len(null) % check_every == 0 and settled(sum(v >= true for v in null), len(null))

@@ -431,13 +431,6 @@ def ordinal_coefficients(spark, d):
     return spark.createDataFrame([(m, i, float(w), abs(float(w))) for (m, _), o in fitted.items() for i, w in enumerate(o.w)], "model string, f int, coefficient double, abs_coefficient double").orderBy("model", F.desc("abs_coefficient"), "f")
 
 
-@query("q_ordinal_permutation")
-def ordinal_permutation(spark, d):
-    x, y = _matrix(spark, d, int)
-    r = resample.permutation_test(spark, resample.ordinal_predictor("AT"), x, y.astype(int), 50, cv=2)
-    return spark.createDataFrame([(i, v, r["true_accuracy"], r["p_value"]) for i, v in enumerate(r["null"])], "perm long, accuracy double, true_accuracy double, p_value double")
-
-
 @query("q_forest_permutation")
 def forest_permutation(spark, d):
     x, y = _matrix(spark, d)

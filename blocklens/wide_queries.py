@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import stats
 from .functions.arrays import checkpointed
-from .operators import explain, forest, latent, rowwise, wide
+from .operators import explain, forest, latent, ordinal, rowwise, wide
 from .queries import QUERIES, SQL, query, r6
 from .sources.layers import embedding_layer, word_profiles
 
@@ -90,6 +90,27 @@ def diablo_stability(spark, d):
     return by_block(rowwise.stability_selection(_rows(spark, d), latent.DIABLO(*TWO).fit), [32, 32])
 
 
+def _ordinal(spark, d):
+    return _rows(spark, d).withColumn("y", F.col("grp").cast("int"))
+
+
+@query("q_ordinal_permutation")
+def ordinal_permutation(spark, d):
+    return _null(spark, ordinal.permutation_test(_ordinal(spark, d)))
+
+
+@query("q_ordinal_confusion")
+def ordinal_confusion(spark, d):
+    predicted = ordinal.cross_validate(_ordinal(spark, d), ("AT",))
+    return stats.confusion(checkpointed(predicted), "y", "predicted")
+
+
+@query("q_ordinal_fold_coefficients")
+def ordinal_fold_coefficients(spark, d):
+    fits = ordinal.fit_rows(ordinal.with_folds(_ordinal(spark, d)), ("AT",), cv=5)
+    return spark.createDataFrame(ordinal.mean_coefficients(fits), "model string, f int, coefficient double").orderBy(F.desc(F.abs("coefficient")), "f")
+
+
 @query("q_forest_importance")
 def forest_importance(spark, d):
     model, _ = forest.train_forest(_rows(spark, d))
