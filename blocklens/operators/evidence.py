@@ -21,6 +21,19 @@ def find_consensus(importance: DataFrame, top_n: int = 15) -> DataFrame:
     return out.where("n_methods > 1")
 
 
+def ranked(table: DataFrame, score: str, name: str = "feature", by: tuple[str, ...] = ()) -> DataFrame:
+    """``table`` with ``place`` from 1 by falling ``score`` (nulls last), of equal ones by ``name``, within each of ``by``,
+    in that order: how importance, stability, hub and coefficient tables of a few features are shown."""
+    order = [F.desc_nulls_last(score), F.asc(name)]
+    return table.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).orderBy(*by, "place")
+
+
+def merge_importance(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ("feature",), suffixes: tuple[str, str] = ("_own", "_other")) -> DataFrame:
+    """Features that both tables name, with the columns of either under its suffix: an importance table beside another's."""
+    left, right = (t.withColumnsRenamed({c: c + s for c in t.columns if c not in on}) for t, s in zip((a, b), suffixes))
+    return left.join(right, list(on), "inner")
+
+
 def selected_overlap(importance: DataFrame, top_n: int = 15) -> DataFrame:
     """``a, b, n``: features that two methods (``a`` before ``b``) both have in their ``top_n``; pairs without any are
     left out. ``importance`` as in ``find_consensus``."""

@@ -137,6 +137,11 @@ def predict_rows(rows: DataFrame, model: SPLSDA | DIABLO) -> DataFrame:
     return scored.withColumn("predicted", F.element_at(F.lit(list(model.classes)), best.cast("int")))
 
 
+def score_rows(rows: DataFrame, model: SPLSDA | DIABLO) -> DataFrame:
+    """``accuracy, n``: the share of samples whose class is predicted, in one row."""
+    return predict_rows(rows, model).agg(F.avg((F.col("grp") == F.col("predicted")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+
+
 def cross_validate(rows: DataFrame, fit: Callable[[Moments], SPLSDA | DIABLO], cv: int = 5) -> DataFrame:
     """``sample_id, grp, fold, predicted``: folds by the hashed sample id; each is predicted by a fit without it.
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence, latent, network, ordinal, prep, resample
 from ..operators.forest import Forest
+from ..operators.resample import by_block
+from ..operators.wide import fit_matrix
 
 
 @dataclass(frozen=True)
@@ -53,7 +55,7 @@ def single_layer(obs: DataFrame, mode: Mode, order: list[str] | None = None, **p
     methods = {"splsda": (resample.splsda_predictor(2, keep), y), "rf": (resample.forest_predictor(mode.trees), y), "ordinal": (resample.ordinal_predictor(), rank)}
     tests = {m: resample.permutation_test(spark, f, x, label, mode.permutations) for m, (f, label) in methods.items()}
     scores = {
-        "splsda": latent.SPLSDA(2, keep).fit(latent.Moments.of(x, y)).vip,
+        "splsda": fit_matrix(latent.SPLSDA(2, keep), x, y).vip,
         "rf": Forest(mode.trees).fit(x, y).importance,
         "ordinal": np.abs(ordinal.Ordinal().fit(x, rank).w),
     }
@@ -70,9 +72,9 @@ def multi_layer(obs: DataFrame, layers: list[str], mode: Mode, **prepare) -> dic
     x, y, _, names = matrix_of(prepared)
     widths = [sizes[k] for k in own]
     options = {"keep": [[min(mode.keep, w)] * 2 for w in widths]} if mode.keep else {}
-    model = latent.DIABLO(widths, **options).fit(latent.Moments.of(x, y))
+    model = fit_matrix(latent.DIABLO(widths, **options), x, y)
     return {
-        "layers": own, "names": names, "model": model,
+        "layers": own, "sizes": widths, "names": names, "model": model,
         "test": resample.permutation_test(spark, resample.diablo_predictor(widths, **options), x, y, mode.permutations),
         "forest": float((resample.cross_predict(resample.forest_predictor(mode.trees), x, y) == y).mean()),
         "stability": resample.stability_selection(spark, resample.diablo_selector(widths, **options), x, y, mode.bootstraps),
@@ -107,13 +109,43 @@ def consensus_of(results: dict[str, dict], top_n: int, spark) -> DataFrame:
     return evidence.find_consensus(table, top_n)
 
 
-def report(results: dict[str, dict]) -> str:
-    """A table of methods and the number of stable features, in Markdown."""
-    lines = ["| Layer | Method | Accuracy | p |", "|---|---|---|---|"]
-    for layer, r in results.items():
-        lines += [f"| {layer} | {m} | {t['true_accuracy']:.4f} | {t['p_value']:.6f} |" for m, t in r["tests"].items()]
-    lines += ["", "| Layer | Stable features |", "|---|---|"]
+def _numbers(test: dict) -> str:
+    null = "n/a | n/a" if test["mean_null"] is None else f"{test['mean_null']:.4f} | {test['std_null']:.4f}"
+    return f"{test['true_accuracy']:.4f} | {null} | {test['n_permutations_run']} | {test['p_value']:.6f}"
+
+
+def _stable(table: DataFrame) -> str:
+    c = table.agg(F.sum(F.col("stable").cast("int")).alias("s"), F.count("*").alias("n")).first()
+    return f"{c.s or 0}/{c.n}"
+
+
+def reduction(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``layer, n_original, n_reduced``: features of each layer before and after ``reduced_layers``."""
+    count = lambda obs, name: obs.groupBy("layer").agg(F.count_distinct("feature").alias(name))
+    return count(before, "n_original").join(count(after, "n_reduced"), "layer", "left").withColumn("n_reduced", F.coalesce("n_reduced", F.lit(0)))
+
+
+def report(results: dict[str, dict], joint: dict[str, dict] | None = None, reduced: DataFrame | None = None, mode: Mode | None = None) -> str:
+    """Markdown: how much work was done, accuracies with their null distributions, layers that were reduced, and stable
+    features of each layer. ``joint``: what ``multi_layer`` gave, by name; ``reduced``: what ``reduction`` gave."""
+    lines: list[str] = []
+    if mode is not None:
+        lines += ["## Setup", "", f"- Permutations: {mode.permutations}", f"- Bootstraps: {mode.bootstraps}", f"- Layers are reduced above {mode.network_min_features} features", ""]
+    lines += ["## Methods", "", "| Layer | Method | Accuracy | Null mean | Null deviation | Permutations | p |", "|---|---|---|---|---|---|---|"]
     for layer, r in results.items():
-        c = r["stability"].agg(F.sum(F.col("stable").cast("int")).alias("s"), F.count("*").alias("n")).first()
-        lines.append(f"| {layer} | {c.s}/{c.n} |")
+        lines += [f"| {layer} | {m} | {_numbers(t)} |" for m, t in r["tests"].items()]
+    for name, r in (joint or {}).items():
+        lines.append(f"| {name} | joint components | {_numbers(r['test'])} |")
+        lines.append(f"| {name} | fused forest | {r['forest']:.4f} | n/a | n/a | 0 | n/a |")
+    if reduced is not None:
+        lines += ["", "## Reduction", "", "| Layer | Features | Kept as |", "|---|---|---|"]
+        lines += [f"| {r['layer']} | {r.n_original} | {r.n_reduced} |" for r in reduced.orderBy("layer").collect()]
+    lines += ["", "## Stable features", "", "| Layer | " + " | ".join(["Alone", *(joint or {})]) + " |", "|---" * (2 + len(joint or {})) + "|"]
+    known = list(dict.fromkeys([*results, *(k for r in (joint or {}).values() for k in r["layers"])]))
+    for layer in known:
+        cells = [_stable(results[layer]["stability"]) if layer in results else "n/a"]
+        for r in (joint or {}).values():
+            own = by_block(r["stability"], r["sizes"]).where(F.col("block") == r["layers"].index(layer)) if layer in r["layers"] else None
+            cells.append("n/a" if own is None else _stable(own))
+        lines.append(f"| {layer} | " + " | ".join(cells) + " |")
     return "\n".join(lines) + "\n"

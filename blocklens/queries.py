@@ -331,13 +331,6 @@ def _histogram(spark, d):
     return evidence.histogram(spark.read.parquet(f"{d}/orders.parquet"), "o_totalprice").select("bin", r6("low", 4).alias("low"), r6("high", 4).alias("high"), "n")
 
 
-@query("q_stop_rule", """with g as (select n, k from unnest(range(50, 225, 25)) a(n), unnest(range(0, 25)) b(k)),
- c as (select n, k, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(0.95)) p, i from g, unnest(range(0, 25)) c(i) where i <= k)
- select cast(n as integer) n, cast(k as integer) k, sum(p) < 0.005 or 1 - coalesce(sum(p) filter (i < k), 0) < 0.005 settled from c group by n, k""")
-def _stop(spark, d):
-    return spark.createDataFrame([(n, k, stats.settled(k, n)) for n in range(50, 225, 25) for k in range(25)], "n int, k int, settled boolean")
-
-
 @query("q_permutation_p", """with t as (select event_type, avg("value") true_value from events group by 1)
  select event_type, round((count(*) filter (e."value" >= t.true_value) + 1) / (count(e."value") + 1), 6) + 0.0 p from events e join t using (event_type) group by 1""")
 def _permutation_p(spark, d):
@@ -383,12 +376,6 @@ def _components(spark, d):
     return out.select("f", *[r6(c).alias(c) for c in out.columns[1:]])
 
 
-@query("q_module_sizes", "select range % 7 as \"module\", count(*) n from range(64) group by 1")
-def _module_sizes(spark, d):
-    names = embedding_layer(spark, d).select("f_ord").distinct()
-    return names.groupBy((F.col("f_ord") % 7).cast("long").alias("module")).agg(F.count("*").alias("n"))
-
-
 @query("q_selected_overlap", f"with {EMB}, {IMP} select a.method a, b.method b, count(*) n from tp a join tp b on a.f_ord = b.f_ord and a.m_ord < b.m_ord group by 1, 2")
 def _overlap(spark, d):
     return evidence.selected_overlap(importance(spark, d), 30)

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from .functions import stats
 from .functions.arrays import checkpointed
-from .operators import explain, forest, latent, ordinal, rowwise, wide
-from .queries import QUERIES, SQL, query, r6
+from .operators import evidence, explain, forest, latent, network, ordinal, rowwise, wide
+from .queries import EMB, FIRST, QUERIES, SQL, query, r6
 from .sources.layers import embedding_layer, word_profiles
 
 WIDE = 5319
@@ -80,7 +80,7 @@ def diablo_permutation(spark, d):
 
 @query("q_stability")
 def stability(spark, d):
-    return rowwise.stability_selection(_rows(spark, d), latent.SPLSDA(2, 10).fit)
+    return evidence.ranked(rowwise.stability_selection(_rows(spark, d), latent.SPLSDA(2, 10).fit), "selection_frequency", "f")
 
 
 @query("q_diablo_stability")
@@ -90,6 +90,59 @@ def diablo_stability(spark, d):
     return by_block(rowwise.stability_selection(_rows(spark, d), latent.DIABLO(*TWO).fit), [32, 32])
 
 
+def _score(spark, d, model):
+    rows = _rows(spark, d)
+    return latent.score_rows(rows, wide.fit(rows, model))
+
+
+@query("q_splsda_score")
+def splsda_score(spark, d):
+    return _score(spark, d, latent.SPLSDA(2, 10))
+
+
+@query("q_diablo_score")
+def diablo_score(spark, d):
+    return _score(spark, d, latent.DIABLO(*TWO))
+
+
+@query("q_vip_merge", f"with {FIRST}, d as (select f_ord f, stddev_samp(\"value\") sd from emb group by 1) select wt.f, round(sqrt(64) * abs(w), 6) + 0.0 vip_own, round(sd, 6) + 0.0 sd_other from wt join d on d.f = wt.f where w <> 0")
+def vip_merge(spark, d):
+    obs = embedding_layer(spark, d)
+    m = latent.SPLSDA(1, 5, max_iter=1).fit(latent.gather_moments(latent.block_rows(obs)))
+    own = spark.createDataFrame([(i, float(v)) for i, v in enumerate(m.vip) if v > 0], "f int, vip double")
+    spread = obs.groupBy(F.col("f_ord").alias("f")).agg(F.stddev_samp("value").alias("sd"))
+    return evidence.merge_importance(own, spread, ("f",)).select("f", r6("vip_own").alias("vip_own"), r6("sd_other").alias("sd_other"))
+
+
+@query("q_module_sizes", f"with {EMB}, c as (select f_ord, abs(corr(\"value\", cast(grp as integer))) r from emb group by 1), m as (select f_ord f, cast(floor(20 * r) as integer) \"module\" from c) select 'emb' layer, \"module\", count(*) n from m group by 2")
+def module_sizes(spark, d):
+    """Features in bands of their correlation with the label as modules."""
+    r = embedding_layer(spark, d).groupBy("layer", F.col("f_ord").alias("f")).agg(F.abs(stats.safe_corr(F.col("value"), F.col("grp").cast("int").cast("double"))).alias("r"))
+    return network.module_sizes(r.select("layer", "f", F.floor(20 * F.col("r")).cast("int").alias("module")))
+
+
+FAR = """l as (select f_ord, avg("value") + 1.5 * stddev_pop("value") far from emb group by 1),
+ kk as (select grp, e.f_ord f, count(*) n, count(*) filter ("value" >= far) k from emb e join l on e.f_ord = l.f_ord group by 1, 2)"""
+
+
+@query("q_stop_rule", f"""with {EMB}, {FAR}, c as (select grp, f, n, k, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(0.95)) p from kk, unnest(range(0, 1000)) c(i) where i <= k)
+ select grp, f, n, k, sum(p) < 0.005 or 1 - coalesce(sum(p) filter (i < k), 0) < 0.005 settled from c group by all""")
+def stop_rule(spark, d):
+    """For each class and dimension: would the values far above the mean, as hits among the class's values, end a test?"""
+    obs = embedding_layer(spark, d)
+    far = obs.groupBy("f_ord").agg((F.avg("value") + 1.5 * F.stddev_pop("value")).alias("far"))
+    hits = obs.join(F.broadcast(far), "f_ord").groupBy("grp", F.col("f_ord").alias("f")).agg(F.count("*").alias("n"), F.count(F.when(F.col("value") >= F.col("far"), 1)).alias("k"))
+    kinds = [(r.n, r.k, stats.settled(r.k, r.n)) for r in hits.select("n", "k").distinct().collect()]  # pairs of small numbers
+    return hits.join(F.broadcast(spark.createDataFrame(kinds, "n long, k long, settled boolean")), ["n", "k"]).select("grp", "f", "n", "k", "settled")
+
+
+@query("q_vip_ranked", f"with {FIRST} select f, round(sqrt(64) * abs(w), 6) + 0.0 vip, cast(row_number() over (order by round(abs(w), 9) desc, f) as integer) place from wt")
+def vip_ranked(spark, d):
+    rows = _rows(spark, d)
+    m = latent.SPLSDA(1, 5, max_iter=1).fit(latent.gather_moments(rows))
+    return evidence.ranked(spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(m.vip)], "f int, vip double"), "vip", "f").select("f", (F.col("vip") + F.lit(0.0)).alias("vip"), "place")
+
+
 def _ordinal(spark, d):
     return _rows(spark, d).withColumn("y", F.col("grp").cast("int"))
 
@@ -114,7 +167,7 @@ def ordinal_fold_coefficients(spark, d):
 @query("q_forest_importance")
 def forest_importance(spark, d):
     model, _ = forest.train_forest(_rows(spark, d))
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.featureImportances.toArray())], "f int, importance double")
+    return evidence.ranked(spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.featureImportances.toArray())], "f int, importance double"), "importance", "f")
 
 
 @query("q_forest_cv")
@@ -128,14 +181,14 @@ def forest_cv(spark, d):
 def forest_permutation_importance(spark, d):
     rows = _rows(spark, d)
     model, classes = forest.train_forest(rows)
-    return explain.permutation_importance(rows, explain.boxes_of(model, rows), classes)
+    return evidence.ranked(explain.permutation_importance(rows, explain.boxes_of(model, rows), classes), "mean", "f")
 
 
 @query("q_forest_shapley")
 def forest_shapley(spark, d):
     rows = _rows(spark, d)
     model, _ = forest.train_forest(rows)
-    return explain.shapley_importance(rows, explain.boxes_of(model, rows))
+    return evidence.ranked(explain.shapley_importance(rows, explain.boxes_of(model, rows)), "importance", "f")
 
 
 __all__ = ["QUERIES", "SQL"]
