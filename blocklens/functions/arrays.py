@@ -69,7 +69,7 @@ def summed(rows: DataFrame, *keys: str, by: np.ufunc = np.add) -> DataFrame:
 
 def numbered(ids: DataFrame, column: str, out: str) -> DataFrame:
     """Distinct values of ``column`` numbered from 0 in their order: each range of them by itself, and then by the ranges' sizes."""
-    ranged = ids.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column).select(column, F.monotonically_increasing_id().alias("__m")).persist()
+    ranged = checkpointed(ids.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column).select(column, F.monotonically_increasing_id().alias("__m")))
     part, place = F.shiftrightunsigned("__m", 33).alias("__part"), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = ranged.groupBy(part).agg(F.count("*").alias("n"))  # a row for each range
     starts = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("start"))

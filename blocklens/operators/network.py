@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import checkpointed
 from ..functions.stats import average_rank, feature_correlations, p_value, safe_corr
 from .latent import block_rows, gather_moments, project
 
@@ -334,12 +335,12 @@ def run_network(obs: DataFrame, trait: DataFrame | None = None, power: int | Non
     layer, spark = first["layer"], obs.sparkSession
     moments = gather_moments(block_rows(obs), MAX_FEATURES)
     c, p = moments.centred()[0], len(moments.x)
-    corr = feature_correlations(obs, corr_method).persist()
+    corr = checkpointed(feature_correlations(obs, corr_method))
     scan = None
     if power is None:
         scan = scale_free_scan(corr, network_type=network_type)
         power = int(pick_power(scan).first()["power"])
-    edges = adjacency(corr, power, network_type).persist()
+    edges = adjacency(corr, power, network_type)
     tom = overlap_matrix(edges, p)
     least = min(20, max(3, p // 10)) if min_module_size is None else min_module_size
     used = default_cut(p) if cut_height is None else cut_height
@@ -378,8 +379,8 @@ def _with_trait(values: DataFrame, trait: DataFrame, by: str, method: str) -> Da
     """``layer, <by>, r, abs_r, n``: correlation (0 for constant values) with the trait, of ranks for ``spearman``."""
     if method == "spearman":
         values = average_rank(values.withColumn("feature", F.col(by)))
-        below = trait.groupBy("y").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("y")))  # a row for each level
-        trait = trait.join(below.select("y", (F.col("upto") - (F.col("c") - 1) / 2.0).alias("rank")), "y").select("sample_id", F.col("rank").alias("y"))
+        ranks = average_rank(trait.where("y is not null").select(F.lit("trait").alias("layer"), "sample_id", F.lit("y").alias("feature"), F.col("y").cast("double").alias("value")))
+        trait = ranks.select("sample_id", F.col("value").alias("y"))
     out = trait_correlation(values, trait, ["layer", by])
     return out.select("layer", by, F.coalesce("r", F.lit(0.0)).alias("r"), F.coalesce("abs_r", F.lit(0.0)).alias("abs_r"), "n")
 
