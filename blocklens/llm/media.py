@@ -196,7 +196,8 @@ def parse(data: bytes) -> dict:
 
 
 def _frame(data: bytes, at: int) -> tuple[int, int, tuple, int]:
-    """Width, height, Huffman table and the scan's place of a lossless JPEG frame."""
+    """Width, height, Huffman table and the scan's place of a lossless JPEG frame; its size is checked against the bytes there
+    are, as each sample takes a bit at least."""
     width = height = interval = 0
     table: tuple = ()
     i = at + 2
@@ -215,29 +216,41 @@ def _frame(data: bytes, at: int) -> tuple[int, int, tuple, int]:
         elif mark == 0xDA:
             if interval != width or data[i + 7] != 1:
                 raise ValueError("only predictor 1 with a restart after each line is read")
+            if width * height > 8 * (len(data) - i):
+                raise ValueError("a frame claims more samples than its bytes can hold")
             return width, height, table, i + 2 + size
         i += 2 + size
 
 
+def _reading(table: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The reading tables of a Huffman table as a frame holds it."""
+    if table not in _READ:
+        counts, symbols, by = table[:16], list(table[16:]), {}
+        for n, c in enumerate(counts, 1):
+            by[n], symbols = tuple(symbols[:c]), symbols[c:]
+        _READ[table] = _reading_table(by)
+    return _READ[table]
+
+
 def decode(files: list[bytes]) -> list[tuple[dict, np.ndarray]]:
-    """``(what parse() says, frames as an array of n x height x width samples)`` for each file of one frame size."""
-    parsed, scans, shapes, table = [parse(f) for f in files], [], [], ()
+    """``(what parse() says, frames as an array of n x height x width samples)`` for each file; frames of one size and one
+    Huffman table are decoded together, whichever files they are of."""
+    parsed, scans, shapes, tables = [parse(f) for f in files], [], [], []
     for f, p in zip(files, parsed):
         for at, size in p["frames"]:
             width, height, table, scan = _frame(f, at)
             scans.append(f[scan : at + size])
             shapes.append((height, width))
+            tables.append(table)
     if len(set(shapes)) != 1:
         return [x for f in files for x in decode([f])] if len(files) > 1 else _uneven(parsed[0], shapes)
     height, width = shapes[0]
-    if table not in _READ:
-        counts, symbols, by = table[:16], list(table[16:]), {}
-        for n, c in enumerate(counts, 1):
-            by[n], symbols = tuple(symbols[:c]), symbols[c:]
-        _READ[table] = _reading_table(by)
     frames, out, n = np.empty((len(scans), height, width), "uint8"), [], 0
-    for a in range(0, len(scans), FRAMES):
-        frames[a : a + FRAMES] = _lossless(scans[a : a + FRAMES], height, width, *_READ[table])
+    for table in dict.fromkeys(tables):
+        own = [i for i, t in enumerate(tables) if t == table]
+        for a in range(0, len(own), FRAMES):
+            some = own[a : a + FRAMES]
+            frames[some] = _lossless([scans[i] for i in some], height, width, *_reading(table))
     for p in parsed:
         out.append((p, frames[n : n + len(p["frames"])]))
         n += len(p["frames"])
@@ -367,7 +380,7 @@ def clips(df: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame
                     continue
                 try:
                     parsed, frames = decode([m])[0]
-                except (ValueError, IndexError, struct.error) as e:
+                except (ValueError, IndexError, struct.error, MemoryError) as e:
                     rows.append((k, None, None, None, None, None, str(e)))
                     continue
                 ms = parsed["frame_us"] / 1000

@@ -1,7 +1,7 @@
 """Token counts: a broadcast table of frequent pre-token lengths, then worker caches; no pre-token is shuffled.
 
-The table comes from bounded counts that tasks hand to the driver through an accumulator, which keeps a bounded table of
-its own, so there is no exchange in either pass.
+The table comes from a bounded number of rows: the few tasks that count their pre-tokens hand bounded tables to the driver
+through an accumulator.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ from .tokens import LONG, PieceCounts, pre_tokens
 TABLE = 32_768
 #: Pre-tokens that one task reports, and that it keeps while it counts.
 REPORT, KEEP = 2_048, 200_000
+#: Rows, about, whose pre-tokens are counted for the table, and tasks that count them.
+SAMPLE, SAMPLERS = 20_000, 16
+
 
 class _Frequent(AccumulatorParam):
     """Adds tables of counts, and keeps the most frequent ``keep`` entries once there are twice as many."""
@@ -39,8 +42,9 @@ class _Frequent(AccumulatorParam):
 
 
 def frequent_pre_tokens(texts: DataFrame, size: int = TABLE) -> list[str]:
-    """The pre-tokens with the highest counts over all texts; each task keeps a bounded count table and reports
-    its ``REPORT`` most frequent, the driver keeps ``4 * size`` of them. It decides speed, never counts."""
+    """The most frequent pre-tokens of some SAMPLE rows, dealt to SAMPLERS tasks at most; each keeps a bounded count table
+    and reports its ``REPORT`` most frequent, the driver keeps ``4 * size`` of them. So neither the first pass nor what
+    reaches the driver grows with the rows. It decides speed, never counts."""
     found = texts.sparkSession.sparkContext.accumulator(Counter(), _Frequent(4 * size))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +58,9 @@ def frequent_pre_tokens(texts: DataFrame, size: int = TABLE) -> list[str]:
         found.add(Counter({w: n for w, n in seen.most_common(REPORT) if n > 1 and w and len(w) <= LONG and " " not in w}))
         yield from ()
 
-    texts.mapInArrow(count, "part string").write.format("noop").mode("overwrite").save()
+    n = texts.count()
+    some = texts if n <= SAMPLE else texts.where(F.rand(7) < SAMPLE / n)
+    some.repartition(SAMPLERS).mapInArrow(count, "part string").write.format("noop").mode("overwrite").save()
     return [w for w, _ in sorted(found.value.items(), key=lambda x: (-x[1], x[0]))[:size]]
 
 

@@ -202,3 +202,49 @@ def test_resample(spark, docs, none):
     assert resampling.resample(df, none).where("rank is not null").count() == len(drawn)
     tied = resampling.resample(spark.createDataFrame([(5, "w " * 30)] * 40, "doc_id long, text string"), none, drawn=(50, 100)).collect()
     assert sorted(r["rank"] or 0 for r in tied) == [0] * 20 + list(range(1, 21)) and len({(r.weight, r.score) for r in tied}) == 1
+
+
+# 6, 3
+
+
+def test_frames_of_several_huffman_tables(spark, monkeypatch):
+    """Files whose frames bring tables of their own are read by them, in any order and together."""
+    from blocklens.llm import media
+
+    payloads = [bytes((7 * i * k) % 251 for i in range(64 * 90)) for k in range(1, 4)]
+    files = media.encode(payloads[:1])
+    symbols = [s for n in sorted(media.BY_LENGTH) for s in media.BY_LENGTH[n]]
+    turned, at = {}, 0
+    for n in sorted(media.BY_LENGTH):  # the same code lengths for other differences
+        turned[n] = tuple(symbols[::-1][at : at + len(media.BY_LENGTH[n])])
+        at += len(media.BY_LENGTH[n])
+    if max(n + s for n in turned for s in turned[n]) > 16:
+        turned = {4: tuple(symbols)}  # all codes of one length
+    own, writing = media.BY_LENGTH, media._WRITE
+    monkeypatch.setattr(media, "BY_LENGTH", turned)
+    monkeypatch.setattr(media, "_WRITE", media._writing_table())
+    files += media.encode(payloads[1:])
+    monkeypatch.setattr(media, "BY_LENGTH", own)
+    monkeypatch.setattr(media, "_WRITE", writing)
+    for order in ([0, 1, 2], [2, 0, 1], [1, 2, 0]):
+        got = media.decode([files[i] for i in order])
+        assert [media.payload(p, f) for p, f in got] == [payloads[i] for i in order]
+
+
+def test_frames_that_claim_too_much(spark):
+    from blocklens.llm import media
+
+    good = media.encode([bytes(64 * 8)])[0]
+    at = good.index(b"\xff\xc3") + 5
+    bad = good[:at] + b"\xff\xff" + good[at + 2 :]
+    rows = media.clips(spark.createDataFrame([(1, bytearray(good)), (2, bytearray(bad)), (3, None)], "doc_id long, media binary")).collect()
+    assert {r.doc_id for r in rows if r.error is None} == {1} and [r.doc_id for r in rows if r.error and "claims" in r.error] == [2]
+
+
+def test_the_table_of_pre_tokens_decides_no_count(spark, docs, monkeypatch):
+    from blocklens.llm import token_count
+
+    whole = sorted((r.doc_id or -1, r.n_tokens) for r in token_count.count_tokens(docs).collect())
+    for name, value in (("SAMPLE", 3), ("SAMPLERS", 2), ("REPORT", 5)):
+        monkeypatch.setattr(token_count, name, value)
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in token_count.count_tokens(docs).collect()) == whole
