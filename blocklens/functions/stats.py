@@ -55,10 +55,10 @@ def medians(obs: DataFrame, keys: tuple[str, ...] = ("layer", "feature", "grp"))
     spark = obs.sparkSession
     own = {k: f"__{k}" for k in keys}
     first = obs.groupBy(*keys).agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).withColumnsRenamed(own)
+    first = _known(first)
     # one target for odd counts, two for even ones: the place of the value in the group, those below the range, those in it
     at = F.explode(F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))).alias("at")
     ranges = first.where("n > 0").select(*own.values(), at, "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
-    ranges = _known(ranges)
     values = obs.where("value is not null").select(*keys, "value")
 
     def inside(ranges: DataFrame) -> DataFrame:
@@ -301,4 +301,4 @@ def p_value(r: Column, n: Column) -> Column:
         return length * F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
 
     p = F.least(F.lit(1.0), F.exp((v - 1) * F.ln(cos)) * tail(cos) / tail(F.lit(1.0)))
-    return F.when((n >= 3) & (F.abs(r) >= 1), F.lit(0.0)).when((n >= 3) & ~F.isnan(r), p)
+    return F.when((n >= 3) & (F.abs(r) >= 1) & ~F.isnan(r), F.lit(0.0)).when((n >= 3) & r.isNotNull() & ~F.isnan(r), p)

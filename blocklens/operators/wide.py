@@ -249,7 +249,8 @@ def fit(rows: DataFrame, model: SPLSDA | DIABLO) -> SPLSDA | DIABLO:
         raise ValueError("no samples")
     if first.p > MAX_FEATURES or rows.limit(first.p + 1).count() <= first.p:
         most = min(first.p, ROWS_CELLS // max(first.p, 1))
-        few = rows.select("grp", "x").limit(most + 1).collect()  # most * p is ROWS_CELLS at most
-        if len(few) <= most:
-            return fit_data(model, Rows.of(np.array([r.x for r in few]), [r.grp for r in few]))
+        few = rows.select("grp", F.col("x").cast("array<double>").alias("x")).limit(most + 1).toArrow()  # most * p is ROWS_CELLS at most
+        if few.num_rows <= most:
+            x = few.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            return fit_data(model, Rows.of(x.reshape(few.num_rows, -1), few.column("grp").to_pylist()))
     return model.fit(gather_moments(rows)) if first.p <= MAX_FEATURES else fit_data(model, Passes(rows))
