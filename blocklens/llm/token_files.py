@@ -34,8 +34,8 @@ FORMAT = {
 def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int, spaced: bool, text: str = "text", doc_id: str = "doc_id") -> None:
     """Encode each row's whole text, append ``end_id``, and write the ids in ascending ``doc_id`` order to ``path``.
 
-    Null doc_ids come first, as in Spark's order; rows with equal ids are ordered by their text, so repeated rows
-    give equal rows. Null and empty texts hold the end id alone. Other columns are left out. An empty table writes
+    Null doc_ids come first, as in Spark's order; rows with equal ids are ordered by their text's hash and then by the text,
+    so ranges can part them and repeated rows give equal rows. Null and empty texts hold the end id alone. Other columns are left out. An empty table writes
     an empty file.
     """
     end = np.asarray([end_id], "<u4").tobytes()
@@ -52,7 +52,8 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int, spa
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(rows), part, "int32")), pa.array(starts[:-1]), pa.array(n.astype("int32")), ids], names=["doc_id", "part", "local_start", "n_tokens", "ids"])
 
-    ranged = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text")]
+    ranged = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text")
     ranged.mapInArrow(encode, SCHEMA).write.options(**FORMAT).parquet(path)
 
 
