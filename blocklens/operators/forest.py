@@ -75,12 +75,20 @@ class Forest:
         return (best[1], best[2], self._grow(x[down], hot[down], depth - 1, rng, gain, all_weight), self._grow(x[~down], hot[~down], depth - 1, rng, gain, all_weight), shares, weight)
 
     def proba(self, x: np.ndarray) -> np.ndarray:
-        def walk(node: tuple, row: np.ndarray) -> np.ndarray:
-            while node[0] >= 0:
-                node = node[2] if row[node[0]] <= node[1] else node[3]
-            return node[4]
+        """Rows x classes: the trees' mean shares; all rows go down a tree together."""
+        out = np.zeros((len(x), len(self.classes)))
 
-        return np.array([np.mean([walk(t, r) for t in self.roots], axis=0) for r in x])
+        def down(node: tuple, rows: np.ndarray) -> None:
+            if node[0] < 0:
+                out[rows] += node[4]
+            elif len(rows):
+                left = x[rows, node[0]] <= node[1]
+                down(node[2], rows[left])
+                down(node[3], rows[~left])
+
+        for root in self.roots:
+            down(root, np.arange(len(x)))
+        return out / len(self.roots)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return self.classes[self.proba(x).argmax(axis=1)]
