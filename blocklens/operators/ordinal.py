@@ -218,12 +218,13 @@ def _over_rows(data: DataFrame, points: list, problems: list[Problem], kernel: C
                     totals[k] = totals.get(k, 0.0) + kernel(job.scaled(x[own]), job.rank(y[own], number[own]), job.omega, point)
         for k, t in totals.items():
             t = np.atleast_2d(t)
-            yield array_rows({"k": np.full(len(t), k), "i": np.arange(len(t))}, list(t))
+            yield array_rows({"k": np.array([k]), "rows": np.array([len(t)])}, [t.ravel()])
 
-    parts: dict[int, dict[int, np.ndarray]] = {}
-    for r in summed(data.mapInArrow(sums, "k long, i long, v array<double>"), "k", "i").collect():  # by features, not rows
-        parts.setdefault(r.k, {})[r.i] = np.array(r.v)
-    return [np.array([parts[k][i] for i in sorted(parts[k])]) if k in parts else None for k in range(len(points))]
+    found = summed(data.mapInArrow(sums, "k long, rows long, v array<double>"), "k", "rows").toArrow().combine_chunks()  # by features, not rows
+    out: list = [None] * len(points)
+    for k, rows, v in zip(found.column("k").to_pylist(), found.column("rows").to_pylist(), found.column("v")):
+        out[k] = v.values.to_numpy(zero_copy_only=False).reshape(rows, -1)
+    return out
 
 
 def _ranges(data: DataFrame) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
