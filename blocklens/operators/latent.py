@@ -158,6 +158,52 @@ def cross_validate(rows: DataFrame, fit: Callable[[Moments], SPLSDA | DIABLO], c
     return out
 
 
+def _times(c: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.matmul(c, v[:, :, None])[:, :, 0]
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a, b)
+
+
+def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows of ``a`` by the numbers ``b``; zeros where those aren't above 0."""
+    return a * np.divide(1.0, b, out=np.zeros_like(b), where=b > 0)[:, None]
+
+
+def _unit_largest(w: np.ndarray, k: int | None) -> np.ndarray:
+    """``keep_largest`` of each row, scaled to length 1."""
+    w = _over(w, np.linalg.norm(w, axis=1))
+    if k is None or k >= w.shape[1]:
+        return w
+    out, top = np.zeros_like(w), np.argsort(-np.abs(w), axis=1, kind="stable")[:, :k]
+    np.put_along_axis(out, top, np.take_along_axis(w, top, axis=1), axis=1)
+    return _over(out, np.linalg.norm(out, axis=1))
+
+
+def _settle(step: Callable, held: list[np.ndarray], state: list[np.ndarray], max_iter: int) -> list[np.ndarray]:
+    """Each row's state by the step that ended it: ``step(held, state)`` gives the next states and which rows are done."""
+    out, own = [v.copy() for v in state], np.arange(len(state[0]))
+    live = np.ones(len(own), bool)
+    for _ in range(max_iter):
+        state, done = step(held, state)
+        for o, v in zip(out, state):
+            o[own[live]] = v[live]
+        live &= ~done
+        if not live.any():
+            break
+        if 2 * live.sum() <= len(live):
+            held, state, own, live = [v[live] for v in held], [v[live] for v in state], own[live], live[live]
+    return out
+
+
+def _centred_without(m: Moments, x: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``centred`` of all but one row, for each of some rows, and the means."""
+    n, mx, my = m.n - 1, m.x - x, m.y - hot
+    outer = lambda a, b: a[:, :, None] * b[:, None, :]
+    return m.xx - outer(x, x) - outer(mx, mx) / n, m.xy - outer(x, hot) - outer(mx, my) / n, m.yy - outer(hot, hot) - outer(my, my) / n, mx / n
+
+
 def vip(w: np.ndarray, ss: np.ndarray) -> np.ndarray:
     """Importance of each feature; all 1 when nothing is explained."""
     return np.sqrt(len(w) * (w**2 @ ss) / ss.sum()) if ss.sum() > 0 else np.ones(len(w))
@@ -204,6 +250,33 @@ class SPLSDA:
         self.vip = vip(self.w, np.array(ss))
         return self
 
+    def coefficients_without(self, m: Moments, x: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of some rows, features x classes and the means of a fit on all other rows; all fits go on together."""
+        c, s, g, mean = _centred_without(m, x, hot)
+        h = int(min(self.n_components, m.n - 2, len(m.x)))
+        keep, parts = self._keep(h), []
+
+        def step(held, state):
+            (c, s, g), u = held, state[0]
+            w = _unit_largest(_times(s, u), keep[k])
+            cw = _times(c, w)
+            tt = _dot(w, cw)
+            q = _over(_times(s.transpose(0, 2, 1), w), tt)
+            qq = _dot(q, q)
+            new = np.where(qq[:, None] > 0, _over(q, qq), u)
+            moved = new - u
+            return [new, w, cw, tt[:, None], q], np.sqrt(np.maximum(0.0, _dot(moved, _times(g, moved)))) < self.tol
+
+        for k in range(h):
+            u = np.zeros(hot.shape)
+            u[:, 0] = 1.0
+            _, w, cw, tt, q = _settle(step, [c, s, g], [u, np.zeros(x.shape), np.zeros(x.shape), np.zeros((len(x), 1)), np.zeros(hot.shape)], self.max_iter)
+            p, by = _over(cw, tt[:, 0]), tt[:, :, None]
+            c, s, g = c - by * p[:, :, None] * p[:, None, :], s - by * p[:, :, None] * q[:, None, :], g - by * q[:, :, None] * q[:, None, :]
+            parts.append((w, p, q))
+        w, p, q = (np.stack(v, axis=2) for v in zip(*parts))
+        return w @ np.linalg.pinv(p.transpose(0, 2, 1) @ w) @ q.transpose(0, 2, 1), mean
+
     @property
     def rotation(self) -> np.ndarray:
         return self.w @ np.linalg.pinv(self.p.T @ self.w)
@@ -291,6 +364,49 @@ class DIABLO:
         self.part = part
         return self
 
+    def coefficients_without(self, m: Moments, x: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of some rows, features x classes and the means of a fit on all other rows; all fits go on together."""
+        c, s, g, mean = _centred_without(m, x, hot)
+        k_blocks, edges = len(self.sizes), np.cumsum([0, *self.sizes])
+        part, d = [slice(edges[k], edges[k + 1]) for k in range(k_blocks)], self.design_matrix()
+        h = int(min(self.n_components, m.n - 2))
+        w_all, p_all, q_all = np.zeros((*x.shape, h)), np.zeros((*x.shape, h)), np.zeros((*hot.shape, h))
+
+        def step(held, state):
+            (c, s, g), (a, ca, _) = held, state
+            at, size = [a] * k_blocks, _dot(a, ca)
+            y = _times(s.transpose(0, 2, 1), a) / np.maximum(size, 1e-10)[:, None]
+            for k in range(k_blocks):
+                v = sum((d[k, j] * at[j] for j in range(k_blocks) if j != k), np.zeros(a.shape))
+                u = d[k, -1] * y
+                cv, su = _times(c, v), _times(s, u)
+                none = np.sqrt(np.maximum(0.0, _dot(v, cv) + 2 * _dot(v, su) + _dot(u, _times(g, u)))) < 1e-10
+                own = np.where(none[:, None], ca, cv + su)[:, part[k]]
+                at[k] = np.zeros(a.shape)
+                at[k][:, part[k]] = _unit_largest(own, self.keep[k][comp] if self.keep else None)
+            w = sum(at)
+            new = w / k_blocks
+            cn, moved = _times(c, new), new - a
+            return [new, cn, w], np.sqrt(np.maximum(0.0, _dot(moved, cn - ca))) < self.tol * np.sqrt(np.maximum(0.0, size))
+
+        for comp in range(h):
+            a = np.linalg.eigh(c)[1][:, :, -1]
+            a, ca, w = _settle(step, [c, s, g], [a, _times(c, a), np.zeros(x.shape)], self.max_iter)
+            each, loads = np.zeros((*x.shape, k_blocks)), np.zeros((*x.shape, k_blocks))
+            for k, own in enumerate(part):
+                each[:, own, k] = w[:, own]
+                cw = _times(c[:, own, own], w[:, own])
+                loads[:, own, k] = _over(cw, _dot(w[:, own], cw))
+            ss, ce, turned = _dot(a, ca), c @ each, each.transpose(0, 2, 1)
+            q = _over(_times(s.transpose(0, 2, 1), a), ss)
+            s = s - loads @ (turned @ s) - ca[:, :, None] * q[:, None, :] + _times(loads, _times(turned, ca))[:, :, None] * q[:, None, :]
+            back = loads.transpose(0, 2, 1)
+            c = c - loads @ ce.transpose(0, 2, 1) - ce @ back + loads @ (turned @ ce) @ back
+            g = g - ss[:, None, None] * q[:, :, None] * q[:, None, :]
+            w_all[:, :, comp], p_all[:, :, comp], q_all[:, :, comp] = w, loads.sum(axis=2), q
+        turns = [w_all[:, b] @ np.linalg.pinv(p_all[:, b].transpose(0, 2, 1) @ w_all[:, b]) for b in part]
+        return np.concatenate(turns, axis=1) / k_blocks @ q_all.transpose(0, 2, 1), mean
+
     def vips(self) -> list[np.ndarray]:
         qq = (self.q**2).sum(axis=0)
         return [vip(self.w[b], self.tt[k] * qq) for k, b in enumerate(self.part)]

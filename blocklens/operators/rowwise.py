@@ -21,6 +21,8 @@ from .latent import DIABLO, MAX_FEATURES, SPLSDA, Moments, gather_fold_moments,
 
 #: Values that a task adds up for one pass's permutations or draws (32 MB), at most; more of them take more passes.
 PASS_CELLS = 4_000_000
+#: Values of the matrices of fits that go on together (16 MB), at most.
+TOGETHER_CELLS = 2_000_000
 #: Draws that a leaf of the tree of draws deals at once.
 LEAF = 1024
 
@@ -136,6 +138,20 @@ def _response(m: Moments, fit: Fit) -> np.ndarray:
     return out
 
 
+def _responses(m: Moments, x: np.ndarray, hot: np.ndarray, model: Model) -> np.ndarray:
+    """``_response`` of the fits without each of some rows, TOGETHER_CELLS values of their matrices at a time."""
+    out, some = np.zeros((len(x), len(m.x) + 1, len(m.classes))), max(1, TOGETHER_CELLS // len(m.x) ** 2)
+    last = (m.y - hot <= 0.5).any(axis=1) | (m.n < 3)  # a class ends with the row
+    for i in np.flatnonzero(last):
+        out[i] = _response(m.without(x[i : i + 1], hot[i : i + 1]), model.fit)
+    rest = np.flatnonzero(~last)
+    for a in range(0, len(rest), some):
+        own = rest[a : a + some]
+        coef, mean = model.coefficients_without(m, x[own], hot[own])
+        out[own, :-1], out[own, -1] = coef, -np.einsum("ip,ipq->iq", mean, coef)
+    return out
+
+
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return np.hstack([column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1), np.ones((rows, 1))])
 
@@ -150,14 +166,19 @@ def cross_validate(rows: DataFrame, fit: Fit, cv: int | None = None) -> DataFram
     if cv is None:
         total = gather_moments(rows)
         held = rows.sparkSession.sparkContext.broadcast(total)
+        model = getattr(fit, "__self__", None)  # a model's own fit: those of a batch's samples go on together
+        model = model if isinstance(model, (SPLSDA, DIABLO)) else None
 
         def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                m, out = held.value, []
+                m = held.value
                 x = _matrix(batch.column(2), batch.num_rows)
-                for i, g in enumerate(batch.column(1).to_pylist()):
-                    hot = np.array([[float(c == g) for c in m.classes]])
-                    out.append(m.classes[int((x[i] @ _response(m.without(x[i : i + 1, :-1], hot), fit)).argmax())])
+                hot = (np.array(batch.column(1).to_pylist(), object)[:, None] == np.array(m.classes, object)[None, :]).astype(float)
+                if model is None:
+                    best = [int((x[i] @ _response(m.without(x[i : i + 1, :-1], hot[i : i + 1]), fit)).argmax()) for i in range(len(x))]
+                else:
+                    best = [int(k) for a in range(0, len(x), 256) for k in np.einsum("ip,ipq->iq", x[a : a + 256], _responses(m, x[a : a + 256, :-1], hot[a : a + 256], model)).argmax(axis=1)]
+                out = [m.classes[k] for k in best]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(0), pa.array(out, batch.column(1).type)], names=["sample_id", "grp", "fold", "predicted"])
 
         kind = dict(rows.dtypes)
