@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, worker_state
+from .common import _give_back, held_out, worker_state
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashed ids.
 SAMPLE = 2_500
 #: Hashed character 1-, 2- and 3-gram features.
 FEATURES = 1 << 13
+#: Rows whose vectors are spread out at a time.
+SLAB = 256
 
 #: Families of languages by ISO 639-1 code. Any other label is a family of its own.
 FAMILIES = {
@@ -70,39 +73,93 @@ def features(text: str | None) -> np.ndarray | None:
     return v / np.linalg.norm(v)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 80) -> np.ndarray:
-    """Squared-hinge linear SVM by accelerated gradient steps; classes weigh the same. The last weight is the bias."""
+def packed(text: str | None) -> bytes | None:
+    """The text's ``features`` that aren't 0, with their places, in few bytes."""
+    v = features(text)
+    if v is None:
+        return None
+    at = np.flatnonzero(v)
+    return zlib.compress(at.astype("<u2").tobytes() + v[at].astype("<f4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = zlib.decompress(data)
+    n = len(data) // 6
+    return np.frombuffer(data, "<u2", n), np.frombuffer(data, "<f4", n, 2 * n)
+
+
+class _Rows:
+    """Unit vectors by their entries that aren't 0; ``slabs`` spreads out the rows asked for, a bounded number at a time."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.rows = rows
+
+    def slabs(self, which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for k in range(0, len(which), SLAB):
+            some = which[k : k + SLAB]
+            x = np.zeros((len(some), FEATURES), "float32")
+            for out, i in zip(x, some):
+                at, value = self.rows[i]
+                out[at] = value
+            yield k, x
+
+    def products(self) -> np.ndarray:
+        """Of each row with each other, and 1 for the bias."""
+        every = np.arange(len(self.rows))
+        out = np.empty((len(every), len(every)), "float32")
+        for i, x in self.slabs(every):
+            for j, y in self.slabs(every[: i + SLAB]):
+                out[i : i + len(x), j : j + len(y)] = x @ y.T + 1
+                out[j : j + len(y), i : i + len(x)] = out[i : i + len(x), j : j + len(y)].T
+        return out
+
+    def combined(self, which: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The sum of the rows by weight, and of the weights for the bias."""
+        out = np.zeros(FEATURES + 1)
+        for k, x in self.slabs(which):
+            out[:-1] += weights[k : k + len(x)] @ x
+        out[-1] = weights.sum()
+        return out.astype("float32")
+
+
+def _svm(products: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 80) -> np.ndarray:
+    """Squared-hinge linear SVM by accelerated gradient steps; classes weigh the same. The steps begin at 0 and stay in
+    the rows' span, so they are taken by the rows' ``products`` alone, and give the weight of each row."""
     each = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype("float32")
-    w = v = np.zeros(x.shape[1], "float32")
-    step = 1 / (2 * cost * 2 + 1)
+    w = v = np.zeros(len(y), "float32")
+    step = np.float32(1 / (2 * cost * 2 + 1))
     for k in range(rounds):
-        gap = np.maximum(0, 1 - y * (x @ v))
-        new = v - step * (v - 2 * cost * (x.T @ (each * y * gap)))
-        v = new + (k / (k + 3)) * (new - w)
+        gap = np.maximum(0, 1 - y * (products @ v))
+        new = v - step * (v - np.float32(2 * cost) * (each * y * gap))
+        v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
-    return w.astype("float32")
+    return w
 
 
 #: Share of a language's n-grams that may be any, when their log-likelihood is taken.
 ANY = 0.05
 
 
-def _likelihood(x: np.ndarray) -> np.ndarray:
+def _likelihood(rows: _Rows, own: np.ndarray) -> np.ndarray:
     """For each feature the log of its share in the rows' n-grams over its share if all were as frequent."""
-    share = np.einsum("ij,ij->j", x, x, dtype="float64")
+    share = np.zeros(FEATURES)
+    for _, x in rows.slabs(own):
+        share += np.einsum("ij,ij->j", x, x, dtype="float64")
     return np.log((share / share.sum() * FEATURES + ANY) / (1 + ANY)).astype("float32")
 
 
-def _floor(x: np.ndarray) -> tuple[float, float]:
+def _floor(rows: _Rows, own: np.ndarray) -> tuple[float, float]:
     """Least mean log-likelihood of a long text in the language of the rows, and the spread of its n-grams: each half
     of the rows is measured by the other, so neither depends on how many languages there are. A single row sets none."""
-    if len(x) < 2:
+    if len(own) < 2:
         return -np.inf, 0.0
     mean, square = [], []
     for k in (0, 1):
-        likely, counts = _likelihood(x[1 - k :: 2]), x[k::2] ** 2
-        mean.append(counts @ likely)
-        square.append(counts @ likely**2)
+        likely = _likelihood(rows, own[1 - k :: 2])
+        for _, x in rows.slabs(own[k::2]):
+            counts = x**2
+            mean.append(counts @ likely)
+            square.append(counts @ likely**2)
     m = np.concatenate(mean)
     spread = float(np.sqrt(np.maximum(0, np.concatenate(square) - m * m)).mean())
     return float(m.mean()) - spread, spread
@@ -113,14 +170,12 @@ class Hierarchy:
     ``likely`` and ``floors`` tell by language whether a text looks like it at all."""
 
     def __init__(self, texts: list[str], labels: list[str]):
-        x, label = np.empty((len(texts), FEATURES + 1), "float32"), []
-        x[:, -1] = 1  # for the bias
-        for t, name in zip(texts, labels):
-            v = features(t)
-            if v is not None:
-                x[len(label), :-1] = v
-                label.append(name)
-        x, label = x[: len(label)], np.array(label, object)
+        self.learn(list(map(packed, texts)), labels)
+
+    def learn(self, vectors: list[bytes | None], labels: list[str]) -> None:
+        """From ``packed`` vectors; those without a letter are left out."""
+        rows = _Rows([unpacked(v) for v in vectors if v is not None])
+        label = np.array([name for v, name in zip(vectors, labels) if v is not None], object)
         self.labels = sorted(set(label))
         self.families: dict[str, list[str]] = {}
         for code in self.labels:
@@ -128,19 +183,21 @@ class Hierarchy:
         self.names = sorted(self.families)
         if not len(label):
             return
-        family = np.array([FAMILY_OF.get(k, k) for k in label], object)
-        self.top = np.array([_svm(x, np.where(family == f, 1.0, -1.0).astype("float32")) for f in self.names]) if len(self.names) > 1 else None
+        family, every = np.array([FAMILY_OF.get(k, k) for k in label], object), np.arange(len(label))
+        products = rows.products() if len(self.labels) > 1 else None
+        sign = lambda yes: np.where(yes, 1.0, -1.0).astype("float32")
+        self.top = np.array([rows.combined(every, _svm(products, sign(family == f))) for f in self.names]) if len(self.names) > 1 else None
         self.pairs, weights = [], []
         for f in self.names:
             for a, b in combinations(self.families[f], 2):
-                own = (label == a) | (label == b)
+                own = np.flatnonzero((label == a) | (label == b))
                 self.pairs.append((a, b))
-                weights.append(_svm(x[own], np.where(label[own] == a, 1.0, -1.0).astype("float32")))
+                weights.append(rows.combined(own, _svm(products[np.ix_(own, own)], sign(label[own] == a))))
         self.inside = np.array(weights, "float32") if weights else None
         self.likely, self.floors = {}, {}
         for code in self.labels:
-            own = x[label == code, :-1]
-            self.likely[code], self.floors[code] = _likelihood(own), _floor(own)
+            own = np.flatnonzero(label == code)
+            self.likely[code], self.floors[code] = _likelihood(rows, own), _floor(rows, own)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         v = features(text) if self.labels else None
@@ -178,14 +235,25 @@ class Hierarchy:
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Hierarchy:
-    """Fit on at most ``sample`` labelled rows outside the held-out quarter (those with the smallest hashed keys)."""
+    """Fit on at most ``sample`` labelled rows outside the held-out quarter (those with the smallest hashed keys). Tasks read
+    their texts; the driver gets the entries of their vectors that aren't 0."""
     usable = df.where(~held_out(key) & F.col(lang).isNotNull()).withColumn("__h", F.xxhash64(key))
     first = [r[0] for r in usable.select("__h").orderBy("__h").limit(sample).collect()]
+    model = Hierarchy([], [])
     if not first:
-        return Hierarchy([], [])
-    rows = usable.where((F.col("__h") <= first[-1]) & F.col(text).isNotNull()).select(text, lang, "__h").orderBy("__h", lang, F.xxhash64(text)).limit(sample).collect()
-    rows.sort(key=lambda r: (r[2], r[1], r[0]))
-    return Hierarchy([r[0] for r in rows], [r[1] for r in rows])
+        return model
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(list(map(packed, batch.column(0).to_pylist())), pa.binary())], names=["h", "lang", "tie", "vector"])
+
+    chosen = usable.where((F.col("__h") <= first[-1]) & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col("__h").alias("h"), F.col(lang).alias("lang"), F.xxhash64(text).alias("tie"))
+    rows = chosen.mapInArrow(read, "h long, lang string, tie long, vector binary").orderBy("h", "lang", "tie").limit(sample).collect()
+    rows.sort(key=lambda r: r[:3])
+    model.learn([r[3] for r in rows], [r[1] for r in rows])
+    del rows
+    _give_back()
+    return model
 
 
 def identify_language(df: DataFrame, model: Hierarchy, text: str = "text", known: str | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, worker_state
+from .common import _give_back, forget, held_out, worker_state, written
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most: those with the smallest hashed ids.
 SAMPLE = 7_000
@@ -114,32 +114,28 @@ LIVE, SPENT = "WCMBSAX", "tnr"
 NAMES = (*LIVE, "strong matches", "medium matches", "any strong", "any medium", "medium share", "weak share", *SPENT, "size", "bias")
 
 
+def units(text: str) -> set[tuple[int, str]]:
+    """The text's words (0) and their beginnings, by length."""
+    words = set(WORD.findall(text.lower()))
+    return {(0, w) for w in words} | {(k, w[:k]) for w in words for k in PREFIXES if len(w) > k}
+
+
 class Toxicity:
     """``words`` and ``starts`` map learned units to log-odds; ``weights`` are the logistic model's, bias last."""
 
     def __init__(self, rows: list[tuple[str, int]]):
+        toxic = Counter(u for text, y in rows if y for u in units(text))
+        toxic = Counter({u: c for u, c in toxic.items() if c >= SUPPORT})
+        clean = Counter(u for text, y in rows if not y for u in units(text) if u in toxic)
+        self.learn_units(toxic, clean, sum(y for _, y in rows), len(rows))
+        self.weigh(np.array([self.vector(t) for t, _ in rows]), np.array([y for _, y in rows], float))
+
+    def learn_units(self, toxic: Counter, clean: Counter, n: int, total: int) -> None:
+        """From the toxic and the clean rows that each unit is in; n of all rows are toxic."""
         self.words: dict[str, float] = {}
         self.starts: dict[str, float] = {}
-        self._learn_units(rows)
         self.cache: dict[str, str] = {}
-        self._fit(rows)
-
-    def _learn_units(self, rows: list[tuple[str, int]]) -> None:
-        def units(text: str) -> set:
-            words = set(WORD.findall(text.lower()))
-            return {(0, w) for w in words} | {(k, w[:k]) for w in words for k in PREFIXES if len(w) > k}
-
-        toxic: Counter = Counter()
-        n = sum(y for _, y in rows)
-        for text, y in rows:
-            if y:
-                toxic.update(units(text))
-        toxic = Counter({u: c for u, c in toxic.items() if c >= SUPPORT})
-        clean: Counter = Counter()
-        for text, y in rows:
-            if not y:
-                clean.update(u for u in units(text) if u in toxic)
-        base = math.log((n + 1) / (len(rows) - n + 1))
+        base = math.log((n + 1) / (total - n + 1))
         for (k, u), c in toxic.items():
             odds = math.log((c + 0.25) / (clean[k, u] + 0.25)) - base
             if odds >= TIERS[0][0]:
@@ -188,16 +184,14 @@ class Toxicity:
         x |= {"any strong": float(n["strong matches"] > 0), "any medium": float(n["medium matches"] > 0), "medium share": math.log1p(n["medium matches"]) / (1 + size), "weak share": math.log1p(n["weak matches"]) / (1 + size), "size": size, "bias": 1.0}
         return np.array([x[k] for k in NAMES])
 
-    def _fit(self, rows: list[tuple[str, int]], ridge: float = 0.02, rounds: int = 200) -> None:
+    def weigh(self, x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 200) -> None:
         """Ridge logistic regression by Newton steps. Live matches don't lower a score and spent ones don't raise it:
         weights of the wrong sign are held at 0 until the slope turns."""
         self.weights = np.zeros(len(NAMES))
         at = {k: i for i, k in enumerate(NAMES)}
-        if not len(rows):
+        if not len(y):
             self.weights[[at["X"], at["any strong"], at["bias"]]] = 8.0, 6.0, -3.0  # the hand-written lexicon alone
             return
-        x = np.array([self.vector(t) for t, _ in rows])
-        y = np.array([k for _, k in rows], float)
         keep = np.full(x.shape[1], ridge * 50)
         keep[-1] = 1e-6
         sign = np.array([1 if k in LIVE or k.startswith(("strong", "any")) or k == "medium matches" else -1 if k in SPENT else 0 for k in NAMES])
@@ -225,9 +219,44 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     chosen = usable.orderBy(F.xxhash64(key), key).limit(sample)
     chosen = df.sparkSession.createDataFrame([(r[0], int(r[1])) for r in chosen.collect()], "__k long, __y int")
     texts = df.select(F.col(key).alias("__k"), F.col(text).alias("__t")).where(F.col("__t").isNotNull())
-    rows = texts.join(F.broadcast(chosen), "__k").groupBy("__k", "__y").agg(F.min("__t").alias("__t")).collect()  # at most ``sample``
-    rows.sort()
-    return Toxicity([(r["__t"], r["__y"]) for r in rows])
+    rows = written(texts.join(F.broadcast(chosen), "__k").groupBy("__k", "__y").agg(F.min("__t").alias("__t")), "labelled")  # at most ``sample``
+    n, total = rows.agg(F.coalesce(F.sum("__y"), F.lit(0)), F.count("*")).first()
+    model = Toxicity([])
+    if total:
+        toxic = _counted(rows.where("__y <> 0"), None, SUPPORT)
+        model.learn_units(toxic, _counted(rows.where("__y = 0"), frozenset(toxic), 1), n, total)
+        seen = sorted(_vectors(rows, model).collect())
+        model.weigh(np.array([r[2] for r in seen]), np.array([r[1] for r in seen], float))
+    forget(rows)
+    _give_back()
+    return model
+
+
+def _counted(rows: DataFrame, known: frozenset | None, least: int) -> Counter:
+    """The rows that each unit (of ``known`` ones) is in, from ``least`` on."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = shared.value
+        for batch in batches:
+            n = Counter(u for t in batch.column(0).to_pylist() for u in units(t) if some is None or u in some)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in n], pa.int32()), pa.array([u for _, u in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["k", "u", "n"])
+
+    found = rows.select("__t").mapInArrow(count, "k int, u string, n long").groupBy("k", "u").agg(F.sum("n").alias("n"))
+    return Counter({(k, u): n for k, u, n in found.where(F.col("n") >= least).collect()})
+
+
+def _vectors(rows: DataFrame, model: Toxicity) -> DataFrame:
+    """``__k, __y, x`` for each row: what the logistic model weighs."""
+    shared, made = rows.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vector = worker_state(("toxicity vectors", made), lambda: shared.value).vector
+        for batch in batches:
+            x = [vector(t).tolist() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.list_(pa.float64()))], names=["__k", "__y", "x"])
+
+    return rows.select("__k", "__y", "__t").mapInArrow(read, "__k long, __y int, x array<double>")
 
 
 def score_toxicity(df: DataFrame, model: Toxicity, text: str = "text", threshold: float = 0.3) -> DataFrame:
